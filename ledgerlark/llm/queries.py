@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import host_rules, mixing
+from . import bpe, host_rules, langid, minhash, mixing, token_counts
 from .store import table
 
 QUERIES = {
+    "op1_language_id": lambda spark, sf_dir: langid.digest(table(spark, sf_dir, "documents")),
     "op2_source_mixing": lambda spark, sf_dir: mixing.digest(table(spark, sf_dir, "documents")),
+    "op3_bpe_transducer": lambda spark, sf_dir: bpe.digest(table(spark, sf_dir, "documents")),
+    "op6_token_counts": lambda spark, sf_dir: token_counts.digest(table(spark, sf_dir, "documents")),
     "op7_host_quality_rules": lambda spark, sf_dir: host_rules.digest(table(spark, sf_dir, "documents")),
+    "op8_near_duplicates": lambda spark, sf_dir: minhash.near_duplicates(table(spark, sf_dir, "documents")),
 }
 
 ORACLE_SQL = {"op2_source_mixing": mixing.ORACLE}
