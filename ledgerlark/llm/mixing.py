@@ -136,16 +136,19 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, shards: int = 1
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: the rows of docs, one for each copy taken, cut to the words taken where a copy is partial.
-
-    docs needs unique doc_ids that are not null; other rows are kept apart by the pipeline before it.
-    """
-    drawn = mix(docs, **options).select("doc_id", F.explode("draws").alias("d"), "size").select("doc_id", F.col("d.words").alias("_words"), "size")
-    drawn = drawn.withColumnRenamed("size", "_size")
-    # counts to `_words` runs; the possessive form never backtracks
-    head = F.expr(rf"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){{', _words, '}}'), 0)")
-    joined = docs.join(drawn, "doc_id")
-    cut = F.when(F.col("_words") < F.col("_size"), head).otherwise(F.col("text"))
+    """The mixed corpus itself: a row of docs for each copy taken, cut after the words taken where a copy is partial."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    name = F.col("doc_id").cast("string")
+    if not odd.isEmpty():  # rows without an id of their own get a name by their contents
+        whole = F.xxhash64(*docs.columns)
+        name = F.concat_ws("#", F.coalesce(name, F.lit("null")), whole, F.row_number().over(Window.partitionBy("doc_id", whole).orderBy("text")))
+    named = docs.withColumn("_row", name)
+    drawn = mix(named.select(F.col("_row").alias("doc_id"), "text", "source"), **options)
+    drawn = drawn.select(F.col("doc_id").alias("_row"), F.explode("draws.words").alias("_words"), F.col("size").alias("_size"))
+    joined = named.join(drawn, "_row")
+    lead = F.expr(r"cast(text rlike '^[\\x20\\x09-\\x0D]' as int)")
+    rest = F.element_at(F.split("text", r"[\x20\x09-\x0D]+", (F.col("_words") + lead + 1).cast("int")), -1)
+    cut = F.when(F.col("_words") < F.col("_size"), F.substring(F.col("text"), F.lit(1), F.char_length("text") - F.char_length(rest))).otherwise(F.col("text"))
     return joined.withColumn("text", cut).select(*docs.columns)
 
 

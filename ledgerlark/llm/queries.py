@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, host_rules, langid, minhash, mixing, token_counts
+from . import ann, bpe, fm_quality, host_rules, langid, lm, minhash, mixing, pii, token_counts
 from .store import table
 
 QUERIES = {
     "op1_language_id": lambda spark, sf_dir: langid.digest(table(spark, sf_dir, "documents")),
     "op2_source_mixing": lambda spark, sf_dir: mixing.digest(table(spark, sf_dir, "documents")),
     "op3_bpe_transducer": lambda spark, sf_dir: bpe.digest(table(spark, sf_dir, "documents")),
+    "op4_lm_scoring": lambda spark, sf_dir: lm.scored(table(spark, sf_dir, "documents")),
+    "op5_hilbert_neighbours": lambda spark, sf_dir: ann.neighbours(table(spark, sf_dir, "embeddings")),
     "op6_token_counts": lambda spark, sf_dir: token_counts.digest(table(spark, sf_dir, "documents")),
     "op7_host_quality_rules": lambda spark, sf_dir: host_rules.digest(table(spark, sf_dir, "documents")),
     "op8_near_duplicates": lambda spark, sf_dir: minhash.near_duplicates(table(spark, sf_dir, "documents")),
+    "op9_pii": lambda spark, sf_dir: pii.digest(table(spark, sf_dir, "documents")),
+    "op10_fm_quality": lambda spark, sf_dir: fm_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
 ORACLE_SQL = {"op2_source_mixing": mixing.ORACLE}
