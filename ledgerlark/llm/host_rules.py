@@ -90,3 +90,21 @@ def judged(docs: DataFrame, max_rate: float = 0.5, **columns) -> DataFrame:
 
 def digest(docs: DataFrame, **options) -> DataFrame:
     return judged(docs, **options).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
+c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n FROM g),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM c WHERE n > 1) GROUP BY rid),
+l AS (SELECT rid, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY rid),
+b AS (SELECT d.rid, doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+ coalesce(l.dup, 0)::BIGINT AS n_dup_lines, coalesce(l.n, 0)::BIGINT AS n_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r ON r.rid = d.rid LEFT JOIN l ON l.rid = d.rid),
+f AS (SELECT *, (n_words < 50)::INT AS f1, (100 * n_repeat_words > 50 * n_words)::INT AS f2, (10 * n_symbols > word_chars)::INT AS f3, (100 * n_dup_lines > 50 * n_lines)::INT AS f4 FROM b),
+h AS (SELECT source, k, count(*)::DOUBLE AS n, sum(v)::DOUBLE AS f FROM (SELECT source, unnest([1, 2, 3, 4]) AS k, unnest([f1, f2, f3, f4]) AS v FROM f WHERE source IS NOT NULL) GROUP BY source, k),
+m AS (SELECT k, sum(n) AS n, count(*) AS hosts, (sum(f) + 0.5) / (sum(n) + 1) AS m FROM h GROUP BY k),
+s AS (SELECT h.k, m.m, m.n, m.hosts, sum(h.n * (h.f / h.n - m.m) * (h.f / h.n - m.m)) / m.n AS v FROM h JOIN m ON h.k = m.k GROUP BY h.k, m.m, m.n, m.hosts),
+a AS (SELECT k, m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * hosts / n, 1e-9) - 1, 2.0), 1000.0) AS z FROM s),
+x AS (SELECT source, max((f + m * z) / (n + z)) > 0.5 AS bad FROM h JOIN a ON h.k = a.k GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 + f2) > 0 AS base_failed, (f1 + f2) = 0 AND NOT coalesce(x.bad, false) AS kept FROM f LEFT JOIN x ON x.source = f.source
+"""

@@ -18,4 +18,4 @@ QUERIES = {
     "op10_fm_quality": lambda spark, sf_dir: fm_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
-ORACLE_SQL = {"op2_source_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op2_source_mixing": mixing.ORACLE, "op7_host_quality_rules": host_rules.ORACLE}
