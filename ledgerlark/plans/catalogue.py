@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import extract, names, text
-from ledgerlark.operators import chunking, graph, intervals, load, search, vector
+from ledgerlark.operators import chunking, entities, graph, intervals, load, retrieval, search, structure, tables, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -482,3 +482,102 @@ def section_chunks(spark, sf):
     sections = ends.select("document", F.lit(1).alias("section_no"), "start_page", "end_page", F.array(F.lit("Terms"), F.col("document")).alias("path"))
     excluded = pages.filter("page % 10 = 0").select("document", "page")
     return chunking.chunks_of_sections(sections, pages, excluded).select("chunk_id", "document", "start_page", "end_page", "section", "subsection", "char_count")
+
+
+# --- tables, entities, retrieval ------------------------------------------------------------------------------
+
+_ROUTED = ["Tenor (months)", "Coupon (% p.a.) for Category II", "Amount on Maturity, Category I & II", "Put and call option", "Nature of Indebtedness", "Notes"]
+
+
+@query("""
+SELECT o_orderkey, CASE k WHEN 0 THEN 'tenor' WHEN 1 THEN 'coupon' WHEN 2 THEN 'maturity_amount' WHEN 3 THEN 'put_call_option' ELSE 'nature_of_indebtedness' END AS field, CASE k WHEN 1 THEN 'II' WHEN 2 THEN 'I_II' END AS category,
+ CASE WHEN k IN (0, 3, 4) THEN o_custkey || ' %' END AS value_text, CASE WHEN k IN (1, 2) THEN o_custkey::DOUBLE END AS value_num FROM (SELECT *, o_orderkey % 6 AS k FROM orders) WHERE k <> 5""")
+def route_field(spark, sf):
+    label = F.element_at(F.array(*map(F.lit, _ROUTED)), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    rows = Tables(spark, sf).orders.select("o_orderkey", label.alias("label"), F.concat(F.col("o_custkey").cast("string"), F.lit(" %")).alias("value"))
+    return tables.routed(rows).select("o_orderkey", "field", "category", "value_text", "value_num")
+
+
+@query("SELECT a.l_orderkey, a.l_linenumber AS cell, b.l_linenumber AS line FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_quantity >= a.l_quantity - a.l_linenumber AND b.l_quantity <= a.l_quantity + a.l_linenumber")
+def cell_row_match(spark, sf):
+    item = Tables(spark, sf).lineitem
+    cells = item.selectExpr("l_orderkey", "l_linenumber AS cell", "l_quantity - l_linenumber AS top", "l_quantity + l_linenumber AS bottom")
+    return intervals.cells_in_ranges(item.selectExpr("l_orderkey", "l_linenumber AS line", "l_quantity AS middle"), cells, "l_orderkey", F.col("middle"), F.col("top"), F.col("bottom")).select("l_orderkey", "cell", "line")
+
+
+@query("SELECT p_partkey FROM part JOIN (SELECT p_brand AS b, p_size AS m FROM (SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, min(p_partkey)) AS r FROM part GROUP BY 1, 2) WHERE r = 1) ON b = p_brand WHERE length(trim(p_name)) BETWEEN 3 AND 180 AND (p_size >= m + 1.5 OR p_partkey % 7 = 0) AND p_partkey % 100 >= 8 AND p_partkey % 100 + 1 <= 92")
+def heading_candidates(spark, sf):
+    part = Tables(spark, sf).part
+    body = intervals.most_common(part, ["p_brand"], "p_size", "p_partkey").selectExpr("p_brand AS document", "p_size AS body_size")
+    lines = part.selectExpr("p_partkey", "p_brand AS document", "p_name AS text", "p_size AS size", "p_partkey % 7 = 0 AS bold", "array(0D, double(p_partkey % 100), 1D, double(p_partkey % 100 + 1)) AS bbox", "100D AS page_height")
+    return structure.headings(lines, body).select("p_partkey")
+
+
+@query("SELECT event_type AS entity_type, user_id AS k, arg_min(event_id, event_id) AS first_event, count(DISTINCT ts::DATE) AS mentions FROM events GROUP BY 1, 2")
+def entity_group(spark, sf):
+    e = Tables(spark, sf).events
+    return e.groupBy(F.col("event_type").alias("entity_type"), F.col("user_id").alias("k")).agg(F.min_by("event_id", "event_id").alias("first_event"), F.size(F.collect_set(F.to_date("ts"))).cast("long").alias("mentions"))
+
+
+@query("SELECT event_type AS entity_type, 'u' || user_id AS k FROM (SELECT event_type, user_id, count(*) AS n FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1, 2) ORDER BY n DESC, length('u' || user_id), 'u' || user_id LIMIT 1")
+def canonical_pick(spark, sf):
+    e = Tables(spark, sf).events
+    kind = e.agg(F.min("event_type")).first()[0]
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    found = e.groupBy(F.col("event_type").alias("entity_type"), name.alias("key")).agg(F.collect_list("event_id").alias("mentions")).withColumn("value", F.col("key"))
+    return entities.canonical(found, kind).select("entity_type", F.col("key").alias("k"))
+
+
+@query("SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, 0 AS subject, user_id AS object FROM events WHERE user_id <> 0")
+def cooccurrence_edges(spark, sf):
+    e = Tables(spark, sf).events.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return entities.pairs(e, ["day"], "user_id", F.lit(0))
+
+
+@query("SELECT n_nationkey, coalesce('Region of ' || r_name, n_name) AS value FROM nation LEFT JOIN region ON lower(r_name) = lower(CASE WHEN n_nationkey % 2 = 0 THEN (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) ELSE n_name END)")
+def alias_lookup(spark, sf):
+    t = Tables(spark, sf)
+    known = t.region.select(text.entity_key(F.col("r_name")).alias("key"), F.concat(F.lit("Region of "), "r_name").alias("name"))
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.col("r_name")).otherwise(F.col("n_name")).alias("value"))
+    return entities.renamed(rows, known).select("n_nationkey", "value")
+
+
+@query("SELECT source_id, score FROM (SELECT source_id, score, row_number() OVER (PARTITION BY source_id ORDER BY k, score DESC) AS r FROM (SELECT 'v' || (vec_id % 100) AS source_id, 0 AS k, vec_id::DOUBLE AS score FROM embeddings WHERE label = 1 UNION ALL SELECT 'v' || vec_id, 1, 0.5 FROM embeddings WHERE vec_id < 50)) WHERE r = 1 AND source_id <> 'v7'")
+def hybrid_candidates(spark, sf):
+    e = Tables(spark, sf).embeddings
+    first = e.filter("label = 1").selectExpr("concat('v', vec_id % 100) AS source_id", "'t' AS text", "'l' AS label", "double(vec_id) AS score")
+    second = e.filter("vec_id < 50").selectExpr("concat('v', vec_id) AS source_id", "'t' AS text", "'l' AS label", "0.5D AS score")
+    seen = spark.createDataFrame([("v7",)], "source_id string")
+    return retrieval.unseen(retrieval.candidates([first, second]), seen).select("source_id", "score")
+
+
+@query("SELECT s_suppkey, form FROM (SELECT s_suppkey, unnest([s_name || ' Services Limited', s_name, CASE WHEN length(s_name) > 3 THEN split_part(s_name, ' ', 1) END]) AS form FROM supplier) WHERE form IS NOT NULL GROUP BY 1, 2")
+def vocabulary_forms(spark, sf):
+    s = Tables(spark, sf).supplier.select("s_suppkey", F.concat("s_name", F.lit(" Services Limited")).alias("name"))
+    return s.select("s_suppkey", F.explode(text.match_forms(F.col("name"))).alias("form"))
+
+
+@query("SELECT o_orderkey AS question_id, 'Issuer' AS kind, n_name AS name FROM orders JOIN nation ON n_nationkey = o_orderkey % 25")
+def mention_match(spark, sf):
+    t = Tables(spark, sf)
+    known = t.nation.select(F.lit("Issuer").alias("kind"), F.col("n_name").alias("name"))
+    asked = t.orders.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("o_orderkey") % 25).select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("What does "), F.lower("n_name"), F.lit(" pay?")).alias("question"))
+    return retrieval.mentioned(asked, retrieval.forms(known))
+
+
+@query()
+def stream_windows(spark, sf):
+    """Events by type and day, as a stream that is read to its end."""
+    import tempfile
+
+    from ledgerlark.streaming import inbox
+
+    events = spark.readStream.schema(Tables(spark, sf).events.schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    out, at = tempfile.mkdtemp(), tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:  # on a cluster only the shared folder will do
+        import uuid
+
+        out, at = (f"{base}/{uuid.uuid4().hex}" for _ in range(2))
+    inbox.windowed_events(events).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("start timestamp, event_type string, n long").parquet(out)
