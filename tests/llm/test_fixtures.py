@@ -87,7 +87,7 @@ def test_language(docs, rows):
     assert len(got) == len(rows)
     und = {r.doc_id for r in got if r.lang_pred == "und"}
     assert und == {200, 201, 202, 206}
-    known = {i: lang for i, t, lang, _ in rows if i is not None and i < 120 and t and len(t) > 150}
+    known = {i: lang for i, t, lang, _ in rows if i is not None and i < 120 and i not in (5, 6) and t and len(t) > 60}  # 5 and 6 stand on several rows, one of them mislabelled
     right = [r.lang_pred == known[r.doc_id] for r in got if r.doc_id in known and r.held_out]
     assert sum(right) >= 0.9 * len(right)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
