@@ -9,7 +9,9 @@
 4. Buckets that still hold several components may hide links between members other than the centre. Jaccard distance is
    a metric, so two linked members differ by at most 1 - threshold in their distance from the centre; that, and the sizes
    of the sets, leave few pairs. Buckets of up to `small` members test those pairs; members of larger ones are banded again by
-   many more, far sharper bands, with stars and the same rule inside them.
+   more, far sharper bands, with stars inside them. What is then still open lies among texts close to the threshold:
+   those of one loose cluster (stars within twice the allowed distance) are compared in blocks of `CHUNK` members that
+   put out links only, never pairs; the few open pairs between clusters are tested one by one.
 5. Components by repeated linking to the least neighbour, in Spark jobs over the links alone.
 
 Null, empty and wordless texts have the empty set and link with nothing. Rows with one doc_id are one node; a null
@@ -25,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import U64, doc_groups, mixed, word_hashes
@@ -33,6 +35,8 @@ from .store import written
 
 #: Candidate ids up to this number are broadcast as a filter of the second scan (8 bytes each); more are joined.
 BROADCAST_IDS = 500_000
+#: Members of a loose cluster that meet in one block.
+CHUNK = 256
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -114,6 +118,28 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "items"])
 
 
+def _links_between(table: pa.Table, threshold: int) -> pa.Table:
+    """Rows node, root, side, items of one block -> links a, b between the two sides where the roots differ; one for each pair of roots."""
+    node, root, side = (table[c].to_numpy() for c in ("node", "root", "side"))
+    sets = [np.asarray(x.values) for x in table["items"]]
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    items = np.concatenate([sets[j] for j in right]) if len(right) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(right)), [len(sets[j]) for j in right])
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    sizes, found = np.array([len(sets[j]) for j in right]), {}
+    for i in left:
+        lo, hi = np.searchsorted(items, sets[i], "left"), np.searchsorted(items, sets[i], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(right))
+        union = len(sets[i]) + sizes - common
+        for j in np.flatnonzero((100 * common >= threshold * union) & (root[right] != root[i])):
+            pair = (min(root[i], root[right[j]]), max(root[i], root[right[j]]))
+            found.setdefault(pair, (node[i], node[right[j]]))
+    return pa.table({"a": pa.array([x for x, _ in found.values()], pa.int64()), "b": pa.array([y for _, y in found.values()], pa.int64())})
+
+
 def components(links: DataFrame, label: str) -> DataFrame:
     """links a, b (long) -> node, root: the least node reachable, for every node of a link.
 
@@ -140,10 +166,10 @@ def components(links: DataFrame, label: str) -> DataFrame:
     return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), label)
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, bands: int = 30, rows: int = 5, sharp_bands: int = 300, sharp_rows: int = 18, small: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, bands: int = 30, rows: int = 5, sharp_bands: int = 50, sharp_rows: int = 8, small: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row. Links: 100 * intersection >= threshold * union.
 
-    A pair at 85 % misses all 30 bands of 5 with a chance of 2e-8; in the sharper stage all 300 of 18 with 1e-7.
+    A pair at 85 % misses all 30 bands of 5 with a chance of 2e-8; in the sharper stage all 50 of 8 with 1e-7.
     """
     share = threshold / 100.0
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -154,42 +180,65 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, bands:
     doubled = full.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     same_id = full.select("doc_id", "digest").join(doubled, "doc_id", "left_semi").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
-    def stars(rows_: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    def stars(rows_: DataFrame, label: str) -> DataFrame:
         """Bucket rows key, node -> rows of buckets with company, with the centre and number of members."""
+        rows_ = written(rows_, f"{label}-rows")
         heads = rows_.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members")).filter("centre < last").drop("last")
         return written(rows_.join(heads, "key"), label)
 
-    def sets_of(pairs: DataFrame, label: str) -> DataFrame:
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{label}-ids")
+    def sets_of(ids: DataFrame, label: str) -> DataFrame:
+        """doc_id, items for the ids in the column doc_id."""
         wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         found = source.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "doc_id long, items array<long>")
         return written(found, f"{label}-sets")
 
     def measured(pairs: DataFrame, label: str) -> DataFrame:
         """a, b -> a, b, i, u: sizes of intersection and union of the whole sets."""
-        sets = sets_of(pairs, label)
+        pairs = written(pairs, label)
+        sets = sets_of(written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{label}-ids"), label)
         joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
         joined = joined.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
         common = F.size(F.array_intersect("x", "y")).cast("long")
         return written(joined.select("a", "b", common.alias("i"), (F.size("x") + F.size("y")).alias("s")).selectExpr("a", "b", "i", "s - i as u"), label)
 
+    def in_blocks(rest_: DataFrame, clusters: DataFrame) -> DataFrame:
+        """Links between different components inside one loose cluster: every two chunks of a cluster meet in one block."""
+        some = rest_.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
+        chunks = some.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").drop("r0", "r1")
+        some = written(some.join(chunks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "near-clusters")
+        sets = sets_of(written(some.select(F.col("node").alias("doc_id")).distinct(), "near-cluster-ids"), "near-cluster")
+        dealt = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        dealt = dealt.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "root", side.alias("side"))
+        dealt = dealt.join(sets.withColumnRenamed("doc_id", "node"), "node").repartition("cluster", "x", "y")
+        return dealt.groupBy("cluster", "x", "y").applyInArrow(lambda t: _links_between(t, threshold), "a long, b long")
+
     linked = F.col("i") * 100 >= F.col("u") * threshold
 
     def across(buckets: DataFrame, dist: DataFrame, roots: DataFrame, label: str) -> DataFrame:
-        """Bucket rows that may still hide links: key, node, centre, members, n, far (distance to the centre), root."""
-        placed = buckets.join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
-        open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("c")).filter("r0 < r1 and c > 2").select("key")
-        placed = placed.join(open_keys, "key", "left_semi").join(dist, ["centre", "node"], "left")
-        return written(placed.filter("node <> centre").join(nodes.select("node", "n"), "node"), label)
+        """Bucket rows that may still hide links: key, node, centre, members, n, far (distance to the centre), root.
+
+        Rows outside the centre's component matter where two of their components meet, or where one of them is near enough
+        to the centre to have a link to a member of its component; only then do those members' rows matter.
+        """
+        placed = buckets.filter("node <> centre").join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+        placed = placed.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("c")), "centre", "left").withColumn("inside", F.coalesce("c", "centre") == F.col("root")).drop("c")
+        placed = placed.join(dist, ["centre", "node"], "left")
+        outside = placed.filter("not inside")
+        keys = outside.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("far").alias("least"))
+        keys = written(keys.select("key", (F.col("least") <= 2 * (1 - share) + 1e-9).alias("close"), (F.col("r0") < F.col("r1")).alias("several")).filter("close or several"), label)
+        rows_ = outside.join(keys.select("key"), "key", "left_semi").union(placed.filter(F.col("inside") & (F.col("far") > 0)).join(keys.filter("close").select("key"), "key", "left_semi"))
+        return written(rows_.drop("inside").join(nodes.select("node", "n"), "node"), label)
 
     def distances(m: DataFrame) -> DataFrame:
         return m.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("i") / F.col("u")).alias("far"))
 
-    def hidden(rest: DataFrame) -> DataFrame:
+    def hidden(rest: DataFrame, also: Column) -> DataFrame:
         """Pairs of one bucket in different components that sizes and the metric allow to be linked."""
-        x = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("far").alias("fa"), F.col("root").alias("ra"))
-        y = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("far").alias("fb"), F.col("root").alias("rb"))
-        near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.abs(F.col("fa") - F.col("fb")) <= 1 - share + 1e-9) & (F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-9)
+        rest = rest if "cluster" in rest.columns else rest.withColumn("cluster", F.lit(0))
+        x = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("far").alias("fa"), F.col("root").alias("ra"), F.col("cluster").alias("ca"))
+        y = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("far").alias("fb"), F.col("root").alias("rb"), F.col("cluster").alias("cb"))
+        near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.abs(F.col("fa") - F.col("fb")) <= 1 - share + 1e-9) & (F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-9) & also
         return x.join(y, "key").filter(near).select("a", "b").distinct()
 
     first = stars(nodes.select("node", F.explode("keys").alias("key")), "near-buckets")
@@ -198,7 +247,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, bands:
     roots = components(reduce(DataFrame.union, links), "near-roots")
     rest = across(first, distances(found), roots, "near-rest")
     if not rest.isEmpty():
-        some = measured(hidden(rest.filter(F.col("members") <= small)), "near-pairs")
+        some = measured(hidden(rest.filter(F.col("members") <= small), F.lit(True)), "near-pairs")
         links.append(some.filter(linked).select("a", "b"))
         large = written(rest.filter(F.col("members") > small).select(F.col("node").alias("doc_id")).distinct(), "near-large")
         if not large.isEmpty():
@@ -210,7 +259,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, bands:
             links.append(more.filter(linked).select("a", "b"))
             roots = components(reduce(DataFrame.union, links), "near-sharp-roots")
             rest = across(sharp, distances(more), roots, "near-sharp-rest")
-            last = measured(hidden(rest), "near-sharp-pairs")
+            loose = found.union(more).filter(F.col("i") >= F.col("u") * (2 * share - 1)).select("a", "b")
+            clusters = components(loose, "near-loose")
+            links.append(written(in_blocks(rest, clusters), "near-block-links"))
+            placed = rest.join(clusters.withColumnRenamed("root", "cluster"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+            last = measured(hidden(placed, F.col("ca") != F.col("cb")), "near-sharp-pairs")
             links.append(last.filter(linked).select("a", "b"))
         roots = components(reduce(DataFrame.union, links), "near-roots-all")
     named = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
@@ -220,7 +273,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, bands:
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that a smaller doc_id stands for; of rows with one doc_id and one text, one stays."""
-    keep = near_duplicates(docs, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*docs.columns))).filter("_n = 1").drop("_n")
-    return one.join(keep, "doc_id", "left_semi").union(docs.filter("doc_id is null"))
+    """docs without the documents that a smaller doc_id stands for; of several rows with one doc_id, the least row stays."""
+    spare = written(near_duplicates(docs, **options).filter("not kept").select("doc_id").distinct(), "near-spare")
+    left = docs.join(F.broadcast(spare) if spare.count() <= BROADCAST_IDS else spare, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if again.isEmpty():
+        return left
+    first = left.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])))
+    return first.filter("_n = 1 or doc_id is null").drop("_n")
