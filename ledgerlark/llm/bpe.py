@@ -38,7 +38,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 _BLANK = r"\s\x1c-\x1f\x85"
 _UNSAFE = re.compile(rf"[{_BLANK}] | [{_BLANK}]|\A | \Z")
 _CUT = re.compile(rf"(?<=[^{_BLANK}]) (?=[^{_BLANK}])")
-BLOCK, CACHE = 1 << 16, 150_000
+BLOCK, CACHE = 1 << 16, 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,7 +53,8 @@ class Vocabulary:
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[int, int, int]], added: dict[str, int]):
         self.bytes_of = {i: b for b, i in vocab.items()}
         self.single = [vocab.get(bytes([b])) for b in range(256)]
-        self.merges = {(a, b): (rank, c) for rank, (a, b, c) in reversed(list(enumerate(merges)))}
+        self.rank = {(a, b): rank for rank, (a, b, _) in reversed(list(enumerate(merges)))}
+        self.made = [c for _, _, c in merges]
         self.added = added
         self.table = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for i, b in self.bytes_of.items():
@@ -85,21 +86,17 @@ class Vocabulary:
 
     def merged(self, ids: list[int]) -> list[int]:
         """ids with all merges made, least rank first, leftmost first."""
-        find = self.merges.get
-        pairs = [find(p) for p in zip(ids, ids[1:])]
-        while True:
-            best, at = None, -1
-            for k, p in enumerate(pairs):
-                if p is not None and (best is None or p[0] < best):
-                    best, at = p[0], k
-            if best is None:
-                return ids
-            ids[at : at + 2] = [pairs[at][1]]
-            del pairs[at]
-            if at < len(pairs):
-                pairs[at] = find((ids[at], ids[at + 1]))
+        rank, none = self.rank.get, len(self.made)
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            ids[at : at + 2] = [self.made[best]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank((ids[at], ids[at + 1]), none)
             if at:
-                pairs[at - 1] = find((ids[at - 1], ids[at]))
+                ranks[at - 1] = rank((ids[at - 1], ids[at]), none)
+        return ids
 
 
 class Encoder:
