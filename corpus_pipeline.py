@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read back as the next one's docs. All but
 the last return the columns of documents: language_id drops what it rejects and sets lang, near_duplicates keeps one document of
-a group, personal_data masks, source_mixing repeats and leaves out documents by their sources' targets.
+a group (linked by 80 % of their five-word shingles), personal_data masks, source_mixing repeats and leaves out documents by their sources' targets.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from ledgerlark.llm.store import table, written
 
 STAGES = [
     ("language_id", lambda spark, docs, sf_dir: langid.accepted(docs)),
-    ("near_duplicates", lambda spark, docs, sf_dir: minhash.kept_documents(docs)),
+    ("near_duplicates", lambda spark, docs, sf_dir: minhash.kept_documents(docs, threshold=80, width=5)),
     ("personal_data", lambda spark, docs, sf_dir: pii.masked_documents(docs)),
     ("source_mixing", lambda spark, docs, sf_dir: mixing.mixed_documents(docs)),
     ("byte_pair_encoding", lambda spark, docs, sf_dir: bpe.encoded(docs)),

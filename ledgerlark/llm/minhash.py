@@ -22,6 +22,7 @@ columns are read, so others may have any name.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -37,6 +38,10 @@ from .store import written
 BROADCAST_IDS = 500_000
 #: Members of a loose cluster that meet in one block.
 CHUNK = 256
+#: Chances that a pair at the threshold misses all bands, and all sharp bands; the numbers of bands follow from them.
+MISS, SHARP_MISS = 2.5e-8, 1.3e-7
+#: Signature values that are computed at once.
+VALUES = 8_000_000
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -95,6 +100,12 @@ def band_keys(sig: np.ndarray, bands: int, rows: int, salt: int) -> np.ndarray:
     return keys
 
 
+def bands_for(threshold: int, rows: int, miss: float) -> int:
+    """The least number of bands of `rows` bins which a pair at the threshold misses with a chance of `miss` at most."""
+    share = (threshold / 100.0) ** rows
+    return 1 if share >= 1 else math.ceil(math.log(miss) / math.log1p(-share))
+
+
 def _scan(batches: Iterator[pa.RecordBatch], width: int, bins: int, bands: int, rows: int, salt: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, bounds = word_hashes(batch.column(1), fold=True)
@@ -104,8 +115,9 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, bins: int, bands: int,
             some = np.flatnonzero(sizes)
             keys: list = [None] * len(sets)
             digests: list = [None] * len(sets)
-            if len(some):
-                for i, row in zip(some, band_keys(signatures([sets[i] for i in some], bins), bands, rows, salt), strict=True):
+            at_once = max(1, VALUES // bins)
+            for part in (some[k : k + at_once] for k in range(0, len(some), at_once)):
+                for i, row in zip(part, band_keys(signatures([sets[i] for i in part], bins), bands, rows, salt), strict=True):
                     keys[i], digests[i] = row, hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys"])
 
@@ -166,12 +178,13 @@ def components(links: DataFrame, label: str) -> DataFrame:
     return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), label)
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, bands: int = 30, rows: int = 5, sharp_bands: int = 50, sharp_rows: int = 8, small: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, bands: int | None = None, rows: int = 5, sharp_bands: int | None = None, sharp_rows: int = 8, small: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row. Links: 100 * intersection >= threshold * union.
 
-    A pair at 85 % misses all 30 bands of 5 with a chance of 2e-8; in the sharper stage all 50 of 8 with 1e-7.
+    Unless given, the numbers of bands follow from the threshold (MISS, SHARP_MISS): 30 of 5 and 50 of 8 at 85 %, 45 and 87 at 80 %.
     """
     share = threshold / 100.0
+    bands, sharp_bands = bands or bands_for(threshold, rows, MISS), sharp_bands or bands_for(threshold, sharp_rows, SHARP_MISS)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scanned = written(source.mapInArrow(lambda it: _scan(it, width, bands * rows, bands, rows, 1), "doc_id long, n_shingles long, digest binary, keys array<long>"), "near-scan")
     full = scanned.filter("doc_id is not null and n_shingles > 0")

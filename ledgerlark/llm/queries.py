@@ -13,7 +13,7 @@ QUERIES = {
     "op5_hilbert_neighbours": lambda spark, sf_dir: ann.neighbours(table(spark, sf_dir, "embeddings")),
     "op6_token_counts": lambda spark, sf_dir: token_counts.digest(table(spark, sf_dir, "documents")),
     "op7_host_quality_rules": lambda spark, sf_dir: host_rules.digest(table(spark, sf_dir, "documents")),
-    "op8_near_duplicates": lambda spark, sf_dir: minhash.near_duplicates(table(spark, sf_dir, "documents")),
+    "op8_near_duplicates": lambda spark, sf_dir: minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=85, width=3),
     "op9_pii": lambda spark, sf_dir: pii.digest(table(spark, sf_dir, "documents")),
     "op10_fm_quality": lambda spark, sf_dir: fm_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }

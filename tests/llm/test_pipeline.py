@@ -1,6 +1,7 @@
 """The stages on a small folder: columns stay, decisions take effect, the last stage decodes to its input."""
 
 import corpus_pipeline
+from ledgerlark.llm import minhash
 from tests.llm.test_fixtures import documents, fixture_rows
 
 
@@ -24,3 +25,16 @@ def test_stages(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert sorted(r.decoded for r in last) == sorted(r.text for r in docs.collect())
     assert all(r.n_tokens == len(r.ids) for r in last)
+
+
+def test_near_duplicates_stage_takes_five_words_at_80_percent(spark):
+    base = [f"w{k}" for k in range(104)]  # 100 five-word shingles
+    cut = base[:86]  # 82 of them: 0.82, of three words 84 of 102
+    other = [f"v{k}" for k in range(300)]
+    spread = [f"n{k}" if k % 38 == 19 else w for k, w in enumerate(other)]  # 3 words: 274 of 322 (0.851); 5 words: 256 of 336 (0.76)
+    far = [f"u{k}" for k in range(100)]
+    rows = [(1, " ".join(base), "en", "s"), (2, " ".join(cut), "en", "s"), (3, " ".join(other), "en", "s"), (4, " ".join(spread), "en", "s"), (5, " ".join(far), "en", "s")]
+    docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 3, 4, 5]
+    assert [minhash.bands_for(t, r, m) for t in (85, 80) for r, m in ((5, minhash.MISS), (8, minhash.SHARP_MISS))] == [30, 50, 45, 87]
