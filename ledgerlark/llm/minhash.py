@@ -231,16 +231,23 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, bands:
     def across(buckets: DataFrame, dist: DataFrame, roots: DataFrame, label: str) -> DataFrame:
         """Bucket rows that may still hide links: key, node, centre, members, n, far (distance to the centre), root.
 
-        Rows outside the centre's component matter where two of their components meet, or where one of them is near enough
-        to the centre to have a link to a member of its component; only then do those members' rows matter.
+        Rows outside the centre's component matter where two of their components meet, or where one of them may have a link to a
+        member of the centre's component: their distances from the centre then differ by 1 - threshold at most. A component is
+        linked step by step, so its members may be at any distance; only those near enough to the outside rows matter.
         """
         placed = buckets.filter("node <> centre").join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
         placed = placed.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("c")), "centre", "left").withColumn("inside", F.coalesce("c", "centre") == F.col("root")).drop("c")
         placed = placed.join(dist, ["centre", "node"], "left")
-        outside = placed.filter("not inside")
-        keys = outside.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("far").alias("least"))
-        keys = written(keys.select("key", (F.col("least") <= 2 * (1 - share) + 1e-9).alias("close"), (F.col("r0") < F.col("r1")).alias("several")).filter("close or several"), label)
-        rows_ = outside.join(keys.select("key"), "key", "left_semi").union(placed.filter(F.col("inside") & (F.col("far") > 0)).join(keys.filter("close").select("key"), "key", "left_semi"))
+        reach = 1 - share + 1e-9
+        placed = placed.filter("not inside or far > 0")
+        out, within = F.when(~F.col("inside"), F.col("far")), F.when(F.col("inside"), F.col("far"))
+        keys = placed.groupBy("key").agg(F.min(F.when(~F.col("inside"), F.col("root"))).alias("r0"), F.max(F.when(~F.col("inside"), F.col("root"))).alias("r1"), F.min(out).alias("least"), F.max(out).alias("most"), F.max(within).alias("reached"))
+        keys = keys.select("key", "least", "most", F.coalesce(F.col("least") <= F.col("reached") + reach, F.lit(False)).alias("close"), (F.col("r0") < F.col("r1")).alias("several"))
+        keys = written(keys.filter("close or several"), label)
+        near = keys.filter("close").select("key", "least", "most")
+        rows_ = placed.filter("not inside").join(keys.select("key"), "key", "left_semi")
+        members = placed.filter("inside").join(near, "key").filter(F.col("far").between(F.col("least") - reach, F.col("most") + reach)).drop("least", "most")
+        rows_ = rows_.unionByName(members)
         return written(rows_.drop("inside").join(nodes.select("node", "n"), "node"), label)
 
     def distances(m: DataFrame) -> DataFrame:

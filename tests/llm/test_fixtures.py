@@ -352,6 +352,23 @@ def test_near_threshold_cluster(spark):
     assert got == brute_components(rows)
 
 
+def test_transitive_family_with_a_far_centre(spark):
+    """Far members come first, so the bucket that two linked documents share has a centre in their component's far end."""
+    rng, base = random.Random(0), [f"w{k}" for k in range(600)]
+
+    def edited(words, tag):
+        words = words.copy()
+        for k in rng.sample([k for k in range(1, 600, 4) if words[k] == f"w{k}"], 14):
+            words[k] = f"{tag}n{k}"
+        return words
+
+    family = [edited(base, f"v{i}") for i in range(3)]
+    last = edited(family[-1], "x")
+    rows = [(i, " ".join(words), "en", "s") for i, words in enumerate([*family[:-1], base, family[-1], last])]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), bands=6).collect()}
+    assert got == brute_components(rows) == dict.fromkeys(range(5), 0)
+
+
 def test_personal_data_base(docs, rows):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
