@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +230,24 @@ def test_language_model(docs, rows):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_language_model_learns_whole_documents_and_a_share_of_all(spark):
+    rng = random.Random(3)
+    cycle = " ".join("ga gb gc gd ge gf gg gh".split() * 150)
+    noise = lambda: " ".join(rng.choice("ma mb mc md me mf".split()) for _ in range(7000))
+    rows = [(i, f"{noise()} {cycle}", "en", "s") for i in range(20)]  # the cycle begins after 20,000 characters
+    rows += [(i, cycle, "en", "s") for i in range(1000, 1040) if zlib.crc32(str(i).encode()) % 10 == 0]
+    got = [r for r in lm.scored(documents(spark, [r for r in rows if r[0] >= 1000 or zlib.crc32(str(r[0]).encode()) % 10])).collect() if r.held_out]
+    assert got and all(r.score / r.n_tokens > -0.3 for r in got)
+    known, learned = pa.array([b"aa", b"bb"], pa.binary()), []
+    for n in (300, 1200):
+        source = documents(spark, [(i, "aa bb cc " * 20, "en", "s") for i in range(n)]).select("doc_id", F.lit(False).alias("held_out"), "text")
+        start = lm.Model.new(np.ones(lm.WORDS), np.ones(lm.END + 1))
+        model, words = lm.trained_in_parts(lm.cut(source), known, start, lm.SHARE)
+        assert any((model.p[k] != start.p[k]).any() for k in start.p)
+        learned.append(words)
+    assert learned[1] > 2.5 * learned[0] > 0
+
+
 def test_states_are_carried():
     rng = np.random.default_rng(1)
     model = lm.Model.new(np.ones(lm.WORDS), np.ones(lm.END + 1))
