@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Embed = Callable[[str], list[float]]
+#: Queries and rows that meet in one block.
+QUERIES, ROWS = 1024, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,23 +36,26 @@ def top_k(rows: DataFrame, query: list[float], k: int = 8, cap: int = 200, thres
 
 
 def top_k_of_each(queries: DataFrame, rows: DataFrame, k: int = 8, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k best of rows for each of a bounded set of queries (query_id, vector): queries go to the rows, only k a task and query go on."""
-    asked = [(r["query_id"], np.array(r[vector], float)) for r in queries.select("query_id", vector).collect()]
-    names, matrix = [q for q, _ in asked], np.array([v / np.linalg.norm(v) for _, v in asked])
-
-    def best(batches):
-        held = pd.DataFrame({"query_id": [], "key": [], "score": []})
-        for batch in batches:
-            if len(batch):
-                x = np.stack([np.asarray(v, float) for v in batch[vector]])
-                scores = matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                found = pd.DataFrame({"query_id": np.repeat(names, len(x)), "key": np.tile(batch[key].to_numpy(), len(names)), "score": scores.ravel()})
-                held = pd.concat([held, found]).sort_values(["query_id", "score", "key"], ascending=[True, False, True]).groupby("query_id").head(k)
-        yield held.astype({"query_id": "int64", "key": "int64", "score": "float64"})
-
-    if not asked:
-        return queries.sparkSession.createDataFrame([], "query_id long, key long, score double, rank int")
-    found = rows.select(key, vector).mapInPandas(best, "query_id long, key long, score double")
+    """The k best of rows for each query (query_id, vector): every block of queries meets every block of rows, only k a block and query go on."""
+    asked, held = queries.select("query_id", vector), rows.select(key, vector)
+    across, down = (max(1, -(-frame.count() // size)) for frame, size in ((asked, QUERIES), (held, ROWS)))
+    place = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("x", place("query_id", across)).withColumn("y", every(down))
+    held = held.withColumn("y", place(key, down)).withColumn("x", every(across))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "key": [], "score": []}).astype({"query_id": "int64", "key": "int64"})
+        q, x = (np.stack([np.asarray(v, float) for v in frame[vector]]) for frame in (left, right))
+        scores = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+        most = min(k, scores.shape[1])
+        least = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
+        at, to = np.nonzero(~(scores < least[:, None]))
+        found = pd.DataFrame({"query_id": left["query_id"].to_numpy()[at], "key": right[key].to_numpy()[to], "score": scores[at, to]})
+        return found.sort_values(["query_id", "score", "key"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+    found = asked.groupBy("x", "y").cogroup(held.groupBy("x", "y")).applyInPandas(best, "query_id long, key long, score double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).filter(F.col("rank") <= k)
 
 

@@ -458,6 +458,14 @@ def vector_topk_each(spark, sf):
     return found.select("query_id", F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("SELECT query_id, vec_id, r AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE r <= 4")
+def vector_topk_twentieth(spark, sf):
+    """Every row whose id is divisible by 20 asks all rows."""
+    e = Tables(spark, sf).embeddings
+    found = vector.top_k_of_each(e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e, 4)
+    return found.select("query_id", F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(r"""WITH RECURSIVE d AS (SELECT doc_id, trim(text, E' \n\t\r') AS t FROM documents),
 w AS (SELECT doc_id, t, 1 AS n, 0 AS s, CASE WHEN length(t) <= 3500 THEN length(t) ELSE 3500 END AS want FROM d WHERE length(t) > 0),
 p AS (SELECT doc_id, t, n, s, CASE WHEN want < length(t) AND length(regexp_extract(substr(t, s + 1, want - s), '^(?s:.*)[\n ]')) - 1 + s > s + 500 THEN s + length(regexp_extract(substr(t, s + 1, want - s), '^(?s:.*)[\n ]')) - 1 ELSE want END AS e FROM w

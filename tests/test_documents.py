@@ -139,3 +139,20 @@ def test_candidates_first_source_wins(spark):
     part = lambda rows: spark.createDataFrame(rows, "source_id string, text string, label string, score double")
     got = retrieval.candidates([part([("a", "t1", "l", 0.5)]), part([("a", "t2", "l", 1.0), ("b", "t", "l", 0.1)])])
     assert {r.source_id: r.text for r in got.collect()} == {"a": "t1", "b": "t"}
+
+
+def test_many_queries_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from ledgerlark.operators import vector
+
+    monkeypatch.setattr(vector, "QUERIES", 4)
+    monkeypatch.setattr(vector, "ROWS", 16)
+    x = np.random.default_rng(1).standard_normal((90, 8))
+    x[50:60] = x[3]  # ties
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vector.top_k_of_each(rows.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id"), rows, 6).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 9)
+    want = {(q, r + 1): int(i) for q in range(0, 90, 5) for r, i in enumerate(np.lexsort((np.arange(90), -scores[q]))[:6])}
+    assert {(r.query_id, r.rank): round(float(scores[r.query_id, r.key]), 9) for r in got} == {at: round(float(scores[at[0], i]), 9) for at, i in want.items()}
