@@ -33,17 +33,19 @@ def remainder(doc_id: str, divisor: int) -> Column:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list, dict[str, int]]:
-    """Rows lang, snippets for training, by language at most about per_lang documents, spread by a hash of the id; and all documents by language."""
+    """Rows lang, snippets for training, by language at most about per_lang documents, spread by a hash of the id; and all documents by language.
+
+    Every non-null lang value is trained, however rare; what is gathered grows with their number.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 5) != 0))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not counts:
         return [], {}
     place = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1_000_000))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, per_lang / n)))).otherwise(share)
+    share = docs.sparkSession.createDataFrame([(lang, int(1_000_000 * min(1.0, per_lang / n))) for lang, n in counts.items()], "lang string, share int")
+    rows = rows.select("doc_id", "text", "lang").join(F.broadcast(share), "lang")
     at = lambda k: F.substring("text", (F.pmod(F.xxhash64(F.lit(k), F.col("doc_id")), F.greatest(F.char_length("text") - SNIPPET, F.lit(1))) + 1).cast("int"), F.lit(SNIPPET))
-    return rows.filter(place < share).select("lang", F.array(at(1), at(2), at(3)).alias("snippets")).limit(2 * per_lang * len(counts)).collect(), counts
+    return rows.filter(place < F.col("share")).select("lang", F.array(at(1), at(2), at(3)).alias("snippets")).limit(2 * per_lang * len(counts)).collect(), counts
 
 
 class Network:

@@ -371,6 +371,14 @@ def test_near_threshold_cluster(spark):
     assert got == brute_components(rows)
 
 
+def test_every_language_is_trained(spark):
+    rows = [(i, f"text number {i} in its language", f"l{i % 230}", "s") for i in range(2300)]
+    found, counts = langid.sample(documents(spark, rows), 3)
+    assert len(counts) == 230 and {r["lang"] for r in found} <= set(counts)
+    everything, _ = langid.sample(documents(spark, rows), 100)
+    assert {r["lang"] for r in everything} == set(counts)
+
+
 def test_transitive_family_with_a_far_centre(spark):
     """Far members come first, so the bucket that two linked documents share has a centre in their component's far end."""
     rng, base = random.Random(0), [f"w{k}" for k in range(600)]
