@@ -1,7 +1,8 @@
 r"""Words of whole texts as 64-bit hashes, straight from Arrow's buffers, some megabytes at a time.
 
-A word is a run of bytes other than \x20 and \x09-\x0D. Its hash is a polynomial in an odd base over random 64-bit
-values of its bytes (prefix sums modulo 2**64, so no loop over words), mixed at the end.
+A word is a run of bytes other than \x20 and \x09-\x0D. Its hash is multilinear: the sum, modulo 2**64, of a random value of
+each byte times a random value of its place in the word, mixed at the end with the length. No relation between places can be
+used to write down colliding words, as it can for polynomials; n different words collide with a chance of about n**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -13,14 +14,11 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
 _EXACT = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 64, 256, dtype=U64)
 _FOLDED = _EXACT.copy()
 _FOLDED[65:91] = _EXACT[97:123]
-_powers: dict[str, np.ndarray] = {}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -32,13 +30,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(max(n, SLICE + 1), base, U64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=U64)
-    return _powers["up"], _powers["down"]
+def _of_places(n: int) -> np.ndarray:
+    return mixed(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(0x632BE59BD9B4E019))
+
+
+_PLACES = _of_places(4096)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,10 +86,14 @@ def spans(data: np.ndarray, off: np.ndarray, lo: int, hi: int) -> tuple[np.ndarr
 
 
 def hashed(data: np.ndarray, lo: int, hi: int, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    up, down = _power_tables(hi - lo + 1)
-    sums = np.zeros(hi - lo + 1, U64)
-    np.cumsum((_FOLDED if fold else _EXACT)[data[lo:hi]] * up[: hi - lo], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, U64)
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    places = _PLACES if int(size.max()) <= len(_PLACES) else _of_places(int(size.max()))
+    values = (_FOLDED if fold else _EXACT)[data[lo:hi][place + np.repeat(starts, size)]] * places[place]
+    return mixed(np.add.reduceat(values, first) + size.astype(U64) * U64(0x2545F4914F6CDD1D))
 
 
 def word_hashes(column: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -114,3 +114,12 @@ def doc_groups(bounds: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
         yield at, min(end, n)
         at = end
+
+
+def byte_parts(batches: Iterator[pa.RecordBatch], at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `limit` bytes of column `at`, one row at least; memory that is free goes back in between."""
+    for batch in batches:
+        _, off = text_buffer(batch.column(at))
+        for lo, hi in doc_groups(off, limit):
+            yield batch.slice(lo, hi - lo)
+        pa.default_memory_pool().release_unused()

@@ -6,15 +6,14 @@
 2. Documents with equal sets are one node, named by the least doc_id. Links between them need no search.
 3. Bands of bins are bucket keys. A bucket links every member with its least member only: a star, so n - 1 candidates.
    A candidate is confirmed on the whole sets.
-4. Buckets that still hold several components may hide links between members other than the centre. Jaccard distance is
-   a metric, so two linked members differ by at most 1 - threshold in their distance from the centre; that, and the sizes
-   of the sets, leave few pairs. Buckets of up to `small` members test those pairs; members of larger ones are banded again by
-   more, far sharper bands, with stars inside them. What is then still open lies among texts close to the threshold:
-   those of one loose cluster (stars within twice the allowed distance) are compared in blocks of `CHUNK` members that
-   put out links only, never pairs; the few open pairs between clusters are tested one by one.
+4. Members of one star that lie in different components may still be linked with each other. They are compared by their
+   differences from the star's centre alone, which say exactly how much two of them share: stars of up to `block` members in one
+   task, larger ones split by an exact prefix filter over the rare shingles of these differences, and what is larger
+   still in pairs of chunks. Only links come out, never pairs, and no member is left out.
 5. Components by repeated linking to the least neighbour, in Spark jobs over the links alone.
 
-Null, empty and wordless texts have the empty set and link with nothing. Rows with one doc_id are one node; a null
+Very long texts are read whole: their sets are held one at a time and cut by no limit. Ties do not arise: the result does not
+depend on the order of rows. Null, empty and wordless texts have the empty set and link with nothing. Rows with one doc_id are one node; a null
 doc_id is linked with nothing, its component is null and it is kept. An empty table gives an empty result. Only the two named
 columns are read, so others may have any name.
 """
@@ -24,22 +23,21 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytescan import U64, doc_groups, mixed, word_hashes
+from .bytescan import U64, byte_parts, doc_groups, mixed, word_hashes
 from .store import written
 
 #: Candidate ids up to this number are broadcast as a filter of the second scan (8 bytes each); more are joined.
 BROADCAST_IDS = 500_000
-#: Members of a loose cluster that meet in one block.
-CHUNK = 256
-#: Chances that a pair at the threshold misses all bands, and all sharp bands; the numbers of bands follow from them.
-MISS, SHARP_MISS = 2.5e-8, 1.3e-7
+#: Members of a star that are compared in one task; it also holds 256 times as many items of their differences at most.
+BLOCK = 4096
+#: Chance that a pair at the threshold misses all bands; their number follows from it.
+MISS = 2.5e-8
 #: Signature values that are computed at once.
 VALUES = 8_000_000
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -107,7 +105,7 @@ def bands_for(threshold: int, rows: int, miss: float) -> int:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], width: int, bins: int, bands: int, rows: int, salt: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in byte_parts(batches, 1):
         words, bounds = word_hashes(batch.column(1), fold=True)
         for lo, hi in doc_groups(bounds, 1_000_000):
             sets = shingle_sets(words[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], width)
@@ -123,7 +121,7 @@ def _scan(batches: Iterator[pa.RecordBatch], width: int, bins: int, bands: int,
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in byte_parts(batches, 1):
         words, bounds = word_hashes(batch.column(1), fold=True)
         for lo, hi in doc_groups(bounds, 1_000_000):
             sets = shingle_sets(words[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], width)
@@ -131,24 +129,27 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _links_between(table: pa.Table, threshold: int) -> pa.Table:
-    """Rows node, root, side, items of one block -> links a, b between the two sides where the roots differ; one for each pair of roots."""
-    node, root, side = (table[c].to_numpy() for c in ("node", "root", "side"))
-    sets = [np.asarray(x.values) for x in table["items"]]
-    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-    items = np.concatenate([sets[j] for j in right]) if len(right) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(right)), [len(sets[j]) for j in right])
-    order = np.argsort(items, kind="stable")
-    items, owner = items[order], owner[order]
-    sizes, found = np.array([len(sets[j]) for j in right]), {}
-    for i in left:
-        lo, hi = np.searchsorted(items, sets[i], "left"), np.searchsorted(items, sets[i], "right")
+    """Rows node, root, inside, side, s, delta of one block -> links a, b between different roots, one for each pair of roots.
+
+    Two members are linked if their differences from the centre share at least (s_i + s_j) / (2 * (100 + threshold)) items. One of
+    the two is outside the centre's component, so only those ask; side 1 meets side 2, and 3 stands on both sides.
+    """
+    node, root, side, s = (table[c].to_numpy() for c in ("node", "root", "side", "s"))
+    inside = table["inside"].to_numpy().astype(bool)
+    column = table["delta"].combine_chunks()
+    off, items = column.offsets.to_numpy(), column.values.to_numpy()
+    owner = np.repeat(np.arange(len(node)), np.diff(off))
+    order = np.argsort(items[off[0] : off[-1]], kind="stable")
+    ordered, owner, off = items[off[0] : off[-1]][order], owner[order], off - off[0]
+    own, need, found = items[column.offsets[0].as_py() :], 2 * (100 + threshold), {}
+    for i in np.flatnonzero(~inside):
+        mine = own[off[i] : off[i + 1]]
+        lo, hi = np.searchsorted(ordered, mine, "left"), np.searchsorted(ordered, mine, "right")
         n = hi - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        common = np.bincount(owner[at], minlength=len(right))
-        union = len(sets[i]) + sizes - common
-        for j in np.flatnonzero((100 * common >= threshold * union) & (root[right] != root[i])):
-            pair = (min(root[i], root[right[j]]), max(root[i], root[right[j]]))
-            found.setdefault(pair, (node[i], node[right[j]]))
+        shared = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(node))
+        meets = (side == 3) if side[i] == 3 else (side | side[i]) == 3
+        for j in np.flatnonzero((need * shared >= s + s[i]) & (root != root[i]) & meets):
+            found.setdefault((min(root[i], root[j]), max(root[i], root[j])), (node[i], node[j]))
     return pa.table({"a": pa.array([x for x, _ in found.values()], pa.int64()), "b": pa.array([y for _, y in found.values()], pa.int64())})
 
 
@@ -178,114 +179,117 @@ def components(links: DataFrame, label: str) -> DataFrame:
     return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), label)
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, bands: int | None = None, rows: int = 5, sharp_bands: int | None = None, sharp_rows: int = 8, small: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def stars(members: DataFrame) -> DataFrame:
+    """Bucket rows node, key -> a, b, many: each member b with the least member a of its bucket, so n - 1 rows a bucket at most.
+
+    many: a is the centre of several members, so two of them may still have to be compared.
+    """
+    members = written(members, "near-buckets")
+    heads = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last").drop("last")
+    pairs = written(members.join(heads, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "near-stars")
+    return pairs.join(pairs.groupBy("a").agg((F.count(F.lit(1)) > 1).alias("many")), "a")
+
+
+def measured(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """a, b, many -> a, g, b, slack, s, d, delta, by the whole sets. g stands for one set of a, as rows of one doc_id may have several.
+
+    With d the size of the symmetric difference of a and b, 100 * intersection >= threshold * union is
+    slack = (100 + threshold) * d - (100 - threshold) * (size of a + size of b) <= 0. s is the same without the size of a; delta,
+    the difference itself, is kept where many holds.
+    """
+    joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
+    joined = joined.select("a", F.xxhash64("a", F.xxhash64("x")).alias("g"), "b", "many", F.size("x").cast("long").alias("m"), F.size("y").cast("long").alias("n"), F.array_except("y", "x").alias("more"), F.array_except("x", "y").alias("less"))
+    d = (F.size("more") + F.size("less")).cast("long")
+    out = joined.select("a", "g", "b", "m", "n", d.alias("d"), F.when(F.col("many"), F.concat("more", "less")).alias("delta"))
+    s = f"{100 + threshold} * d - {100 - threshold} * n"
+    return written(out.selectExpr("a", "g", "b", f"{s} - {100 - threshold} * m AS slack", f"{s} AS s", "d", "delta"), "near-tested")
+
+
+def open_members(tested: DataFrame, roots: DataFrame) -> DataFrame:
+    """g, node, root, inside, s, d, delta, s_out of the stars whose members lie in several components, so may hide links.
+
+    Only pairs of different components matter, so at least one of the two is outside the centre's component and not linked
+    with the centre. Members inside whose difference is too small to share what such a link needs are left out.
+    """
+    root = lambda node, name: roots.select(F.col("node").alias(node), F.col("root").alias(name))
+    placed = tested.filter("delta is not null").join(root("b", "rb"), "b", "left").join(root("a", "ra"), "a", "left")
+    placed = placed.withColumn("root", F.coalesce("rb", "b")).withColumn("inside", F.coalesce("ra", "a") == F.col("root"))
+    placed = written(placed.select("g", F.col("b").alias("node"), "root", "inside", "s", "d", "delta"), "near-placed")
+    apart = F.when(~F.col("inside"), F.col("root"))
+    groups = placed.groupBy("g").agg(F.min(F.when(~F.col("inside"), F.col("s"))).alias("s_out"), F.min(apart).alias("r0"), F.max(apart).alias("r1"), F.max("inside").alias("both"))
+    return placed.join(groups.filter("both or r0 < r1").drop("r0", "r1", "both"), "g").filter("s_out is not null")
+
+
+def by_rare_shingles(rest: DataFrame, threshold: int) -> DataFrame:
+    """Members of large stars -> key and the same columns: smaller groups, in at least one of which every link still hidden meets.
+
+    A prefix filter. Linked members share at least o = (s_i + s_j) / (2 * (100 + threshold)) items of their differences from
+    the centre; ordered from rare to common, these meet among the first d - o + 1, o taken as the least over all partners a
+    member can have. Items that stand in one component only come first in this order and make no group: of copies changed
+    each in its own way nothing is left. There are groups for pairs inside-outside and for pairs outside-outside.
+    """
+    half = 2 * (100 + threshold)
+    share = lambda other: F.greatest(F.lit(1).cast("long"), F.expr(f"(s + {other} + {half - 1}) div {half}"))  # noqa: E731  rounded up
+    rest = rest.withColumn("o", share("s_out")).filter("o <= d")
+    inner = rest.filter("inside").groupBy("g").agg(F.min("s").alias("s_in"), F.max("d").alias("d_in"))
+    rest = rest.join(inner, "g", "left").withColumn("o_in", F.when(F.col("inside"), F.col("o")).when(share("s_in") <= F.least("d", "d_in"), share("s_in")))
+    rest = written(rest.withColumn("o_out", F.when(~F.col("inside"), F.col("o"))).drop("o", "s_in", "d_in"), "near-large")
+    items = rest.select("g", "node", "root", "inside", "o_in", "o_out", F.explode("delta").alias("item"))
+    apart = F.when(~F.col("inside"), F.col("root"))
+    common = items.groupBy("g", "item").agg(F.count(F.lit(1)).alias("df"), F.max("inside").alias("within"), F.min(apart).alias("r0"), F.max(apart).alias("r1"))
+    common = common.select("g", "item", "df", (F.col("within") & F.col("r0").isNotNull()).alias("mixed"), F.coalesce(F.col("r0") < F.col("r1"), F.lit(False)).alias("several")).filter("mixed or several")
+    found, made = items.join(common, ["g", "item"]), []
+    for bound, live in (("o_in", "mixed"), ("o_out", "several")):
+        some = found.filter(F.col(live) & F.col(bound).isNotNull()).groupBy("g", "node", bound).agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("l"))
+        some = some.filter(F.size("l") >= F.col(bound)).withColumn("l", F.slice("l", F.lit(1), (F.size("l") - F.col(bound) + 1).cast("int")))
+        made.append(some.select("g", "node", F.explode("l.item").alias("item")).select("g", "node", F.xxhash64("g", "item", F.lit(bound)).alias("key")))
+    return made[0].unionByName(made[1]).join(rest, ["g", "node"]).select("key", "node", "root", "inside", "s", "delta")
+
+
+def in_blocks(members: DataFrame, threshold: int, most: int, label: str) -> DataFrame:
+    """key, node, root, inside, s, delta -> links a, b between different roots of a key.
+
+    A block holds two chunks of a key's members, a chunk `most` members or 256 * `most` items at most; keys up to one chunk are one block.
+    """
+    groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("delta")).alias("items"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("inside").alias("inside"))
+    groups = groups.filter("r0 < r1 and not inside").select("key", F.ceil(F.greatest(F.col("n") / most, F.col("items") / (256 * most))).cast("int").alias("chunks"))
+    members = members.join(groups.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "root", "inside", "s", "delta", side.alias("side"))
+    return written(dealt.groupBy("key", "x", "y").applyInArrow(lambda t: _links_between(t, threshold), "a long, b long"), label)
+
+
+def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, bands: int | None = None, rows: int = 5, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row. Links: 100 * intersection >= threshold * union.
 
-    Unless given, the numbers of bands follow from the threshold (MISS, SHARP_MISS): 30 of 5 and 50 of 8 at 85 %, 45 and 87 at 80 %.
+    Unless given, the number of bands follows from the threshold (MISS): 30 of 5 at 85 %, 45 at 80 %.
     """
-    share = threshold / 100.0
-    bands, sharp_bands = bands or bands_for(threshold, rows, MISS), sharp_bands or bands_for(threshold, sharp_rows, SHARP_MISS)
+    bands = bands or bands_for(threshold, rows, MISS)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     scanned = written(source.mapInArrow(lambda it: _scan(it, width, bands * rows, bands, rows, 1), "doc_id long, n_shingles long, digest binary, keys array<long>"), "near-scan")
     full = scanned.filter("doc_id is not null and n_shingles > 0")
-    nodes = written(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "near-nodes")
+    nodes = written(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "near-nodes")
     # one doc_id on several rows joins their nodes
     doubled = full.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     same_id = full.select("doc_id", "digest").join(doubled, "doc_id", "left_semi").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-
-    def stars(rows_: DataFrame, label: str) -> DataFrame:
-        """Bucket rows key, node -> rows of buckets with company, with the centre and number of members."""
-        rows_ = written(rows_, f"{label}-rows")
-        heads = rows_.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members")).filter("centre < last").drop("last")
-        return written(rows_.join(heads, "key"), label)
-
-    def sets_of(ids: DataFrame, label: str) -> DataFrame:
-        """doc_id, items for the ids in the column doc_id."""
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        found = source.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "doc_id long, items array<long>")
-        return written(found, f"{label}-sets")
-
-    def measured(pairs: DataFrame, label: str) -> DataFrame:
-        """a, b -> a, b, i, u: sizes of intersection and union of the whole sets."""
-        pairs = written(pairs, label)
-        sets = sets_of(written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{label}-ids"), label)
-        joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-        joined = joined.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-        common = F.size(F.array_intersect("x", "y")).cast("long")
-        return written(joined.select("a", "b", common.alias("i"), (F.size("x") + F.size("y")).alias("s")).selectExpr("a", "b", "i", "s - i as u"), label)
-
-    def in_blocks(rest_: DataFrame, clusters: DataFrame) -> DataFrame:
-        """Links between different components inside one loose cluster: every two chunks of a cluster meet in one block."""
-        some = rest_.select("node", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
-        chunks = some.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").drop("r0", "r1")
-        some = written(some.join(chunks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "near-clusters")
-        sets = sets_of(written(some.select(F.col("node").alias("doc_id")).distinct(), "near-cluster-ids"), "near-cluster")
-        dealt = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        side = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        dealt = dealt.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "root", side.alias("side"))
-        dealt = dealt.join(sets.withColumnRenamed("doc_id", "node"), "node").repartition("cluster", "x", "y")
-        return dealt.groupBy("cluster", "x", "y").applyInArrow(lambda t: _links_between(t, threshold), "a long, b long")
-
-    linked = F.col("i") * 100 >= F.col("u") * threshold
-
-    def across(buckets: DataFrame, dist: DataFrame, roots: DataFrame, label: str) -> DataFrame:
-        """Bucket rows that may still hide links: key, node, centre, members, n, far (distance to the centre), root.
-
-        Rows outside the centre's component matter where two of their components meet, or where one of them may have a link to a
-        member of the centre's component: their distances from the centre then differ by 1 - threshold at most. A component is
-        linked step by step, so its members may be at any distance; only those near enough to the outside rows matter.
-        """
-        placed = buckets.filter("node <> centre").join(roots.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
-        placed = placed.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("c")), "centre", "left").withColumn("inside", F.coalesce("c", "centre") == F.col("root")).drop("c")
-        placed = placed.join(dist, ["centre", "node"], "left")
-        reach = 1 - share + 1e-9
-        placed = placed.filter("not inside or far > 0")
-        out, within = F.when(~F.col("inside"), F.col("far")), F.when(F.col("inside"), F.col("far"))
-        keys = placed.groupBy("key").agg(F.min(F.when(~F.col("inside"), F.col("root"))).alias("r0"), F.max(F.when(~F.col("inside"), F.col("root"))).alias("r1"), F.min(out).alias("least"), F.max(out).alias("most"), F.max(within).alias("reached"))
-        keys = keys.select("key", "least", "most", F.coalesce(F.col("least") <= F.col("reached") + reach, F.lit(False)).alias("close"), (F.col("r0") < F.col("r1")).alias("several"))
-        keys = written(keys.filter("close or several"), label)
-        near = keys.filter("close").select("key", "least", "most")
-        rows_ = placed.filter("not inside").join(keys.select("key"), "key", "left_semi")
-        members = placed.filter("inside").join(near, "key").filter(F.col("far").between(F.col("least") - reach, F.col("most") + reach)).drop("least", "most")
-        rows_ = rows_.unionByName(members)
-        return written(rows_.drop("inside").join(nodes.select("node", "n"), "node"), label)
-
-    def distances(m: DataFrame) -> DataFrame:
-        return m.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("i") / F.col("u")).alias("far"))
-
-    def hidden(rest: DataFrame, also: Column) -> DataFrame:
-        """Pairs of one bucket in different components that sizes and the metric allow to be linked."""
-        rest = rest if "cluster" in rest.columns else rest.withColumn("cluster", F.lit(0))
-        x = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("far").alias("fa"), F.col("root").alias("ra"), F.col("cluster").alias("ca"))
-        y = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("far").alias("fb"), F.col("root").alias("rb"), F.col("cluster").alias("cb"))
-        near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.abs(F.col("fa") - F.col("fb")) <= 1 - share + 1e-9) & (F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-9) & also
-        return x.join(y, "key").filter(near).select("a", "b").distinct()
-
-    first = stars(nodes.select("node", F.explode("keys").alias("key")), "near-buckets")
-    found = measured(first.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-stars")
-    links = [found.filter(linked).select("a", "b"), same_id]
-    roots = components(reduce(DataFrame.union, links), "near-roots")
-    rest = across(first, distances(found), roots, "near-rest")
+    pairs = stars(nodes.select("node", F.explode("keys").alias("key")))
+    ids = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "near-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = written(source.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "doc_id long, items array<long>"), "near-sets")
+    tested = measured(pairs, sets, threshold)
+    links = tested.filter("slack <= 0").select("a", "b").union(same_id)
+    roots = components(links, "near-roots")
+    rest = written(open_members(tested, roots), "near-open")
     if not rest.isEmpty():
-        some = measured(hidden(rest.filter(F.col("members") <= small), F.lit(True)), "near-pairs")
-        links.append(some.filter(linked).select("a", "b"))
-        large = written(rest.filter(F.col("members") > small).select(F.col("node").alias("doc_id")).distinct(), "near-large")
+        large = rest.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("items")).filter((F.col("n") > block) | (F.col("items") > 256 * block)).select("g")
+        few = rest.join(large, "g", "left_anti").select(F.col("g").alias("key"), "node", "root", "inside", "s", "delta")
+        more = in_blocks(few, threshold, block, "near-block-links")
         if not large.isEmpty():
-            bins = 4 * bands * rows
-            wanted = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
-            again = source.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _scan(it, width, bins, sharp_bands, sharp_rows, 2), "doc_id long, n_shingles long, digest binary, keys array<long>")
-            sharp = stars(again.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")), "near-sharp")
-            more = measured(sharp.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-sharp-stars")
-            links.append(more.filter(linked).select("a", "b"))
-            roots = components(reduce(DataFrame.union, links), "near-sharp-roots")
-            rest = across(sharp, distances(more), roots, "near-sharp-rest")
-            loose = found.union(more).filter(F.col("i") >= F.col("u") * (2 * share - 1)).select("a", "b")
-            clusters = components(loose, "near-loose")
-            links.append(written(in_blocks(rest, clusters), "near-block-links"))
-            placed = rest.join(clusters.withColumnRenamed("root", "cluster"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-            last = measured(hidden(placed, F.col("ca") != F.col("cb")), "near-sharp-pairs")
-            links.append(last.filter(linked).select("a", "b"))
-        roots = components(reduce(DataFrame.union, links), "near-roots-all")
+            many = written(by_rare_shingles(rest.join(large, "g", "left_semi"), threshold), "near-rare")
+            more = more.union(in_blocks(many, threshold, block, "near-rare-links"))
+        found = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(found.union(more), "near-roots-all")
     named = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
     out = scanned.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))

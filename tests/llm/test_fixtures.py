@@ -358,7 +358,7 @@ def test_near_duplicates(docs, rows):
 
 
 def test_near_threshold_cluster(spark):
-    """A big group around the threshold: chains of links, and members that link with nobody, through the sharper bands and blocks."""
+    """A big group around the threshold: chains of links, and members that link with nobody, in one block and in many."""
     rng = random.Random(8)
     base = [f"w{k}" for k in range(90)]
     rows = []
@@ -367,8 +367,40 @@ def test_near_threshold_cluster(spark):
         for _ in range(rng.choice([1, 2, 3, 4])):
             copy[rng.randrange(90)] = f"n{rng.randrange(10**6)}"
         rows.append((i * 3 + 1, " ".join(copy), "en", "s"))
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), small=4).collect()}
-    assert got == brute_components(rows)
+    want = brute_components(rows)
+    for block in (minhash.BLOCK, 8):
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), block=block).collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_dropped_doubled_and_replaced_words(spark, seed):
+    """Copies of copies whose changes fall together often; small blocks, so that the prefix filter over rare shingles runs."""
+    rng, rows = random.Random(seed), []
+    kept = [[f"w{k}" for k in range(70)]]
+    for i in range(160):
+        copy = rng.choice(kept).copy()
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            k, kind = rng.randrange(len(copy)), rng.random()
+            copy[k : k + 1] = [] if kind < 0.4 else [copy[k]] * 2 if kind < 0.6 else [f"n{rng.randrange(6)}"]
+        kept.append(copy)
+        rows.append((i, " ".join(copy), "en", "s"))
+    rng.shuffle(rows)
+    rows = [(i, text, lang, source) for i, (_, text, lang, source) in enumerate(rows)]
+    want = brute_components(rows)
+    assert len(set(want.values())) > 5
+    for block in (minhash.BLOCK, 5):
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), block=block).collect()} == want
+
+
+def test_words_that_polynomial_hashes_merge_stay_apart(spark):
+    a, b = "a", "b"
+    for _ in range(10):  # Thue-Morse words: equal under any polynomial in an odd base modulo 2**64
+        a, b = a + b, b + a
+    rows = [(1, a, "en", "s"), (2, b, "en", "s"), (3, f"{a} x y", "en", "s"), (4, f"{b} x y", "en", "s")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    hashes, _ = bytescan.word_hashes(pa.array([f"{a} {b}"]))
+    assert hashes[0] != hashes[1]
 
 
 def test_every_language_is_trained(spark):
