@@ -3,20 +3,27 @@ r"""Personal data: exact patterns, and a skip-chain conditional random field tha
 Base spans, leftmost and non-overlapping for each kind, over the whole text: email, ip, card (Luhn), phone. Around words
 with a digit or @, words are the nodes of a graph: neighbours share chain potentials, and words of one document that
 repeat or resemble each other (same letters and digits, or same last seven digits) share skip potentials, however far
-apart. Loopy belief propagation, all messages at once, gives each word's marginals; words of an entity label with a
-marginal of at least `sure` that no base span covers become added spans of that kind. The base spans always stay.
-
-Weights (hashed features of shape, context and the potentials) are trained in numpy from the base spans of about
-`sample_size` documents at most (SAMPLE), taken by a hash of the id: the features see shapes and
-contexts, not the patterns.
-
-Null and empty texts have no spans. Empty tables give an empty result. Null or repeated ids only change which documents
-are sampled; extra columns are ignored. Positions are code points, ends exclusive.
+apart. Loopy belief propagation, all messages at once, gives each word's marginals; words of an entity label whose
+marginal reaches the kind's threshold and that no base span covers become added spans of that kind. The base spans always stay.
+The field has a fifth label, secret: keys and tokens of credentials.
+
+What the base patterns find is no lesson for what they miss. So the field (hashed features of shape and context, and the
+potentials) learns from documents in which some of the data found is written again in a form that no base pattern
+matches (FORMS: no country code, dots for dashes, "at" for @ ...), and, for secrets, from values that follow a word like
+token or password (SECRET; a pattern for labels only, it never makes spans). Words that repeat or resemble a labelled
+word of their document are labelled like it. Every task trains on all its documents, batch
+by batch, and the weights are averaged, each feature's by how often the task met it; then once more from there. One document in ten
+(by a hash of its text) is left out and gives the thresholds: the least one at which `precision` of the added words of a kind are right; SURE for
+a kind that the documents left out do not show.
+
+Null and empty texts have no spans. Empty tables give an empty result. Null or repeated ids, repeated rows and ties change
+nothing: no id is used. Very long texts are read whole, as one graph. Extra columns are ignored. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -27,10 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytescan import byte_parts
 from .gru import Adam
+from .store import written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, WEIGHTS, SURE, ROUNDS = 20_000, 1 << 14, 0.95, 8
+LABELS = (*KINDS, "secret")
+WEIGHTS, PRECISION, SURE, ROUNDS, NODES, STEPS = 1 << 14, 0.99, 0.9, 8, 20_000, (40, 20)
+#: Credentials as training labels: the value after a telling word.
+SECRET = re.compile(r"""(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?\x20{0,3}[=:]\x20{0,3}["']?([A-Za-z0-9+/_-]{16,200})""")
+#: Forms that base patterns miss: d are the digits, m the text itself.
+FORMS = {
+    "email": (lambda m, d: m.replace("@", " at "), lambda m, d: m.replace("@", "(at)"), lambda m, d: m.replace("@", " [at] ")),
+    "ip": (lambda m, d: m.replace(".", "-"), lambda m, d: m.replace(".", "[.]"), lambda m, d: m.replace(".", " . ")),
+    "card": (lambda m, d: ".".join(d[k : k + 4] for k in range(0, len(d), 4)), lambda m, d: "/".join(d[k : k + 4] for k in range(0, len(d), 4))),
+    "phone": (lambda m, d: f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}", lambda m, d: f"{d[-10:-7]}.{d[-7:-4]}.{d[-4:]}", lambda m, d: f"{d[-10:-7]}-{d[-7:-4]}-{d[-4:]}", lambda m, d: f"{d[-7:-4]}-{d[-4:]}"),
+    "secret": (),
+}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # A match can only start where a run of digits does, and runs are taken whole: linear on any text.
@@ -38,6 +58,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT, _WORD, _DIGITS = re.compile("[0-9@]"), re.compile(r"[^\x20\x09-\x0D]+"), re.compile("[^0-9]")
+_HEX = re.compile("[0-9a-f]+")
 _SHAPES = ((re.compile("[a-z]+"), "a"), (re.compile("[A-Z]+"), "A"), (re.compile("[^\x00-\x7f]+"), "w"), (re.compile("[0-9]"), "9"))
 
 
@@ -84,7 +105,7 @@ def _shape(word: str) -> str:
 class Graph:
     """Words around candidates: spans, feature rows, chain and skip edges, labels by the base spans."""
 
-    def __init__(self, text: str, base: list[tuple[str, int, int]]):
+    def __init__(self, text: str, base: list[tuple[str, int, int]], plain: bool = False, alike_too: bool = False):
         words = [m.span() for m in _WORD.finditer(text)]
         hint = [bool(_HINT.search(text, a, b)) for a, b in words]
         near = [i for i in range(len(words)) if hint[i] or (i and hint[i - 1]) or (i + 1 < len(words) and hint[i + 1])]
@@ -95,7 +116,9 @@ class Graph:
         ends = np.array([b for _, b in self.spans])
         for kind, a, b in base:
             lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
-            self.label[lo:hi] = KINDS.index(kind) + 1
+            self.label[lo:hi] = LABELS.index(kind) + 1
+        if plain:  # labels only
+            return
         self.chain = [(k, k + 1) for k in range(len(near) - 1) if near[k] + 1 == near[k + 1]]
         self.skip, alike = [], defaultdict(list)
         self.features = []
@@ -105,18 +128,21 @@ class Graph:
             digits = _DIGITS.sub("", word)
             left = shapes[k - 1] if k and near[k - 1] + 1 == near[k] else "^"
             right = shapes[k + 1] if k + 1 < len(near) and near[k] + 1 == near[k + 1] else "$"
+            plain = "".join(filter(str.isalnum, word.replace("(at)", "").replace("[at]", ""))).lower()
             before = text[slice(*words[near[k] - 1])].lower()[:24] if near[k] else "^"
-            names = ["bias", f"s {shapes[k]}", f"d {min(len(digits), 20)}", f"f {word[0]}", f"e {word[-1]}", f"l {left}", f"r {right}", f"ls {left} {shapes[k]}", f"rs {shapes[k]} {right}", f"p {before}", f"at {'@' in word} {word.count('.')} {word.count('-')}"]
+            names = ["bias", f"s {shapes[k]}", f"d {min(len(digits), 20)}", f"f {word[0]}", f"e {word[-1]}", f"l {left}", f"r {right}", f"ls {left} {shapes[k]}", f"rs {shapes[k]} {right}", f"p {before}", f"at {'@' in word} {word.count('.')} {word.count('-')}", f"m {min(len(word), 64) // 8} {bool(digits)} {len(digits) == len(word)} {_HEX.search(plain) is not None and _HEX.search(plain)[0] == plain}"]
             self.features.append([zlib.crc32(x.encode()) % WEIGHTS for x in names])
             if hint[near[k]]:
-                plain = "".join(filter(str.isalnum, word)).lower()
                 for key in {plain if len(plain) >= 5 else "", "#" + digits[-7:] if len(digits) >= 7 else ""} - {""}:
                     alike[key].append(k)
         for places in alike.values():
+            known = [self.label[k] for k in places if self.label[k]]
+            if alike_too and known:  # the same thing written again is the same thing
+                self.label[[k for k in places if not self.label[k]]] = known[0]
             self.skip += zip(places, places[1:])
 
 
-FEATURES = 11
+FEATURES = 12
 
 
 def joined(graphs: list[tuple[np.ndarray, list, list]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,33 +188,47 @@ def propagate(unary: np.ndarray, edges: np.ndarray, types: np.ndarray, pair: np.
 
 
 class Field:
-    def __init__(self, params: dict[str, np.ndarray]):
-        self.p = params
+    """Weights w of the features by label, pair potentials (chain, skip), and the threshold of each label but the first."""
+
+    def __init__(self, params: dict[str, np.ndarray], sure: np.ndarray):
+        self.p, self.sure = params, sure
 
     @classmethod
-    def trained(cls, graphs: list[tuple], labels: np.ndarray, rounds: int = 80) -> Field | None:
-        if not labels.any():
-            return None
-        features, edges, types = joined(graphs)
-        kinds = len(KINDS) + 1
-        p = {"w": np.zeros((WEIGHTS, kinds), np.float32), "pair": np.stack([np.zeros((kinds, kinds)), 0.5 * np.eye(kinds)]).astype(np.float32)}
-        adam, n = Adam(p, 0.1), len(labels)
-        truth = np.eye(kinds, dtype=np.float32)[labels]
-        for _ in range(rounds):
-            node, edge = propagate(p["w"][features].sum(1), edges, types, p["pair"])
-            gw = 1e-4 * p["w"]
-            np.add.at(gw, features.ravel(), np.repeat((node - truth) / n, FEATURES, 0))
-            gp = 1e-4 * p["pair"]
+    def new(cls) -> Field:
+        n = len(LABELS) + 1
+        return cls({"w": np.zeros((WEIGHTS, n), np.float32), "pair": np.stack([np.zeros((n, n)), 0.5 * np.eye(n)]).astype(np.float32)}, np.ones(n - 1))
+
+    def marginals(self, graphs: list) -> np.ndarray:
+        features, edges, types = joined([(g.features, g.chain, g.skip) for g in graphs])
+        return propagate(self.p["w"][features].sum(1), edges, types, self.p["pair"])[0]
+
+    def train(self, graphs: list, steps: int) -> None:
+        features, edges, types = joined([(g.features, g.chain, g.skip) for g in graphs])
+        labels = np.concatenate([g.label for g in graphs])
+        adam, n = Adam(self.p, 0.1), len(labels)
+        truth = np.eye(len(LABELS) + 1, dtype=np.float32)[labels]
+        used, place = np.unique(features, return_inverse=True)
+        for _ in range(steps):
+            node, edge = propagate(self.p["w"][features].sum(1), edges, types, self.p["pair"])
+            gw, own = np.zeros_like(self.p["w"]), np.repeat((node - truth) / n, FEATURES, 0)
+            for k in range(gw.shape[1]):
+                gw[used, k] = np.bincount(place.ravel(), own[:, k], len(used))
+            gw += 1e-4 * self.p["w"]
+            gp = 1e-4 * self.p["pair"]
             for kind in (0, 1):
                 some = types == kind
                 if some.any():
                     gp[kind] += (edge[some].sum(0) - truth[edges[some, 0]].T @ truth[edges[some, 1]]) / n
             adam.update({"w": gw, "pair": gp})
-        return cls(p)
 
-    def added(self, text: str, graph: Graph, base: list, marginals: np.ndarray, sure: float) -> list[tuple[str, int, int]]:
+    def taken(self, graph: Graph, marginals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest label of each word, and whether it is sure enough and the word is free."""
         best = marginals.argmax(1)
-        take = (best > 0) & (marginals.max(1) >= sure) & (graph.label == 0) & graph.hint
+        sure = np.concatenate([[np.inf], self.sure])[best]
+        return best, (marginals.max(1) >= sure) & (graph.label == 0) & graph.hint
+
+    def added(self, text: str, graph: Graph, base: list, marginals: np.ndarray) -> list[tuple[str, int, int]]:
+        best, take = self.taken(graph, marginals)
         taken = sorted((a, b) for _, a, b in base)
         out: list[list] = []
         follows = {b: a for a, b in graph.chain}
@@ -201,29 +241,26 @@ class Field:
                 b -= 1
             if a == b:
                 continue
-            if out and last == follows.get(k) and out[-1][0] == KINDS[best[k] - 1]:
+            if out and last == follows.get(k) and out[-1][0] == LABELS[best[k] - 1]:
                 out[-1][2] = b
             else:
-                out.append([KINDS[best[k] - 1], a, b])
+                out.append([LABELS[best[k] - 1], a, b])
             last = k
         return [tuple(x) for x in out if not any(a < x[2] and x[1] < b for a, b in taken)]
 
 
-def _found(texts: list[str | None], field: Field | None, sure: float, limit: int = 20_000) -> Iterator[tuple[list, list]]:
-    """Base and added spans of each text; graphs are joined up to `limit` nodes."""
+def _found(texts: list[str | None], field: Field) -> Iterator[tuple[list, list]]:
+    """Base and added spans of each text; graphs are joined up to NODES nodes."""
     held: list = []
     size = 0
 
     def flush() -> Iterator[tuple[list, list]]:
         graphs = [g for _, _, g in held if g]
-        if graphs:
-            features, edges, types = joined([(g.features, g.chain, g.skip) for g in graphs])
-            marginals, _ = propagate(field.p["w"][features].sum(1), edges, types, field.p["pair"])
-        at = 0
+        marginals, at = field.marginals(graphs) if graphs else None, 0
         for text, base, graph in held:
             more = []
             if graph:
-                more = field.added(text, graph, base, marginals[at : at + len(graph.spans)], sure)
+                more = field.added(text, graph, base, marginals[at : at + len(graph.spans)])
                 at += len(graph.spans)
             yield base, more
         held.clear()
@@ -231,54 +268,151 @@ def _found(texts: list[str | None], field: Field | None, sure: float, limit: int
     for text in texts:
         some = text and _HINT.search(text)
         base = base_spans(text) if some else []
-        graph = Graph(text, base) if some and field else None
+        graph = Graph(text, base) if some else None
         held.append((text, base, graph))
         size += len(graph.spans) if graph else 0
-        if size > limit or len(held) >= 2000:
+        if size > NODES or len(held) >= 2000:
             yield from flush()
             size = 0
     yield from flush()
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
+def lesson(text: str) -> tuple[Graph, np.ndarray]:
+    """A document to learn from: some of its data is written again at its end, in other forms. And marks of the words no base span covers."""
+    rng = random.Random(zlib.crc32(text.encode()))
+    base = base_spans(text)
+    secrets = [("secret", *m.span(1)) for m in SECRET.finditer(text)]
+    words = [text[a:b] for a, b in (m.span() for m in _WORD.finditer(text, 0, 2000))]
+    words = [w for w in words if not _HINT.search(w)] or ["and"]
+    parts, size, more = [text], len(text), []
+
+    def put(x: str) -> None:
+        nonlocal size
+        parts.append(x)
+        size += len(x)
+
+    for kind, a, b in rng.sample(base, min(len(base), 4)) if rng.random() < 0.7 else []:
+        put(" " + " ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) + " ")
+        form = rng.choice(FORMS[kind])(text[a:b], _DIGITS.sub("", text[a:b]))
+        more.append((kind, size, size + len(form)))
+        put(form + rng.choice(["", "", ".", ","]))
+    for kind, a, b in secrets[:4]:
+        if rng.random() < 0.5:
+            put(" " + " ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) + " ")
+            more.append((kind, size, size + b - a))
+            put(text[a:b])
+    put(" " + rng.choice(words))
+    text = "".join(parts)
+    base = base_spans(text)
+    graph = Graph(text, base + [x for x in secrets + more if not any(a < x[2] and x[1] < b for _, a, b in base)], alike_too=True)
+    return graph, Graph(text, base, plain=True).label == 0
+
+
+def _left_out(text: str) -> bool:
+    return zlib.crc32(b"left out" + text.encode()) % 10 == 0
+
+
+def _lessons(batches: Iterator[pa.RecordBatch], left_out: bool) -> Iterator[list]:
+    """Lists of lessons of about NODES nodes."""
+    held, size = [], 0
+    for batch in byte_parts(batches, 0):
         for text in (x.as_py() for x in batch.column(0)):
-            if text and _HINT.search(text):
-                g = Graph(text, base_spans(text))
-                rows.append((np.array(g.features, np.int32).ravel(), np.array(g.chain, np.int32).ravel(), np.array(g.skip, np.int32).ravel(), g.label.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(4)], ["f", "c", "s", "y"])
-
-
-def fitted(docs: DataFrame, sample_size: int = SAMPLE) -> Field | None:
-    n = docs.count()
-    place = F.pmod(F.xxhash64(F.lit(23), F.col("doc_id")), F.lit(1_000_000))
-    some = docs.filter(place < int(1_000_000 * min(1.0, sample_size / max(n, 1)))).select("text").filter(F.col("text").rlike("[0-9@]"))
-    rows = some.mapInArrow(_sampled, "f array<int>, c array<int>, s array<int>, y array<int>").limit(2 * sample_size).collect()
-    rows = sorted(rows, key=lambda r: (len(r["y"]), r["f"]))
+            if text and _HINT.search(text) and _left_out(text) == left_out:
+                held.append(lesson(text))
+                size += len(held[-1][0].spans)
+                if size > NODES:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def trained(docs: DataFrame, field: Field, steps: int) -> Field | None:
+    """The field after every task has gone on from it over all its documents, averaged; None if there is nothing to learn from."""
+    shape, pair = field.p["w"].shape, field.p["pair"].shape
+    schema = "n double, counts binary, weights binary, pair binary"
+
+    def row(n, counts, weights, pairs):
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.float64()), *(pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (counts, weights, pairs))], ["n", "counts", "weights", "pair"])
+
+    def part(batches):
+        own, n, counts = Field({k: v.copy() for k, v in field.p.items()}, field.sure), 0, np.zeros(WEIGHTS)
+        for held in _lessons(batches, False):
+            graphs = [g for g, _ in held]
+            own.train(graphs, steps)
+            n += sum(len(g.spans) for g in graphs)
+            counts += np.bincount(np.concatenate([np.ravel(g.features) for g in graphs]), minlength=WEIGHTS)
+        if n:
+            yield row(n, counts, counts[:, None] * own.p["w"], n * own.p["pair"])
+
+    def total(batches):
+        sums = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = [batch["n"][k].as_py(), *(np.frombuffer(batch[c][k].as_py()) for c in ("counts", "weights", "pair"))]
+                sums = one if sums is None else [x + y for x, y in zip(sums, one, strict=True)]
+        if sums is not None:
+            yield row(*sums)
+
+    parts = written(docs.select("text").filter(F.col("text").rlike("[0-9@]")).mapInArrow(part, schema), "pii-parts")
+    rows = parts.coalesce(8).mapInArrow(total, schema).collect()
     if not rows:
         return None
-    graphs = [(r["f"], np.array(r["c"]).reshape(-1, 2), np.array(r["s"]).reshape(-1, 2)) for r in rows]
-    return Field.trained(graphs, np.concatenate([np.array(r["y"], np.int64) for r in rows]))
+    n, counts, weights, pairs = (sum(f(r) for r in rows) for f in (lambda r: r["n"], *(lambda r, c=c: np.frombuffer(bytes(r[c])) for c in ("counts", "weights", "pair"))))
+    met = counts[:, None] > 0
+    w = np.where(met, weights.reshape(shape) / np.maximum(counts[:, None], 1), field.p["w"])
+    return Field({"w": w.astype(np.float32), "pair": (pairs / n).reshape(pair).astype(np.float32)}, field.sure)
+
+
+def fitted(docs: DataFrame, precision: float = PRECISION) -> Field:
+    """The field and its thresholds; with nothing to learn from, one that adds nothing."""
+    field = Field.new()
+    for steps in STEPS:
+        field = trained(docs, field, steps)
+        if field is None:
+            return Field.new()
+
+    def judged(batches):
+        for held in _lessons(batches, True):
+            marginals, at = field.marginals([g for g, _ in held]), 0
+            found = np.zeros((len(LABELS), 101, 2), np.int64)
+            for g, free in held:
+                p = marginals[at : at + len(g.spans)]
+                at += len(g.spans)
+                best = p.argmax(1)
+                some = (best > 0) & free & g.hint
+                np.add.at(found, (best[some] - 1, (p.max(1)[some] * 100).astype(int), (g.label[some] == best[some]).astype(int)), 1)
+            kind, step, right = np.nonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (kind, step, right, found[kind, step, right])], ["kind", "step", "right", "n"])
+
+    rows = docs.select("text").filter(F.col("text").rlike("[0-9@]")).mapInArrow(judged, "kind long, step long, right long, n long")
+    counts = np.zeros((len(LABELS), 101, 2))
+    for r in rows.groupBy("kind", "step", "right").agg(F.sum("n").alias("n")).collect():
+        counts[r["kind"], r["step"], r["right"]] = r["n"]
+    above = counts[:, ::-1].cumsum(1)[:, ::-1]  # words at or above each step
+    good = (above[:, :, 1] >= precision * above.sum(2)) & (above[:, :, 1] > 0) & (np.arange(101) >= 50)
+    field.sure = np.where(good.any(1), good.argmax(1) / 100, np.where(counts.sum((1, 2)) > 0, np.inf, SURE))
+    return field
 
 
 def _joined_spans(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (LABELS.index(x[0]), x[1], x[2])))
 
 
-def _digests(batches: Iterator[pa.RecordBatch], field: Field | None, sure: float) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
-    for batch in batches:
-        rows = list(_found([x.as_py() for x in batch.column(1)], field, sure))
+def _digests(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"]
+    for batch in byte_parts(batches, 1):
+        rows = list(_found([x.as_py() for x in batch.column(1)], field))
         counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in KINDS]
         sha = pa.array([hashlib.sha256(_joined_spans(base).encode()).hexdigest() for base, _ in rows], pa.string())
         spans = pa.array([_joined_spans(base + more) for base, more in rows], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *counts, sha, spans, pa.array([len(more) for _, more in rows], pa.int64())], names)
+        sums = [pa.array(x, pa.int64()) for x in ([len(more) for _, more in rows], [len(base) + len(more) for base, more in rows])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *counts, sha, spans, *sums], names)
 
 
-def digest(docs: DataFrame, sure: float = SURE, sample_size: int = SAMPLE) -> DataFrame:
-    field = fitted(docs, sample_size)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _digests(it, field, sure), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
+def digest(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
+    field = fitted(docs, precision)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _digests(it, field), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -291,15 +425,15 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def masked_documents(docs: DataFrame, sure: float = SURE, sample_size: int = SAMPLE) -> DataFrame:
+def masked_documents(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """docs with every span masked."""
-    field, kinds = fitted(docs, sample_size), dict(docs.dtypes)
+    field, kinds = fitted(docs, precision), dict(docs.dtypes)
+    j = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            j = batch.schema.get_field_index("text")
+        for batch in byte_parts(batches, j):
             texts = [x.as_py() for x in batch.column(j)]
-            out = [masked(t, base + more) if base or more else t for t, (base, more) in zip(texts, _found(texts, field, sure), strict=True)]
+            out = [masked(t, base + more) if base or more else t for t, (base, more) in zip(texts, _found(texts, field), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == j else batch.column(k) for k in range(batch.num_columns)], batch.schema.names)
 
     return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns))

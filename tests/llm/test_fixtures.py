@@ -456,6 +456,44 @@ def test_personal_data_base(docs, rows):
     assert masked[210].startswith("mail <EMAIL> now, <IP> or <PHONE>") and masked[208] == "word " * 6000 and masked[200] is None
 
 
+def test_the_field_adds_what_patterns_miss(spark):
+    """Documents with data in full, and again in a form that no base pattern matches: found, and nothing else is."""
+    rng = random.Random(12)
+    vocabulary = "the report shows that sales in region grew while costs for all other items stayed flat".split()
+    words = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows, planted = [], {}
+    for i in range(700):
+        text, spans = words(12), []
+        if i % 2:
+            kind = ("phone", "email", "secret")[i // 2 % 3]
+            a, b, c = digits(3), digits(3), digits(4)
+            if kind == "phone":
+                full, again = f"+1 ({a}) {b}-{c}", rng.choice([f"{a}.{b}.{c}", f"{a}-{b}-{c}"])
+            elif kind == "email":
+                full, again = f"{rng.choice(vocabulary)}.{a}@mail{a}.example.com", None
+                again = full.replace("@", "(at)")
+            else:
+                again = hashlib.sha1(digits(9).encode()).hexdigest()
+                full = f"token = {again}"
+            text = f"{words(8)} {full} {words(9)} "
+            if kind == "secret":
+                spans.append((kind, text.index(again), text.index(again) + 40))
+            if i % 4 == 1:
+                spans.append((kind, len(text), len(text) + len(again)))
+                text += again + " "
+            text += words(5)
+        else:
+            text += f" in {rng.randint(1900, 2030)} and {rng.randint(2, 99)} items, {rng.randint(100, 999)}.{rng.randint(10, 99)} percent of 12/{rng.randint(10, 28)} {words(4)}"
+        rows.append((i, text, "en", "s"))
+        planted[i] = spans
+    got = {r.doc_id: r for r in pii.digest(documents(spark, rows)).collect()}
+    added = {(i, *x) for i, t, *_ in rows for x in (s.split(":") for s in got[i].spans.split(",") if s) if tuple([x[0], int(x[1]), int(x[2])]) not in pii.base_spans(t)}
+    want = {(i, k, str(a), str(b)) for i, spans in planted.items() for k, a, b in spans}
+    assert sum(r.n_added for r in got.values()) == len(added) and len(want) > 200
+    assert len(added & want) >= 0.95 * len(added) and len(added & want) >= 0.9 * len(want)
+
+
 def test_digit_runs_are_linear():
     assert pii.base_spans("1" * 300_000) == [] and pii.base_spans("a" * 300_000 + "@") == []
 
