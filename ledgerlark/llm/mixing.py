@@ -9,7 +9,8 @@ takes its quota of permuted blocks, disjoint from those of the other shards, and
 
 Empty tables give an empty result. Null or wordless texts have size 0 and are never taken. A null source is a source of
 its own, ordered last. Repeated rows are separate documents; rows with equal ids and sizes are interchangeable. Extra
-columns of the input, clashing names included, are ignored: only the three named columns are read.
+columns of the input, clashing names included, are ignored: only the three named columns are read. Very long texts are
+counted whole and drawn into the shard of the block in which they begin. Ties (equal keys) are rows of one doc_id; sizes order them.
 """
 
 from __future__ import annotations
@@ -98,15 +99,10 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     return nodes
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, shards: int = 16, block_words: int = 4096, seed: int = 7, **columns) -> DataFrame:
-    """Every document with its draws: doc_id, source, size, source_size, target, draws array<struct<epoch, shard, block, turn, words>>.
-
-    A draw is one copy of the document in shard `shard`, at the place `turn` gives among that shard's draws; words < size
-    only for the one document of a source at which its last round ends. shards must be a power of two.
-    """
+def _planned(rows: DataFrame, weights, max_repeat: int, shards: int, block_words: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Sized rows -> cells skey, bucket, cell_size, cell_from; and plan skey, source_size, target, words, blocks, upto by source."""
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
-    rows = written(sized(docs, **columns), "mix-sizes")
     cells = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("cell_size"))
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = written(cells.withColumn("cell_from", F.coalesce(F.sum("cell_size").over(before), F.lit(0))), "mix-cells")
@@ -116,7 +112,23 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, shards: int = 1
     dealt = split_tree(plan.groupBy().agg(quota.alias("q")), shards, seed)
     dealt = dealt.select("shard", F.posexplode("q").alias("i", "n")).withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("shard")))
     dealt = dealt.groupBy((F.col("i") + 1).alias("rank")).agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "upto"))), lambda x: x["upto"]).alias("upto"))
-    plan = written(plan.join(dealt, "rank", "left").drop("rank", "weight"), "mix-plan")
+    return cells, written(plan.join(dealt, "rank", "left").drop("rank", "weight"), "mix-plan")
+
+
+def shard_quotas(docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, shards: int = 16, block_words: int = 4096, seed: int = 7, **columns) -> DataFrame:
+    """source, shard, blocks: the quotas that the splitting tree deals."""
+    _, plan = _planned(written(sized(docs, **columns), "mix-sizes"), weights, max_repeat, shards, block_words, seed)
+    return plan.selectExpr("if(skey <> '1', substring(skey, 2), null) AS source", "posexplode(transform(upto, (u, k) -> u - coalesce(get(upto, k - 1), 0L))) AS (shard, blocks)")
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, shards: int = 16, block_words: int = 4096, seed: int = 7, **columns) -> DataFrame:
+    """Every document with its draws: doc_id, source, size, source_size, target, draws array<struct<epoch, shard, block, turn, words>>.
+
+    A draw is one copy of the document in shard `shard`, at the place `turn` gives among that shard's draws; words < size
+    only for the one document of a source at which its last round ends. shards must be a power of two.
+    """
+    rows = written(sized(docs, **columns), "mix-sizes")
+    cells, plan = _planned(rows, weights, max_repeat, shards, block_words, seed)
     # The small side holds 4,096 cells a source; it joins by key, whatever its size.
     cells = cells.join(plan, "skey").drop("cell_size")
     inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,29 +147,45 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, shards: int = 1
     return rows.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: a row of docs for each copy taken, cut after the words taken where a copy is partial."""
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mixed corpus: columns of docs, _shard, _turn; a row for each copy drawn, cut after the words taken where a copy is partial."""
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
     name = F.col("doc_id").cast("string")
     if not odd.isEmpty():  # rows without an id of their own get a name by their contents
         whole = F.xxhash64(*docs.columns)
         name = F.concat_ws("#", F.coalesce(name, F.lit("null")), whole, F.row_number().over(Window.partitionBy("doc_id", whole).orderBy("text")))
     named = docs.withColumn("_row", name)
-    drawn = mix(named.select(F.col("_row").alias("doc_id"), "text", "source"), **options)
-    drawn = drawn.select(F.col("doc_id").alias("_row"), F.explode("draws.words").alias("_words"), F.col("size").alias("_size"))
-    joined = named.join(drawn, "_row")
+    copies = mix(named.select(F.col("_row").alias("doc_id"), "text", "source"), **options)
+    copies = copies.select(F.col("doc_id").alias("_row"), F.explode("draws").alias("_draw"), F.col("size").alias("_size"))
+    copies = copies.select("_row", "_size", F.col("_draw.shard").alias("_shard"), F.col("_draw.turn").alias("_turn"), F.col("_draw.words").alias("_words"))
+    joined = named.join(copies, "_row")
     lead = F.expr(r"cast(text rlike '^[\\x20\\x09-\\x0D]' as int)")
     rest = F.element_at(F.split("text", r"[\x20\x09-\x0D]+", (F.col("_words") + lead + 1).cast("int")), -1)
     cut = F.when(F.col("_words") < F.col("_size"), F.substring(F.col("text"), F.lit(1), F.char_length("text") - F.char_length(rest))).otherwise(F.col("text"))
-    return joined.withColumn("text", cut).select(*docs.columns)
+    return joined.withColumn("text", cut).select(*docs.columns, "_shard", "_turn")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mixed corpus in its order: shard after shard, each shuffled; a shard is a run of whole partitions' rows, cut where it is large."""
+    return mixed(docs, **options).repartitionByRange("_shard", "_turn").sortWithinPartitions("_shard", "_turn").drop("_shard", "_turn")
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken (the sum of what the shards draw), copies, shards (shard:words, comma-joined)."""
     out = mix(docs, **options)
-    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("draws").alias("copies"))
+    dealt = F.transform(F.array_sort(F.array_distinct("draws.shard")), lambda s: F.struct(s.alias("shard"), F.aggregate(F.filter("draws", lambda d: d["shard"] == s), F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("words")))
+    out = out.withColumn("dealt", dealt)
+    taken = F.aggregate("dealt", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    named = F.array_join(F.transform("dealt", lambda d: F.concat_ws(":", d["shard"].cast("string"), d["words"].cast("string"))), ",")
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("draws").alias("copies"), named.alias("shards"))
+
+
+def totals(docs: DataFrame, **options) -> DataFrame:
+    """What digest gives, without the shards."""
+    return digest(docs, **options).drop("shards")
 
 
+#: What every document gives in all; the shards themselves are drawn, which SQL cannot say.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS ss, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),

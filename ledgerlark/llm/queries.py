@@ -8,6 +8,7 @@ from .store import table
 QUERIES = {
     "op1_language_id": lambda spark, sf_dir: langid.digest(table(spark, sf_dir, "documents")),
     "op2_source_mixing": lambda spark, sf_dir: mixing.digest(table(spark, sf_dir, "documents")),
+    "mixing_totals": lambda spark, sf_dir: mixing.totals(table(spark, sf_dir, "documents")),
     "op3_bpe_transducer": lambda spark, sf_dir: bpe.digest(table(spark, sf_dir, "documents")),
     "op4_lm_scoring": lambda spark, sf_dir: lm.scored(table(spark, sf_dir, "documents")),
     "op5_hilbert_neighbours": lambda spark, sf_dir: ann.neighbours(table(spark, sf_dir, "embeddings")),
@@ -18,4 +19,4 @@ QUERIES = {
     "op10_fm_quality": lambda spark, sf_dir: fm_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
-ORACLE_SQL = {"op2_source_mixing": mixing.ORACLE, "op7_host_quality_rules": host_rules.ORACLE}
+ORACLE_SQL = {"mixing_totals": mixing.ORACLE, "op7_host_quality_rules": host_rules.ORACLE}

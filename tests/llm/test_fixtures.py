@@ -160,7 +160,40 @@ def test_mixed_documents(docs):
     out = mixing.mixed_documents(docs.filter("doc_id is null or doc_id <> 200"))
     assert out.columns == docs.columns
     words = sum(len(WORD.findall(r.text or "")) for r in out.collect())
-    assert words == sum(r.taken for r in mixing.digest(docs.filter("doc_id is null or doc_id <> 200")).collect()) or abs(words / 1.0 - mixing.digest(docs).agg(F.sum("taken")).first()[0]) <= 50
+    assert words == sum(r.taken for r in mixing.digest(docs.filter("doc_id is null or doc_id <> 200")).collect())
+
+
+def test_shards_take_the_quotas_of_the_tree(docs):
+    of = lambda seed: {"shards": 8, "block_words": 200, "seed": seed}
+    draws = {seed: mixing.mix(docs, **of(seed)).collect() for seed in (7, 8)}
+    for seed, rows in draws.items():
+        blocks = {}
+        for r in rows:
+            for d in r.draws:
+                blocks.setdefault((r.source, d.block), set()).add(d.shard)
+        assert all(len(x) == 1 for x in blocks.values())  # blocks are disjoint
+        got = Counter((source, shard) for (source, _), (shard,) in blocks.items())
+        want = {(r.source, r.shard): r.blocks for r in mixing.shard_quotas(docs, **of(seed)).collect()}
+        begun = {s for s, _ in want if sum(n for (t, _), n in want.items() if t == s) == sum(t == s for t, _ in blocks)}  # a draw begins in every block
+        assert sum(want.values()) > 20 and begun
+        for (source, shard), n in want.items():
+            assert got[source, shard] == n if source in begun else got[source, shard] <= n
+        half = sum(n for (_, shard), n in want.items() if shard < 4)
+        assert abs(half - sum(want.values()) / 2) <= 1
+    shards = [Counter((r.doc_id, r.size, d.epoch, d.shard) for r in rows for d in r.draws) for rows in draws.values()]
+    assert shards[0] != shards[1]  # the seed deals other shards,
+    sums = [Counter((r.doc_id, r.size, sum(d.words for d in r.draws)) for r in rows) for rows in draws.values()]
+    assert sums[0] == sums[1]  # and the same words
+
+
+def test_mixed_documents_are_ordered_by_shard(docs):
+    some = docs.filter("doc_id < 120 and doc_id not in (5, 6)")
+    rows = mixing.mixed(some, shards=4, block_words=100).collect()
+    want = [(r.doc_id, r.text) for r in sorted(rows, key=lambda r: (r._shard, r._turn))]
+    assert [(r.doc_id, r.text) for r in mixing.mixed_documents(some, shards=4, block_words=100).collect()] == want
+    assert len({r._shard for r in rows}) == 4
+    at = [i for i, _ in want]
+    assert at != sorted(at)
 
 
 @pytest.fixture(scope="module")
