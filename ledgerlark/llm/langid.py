@@ -1,12 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a text's UTF-8 bytes in windows of `WINDOW` positions, one cell forwards and one backwards, and labels every
-position; a document's probabilities are the mean over all its positions, over the whole text. It is trained in numpy by
+The network reads a text's UTF-8 bytes, one cell forwards and one backwards, and labels every position; a document's
+probabilities are the mean over all its positions, over the whole text. So that one long text is not one long chain of steps,
+both cells start anew every `WINDOW` positions, but `LEAD` positions earlier, whose labels do not count: by then the
+state is that of the running text but for what it would have forgotten (texts of two minds, in no language that was
+learned, may be judged otherwise than by one long chain). It is trained in numpy by
 backpropagation through time on a bounded sample: at most `per_lang` documents of each language (PER_LANG), of each a
 few snippets, chosen by a hash of the id among the documents that have a language and are not held out.
 
 Null texts and texts without a letter are `und` with score 0, as is every text if there is nothing to learn from. Null or
-repeated ids only change which rows are sampled. Empty tables give an empty result; extra columns are ignored.
+repeated ids only change which rows are sampled. Ties between languages go to the first by name. Empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import text_buffer
+from .bytescan import byte_parts, text_buffer
 from .gru import Adam, backward, forward, step, summed_rows
 
-HIDDEN, WINDOW, PER_LANG, SNIPPET = 12, 128, 1000, 256
+HIDDEN, WINDOW, LEAD, PER_LANG, SNIPPET = 12, 512, 32, 1000, 256
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = 256
 
@@ -41,11 +44,11 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list, dict[str, i
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not counts:
         return [], {}
-    place = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1_000_000))
+    place = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id"), F.col("text")), F.lit(1_000_000))
     share = docs.sparkSession.createDataFrame([(lang, int(1_000_000 * min(1.0, per_lang / n))) for lang, n in counts.items()], "lang string, share int")
     rows = rows.select("doc_id", "text", "lang").join(F.broadcast(share), "lang")
     at = lambda k: F.substring("text", (F.pmod(F.xxhash64(F.lit(k), F.col("doc_id")), F.greatest(F.char_length("text") - SNIPPET, F.lit(1))) + 1).cast("int"), F.lit(SNIPPET))
-    return rows.filter(place < F.col("share")).select("lang", F.array(at(1), at(2), at(3)).alias("snippets")).limit(2 * per_lang * len(counts)).collect(), counts
+    return rows.filter(place < F.col("share")).select("lang", F.array(at(1), at(2), at(3)).alias("snippets")).orderBy("lang", "snippets").limit(2 * per_lang * len(counts)).collect(), counts
 
 
 class Network:
@@ -100,52 +103,63 @@ class Network:
             out[t] = h @ p["of"]
         h = np.zeros((x.shape[1], k), np.float32)
         for t in range(len(x) - 1, -1, -1):
-            h = step(p["xb"][x[t]], h, p["ub"])
+            h = step(p["xb"][x[t]], h, p["ub"]) * (x[t] != _PAD)[:, None]  # a text begins, from its end, with no state
             out[t] += h @ p["ob"]
         out += p["c"]
         np.exp(out - out.max(-1, keepdims=True), out=out)
         out /= out.sum(-1, keepdims=True)
         return out
 
-    def documents(self, data: np.ndarray, off: np.ndarray, lanes: int = 1024) -> np.ndarray:
+    def documents(self, data: np.ndarray, off: np.ndarray, window: int = 0, lead: int = LEAD) -> np.ndarray:
         """Mean probabilities over all positions of each text; zeros for the empty text."""
-        sizes = np.diff(off)
-        n = -(-sizes // WINDOW)
+        window, sizes = window or WINDOW, np.diff(off)
+        n = -(-sizes // window)
         owner = np.repeat(np.arange(len(sizes)), n)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        starts = off[owner] + nth * WINDOW
-        ends = np.minimum(starts + WINDOW, off[owner + 1])
+        starts = off[owner] + nth * window
+        ends = np.minimum(starts + window, off[owner + 1])
+        before, after = np.maximum(starts - lead, off[owner]), np.minimum(ends + lead, off[owner + 1])
+        order = np.argsort(before - after, kind="stable")  # windows of one length together
         out = np.zeros((len(sizes), len(self.langs)))
-        steps = np.arange(WINDOW)[:, None]
-        for at in range(0, len(starts), lanes):
-            s, e = starts[at : at + lanes], ends[at : at + lanes]
-            place = s[None] + steps
-            real = place < e[None]
-            x = np.where(real, data[np.minimum(place, len(data) - 1)], _PAD).astype(np.int64)
-            prob = (self.positions(x) * real[:, :, None]).sum(0, dtype=np.float64)
-            np.add.at(out, owner[at : at + lanes], prob)
+        lanes = int(np.clip(4_000_000 // ((min(window, int(sizes.max(initial=1))) + 2 * lead) * len(self.langs)), 16, 1024))
+        for some in (order[k : k + lanes] for k in range(0, len(order), lanes)):
+            place = before[some][None] + np.arange(int((after[some] - before[some]).max()))[:, None]
+            x = np.where(place < after[some][None], data[np.minimum(place, len(data) - 1)].astype(np.int64), _PAD)
+            counts = (place >= starts[some][None]) & (place < ends[some][None])
+            prob = np.einsum("tbl,tb->bl", self.positions(x), counts.astype(np.float32))
+            np.add.at(out, owner[some], prob)
         return out / np.maximum(sizes, 1)[:, None]
 
 
-def _labelled(batches: Iterator[pa.RecordBatch], network: Network | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1)
+def _has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text or ""))
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], network: Network | None, i: int = 1) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray]]:
+    """Parts of the batches (texts in column i), the language and the score of each row."""
+    for batch in byte_parts(batches, i):
+        texts = batch.column(i)
         langs = ["und"] * len(texts)
         scores = np.zeros(len(texts))
         if network and len(texts):
             data, off = text_buffer(texts)
             prob = network.documents(data, off)
             best = prob.argmax(1)
-            for i in range(len(texts)):
-                if _LETTER.search(texts[i].as_py() or ""):
-                    langs[i], scores[i] = network.langs[best[i]], min(1.0, float(prob[i, best[i]]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+            for k in range(len(texts)):
+                if _has_letter(texts[k].as_py()):
+                    langs[k], scores[k] = network.langs[best[k]], min(1.0, float(prob[k, best[k]]))
+        yield batch, langs, scores
 
 
 def identified(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     network = Network.trained(*sample(docs, per_lang))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _labelled(it, network), "doc_id long, lang_pred string, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, langs, scores in _labelled(batches, network):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def digest(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
@@ -157,14 +171,12 @@ def accepted(docs: DataFrame, least: float = 0.4, per_lang: int = PER_LANG) -> D
     network = Network.trained(*sample(docs, per_lang))
     kinds = dict(docs.dtypes)
 
+    i, j = docs.columns.index("text"), docs.columns.index("lang")
+
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i, j = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
-            if not len(batch):
-                continue
-            found = next(_labelled(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(i)], ["doc_id", "text"])]), network))
-            keep = pa.array([a != "und" and s >= least for a, s in zip(found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True)], pa.bool_())
-            columns = [found.column(1) if k == j else batch.column(k) for k in range(batch.num_columns)]
+        for batch, langs, scores in _labelled(batches, network, i):
+            keep = pa.array([a != "und" and s >= least for a, s in zip(langs, scores, strict=True)], pa.bool_())
+            columns = [pa.array(langs, pa.string()) if k == j else batch.column(k) for k in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(keep)
 
     return docs.mapInArrow(judged, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns))
