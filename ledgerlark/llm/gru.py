@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -73,3 +75,15 @@ class Adam:
             self.m[k] += 0.1 * (g - self.m[k])
             self.s[k] += 0.01 * (g * g - self.s[k])
             self.params[k] -= self.rate * scale * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-6)
+
+
+def dealt(sizes: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of `sizes` steps -> their order, lane after lane, and each lane's length, the longest lane first."""
+    lanes = max(1, min(lanes, len(sizes)))
+    load, own = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
+    for i in np.argsort(-sizes, kind="stable"):  # the longest first, each to the emptiest lane
+        used, j = heapq.heappop(load)
+        own[j].append(i)
+        heapq.heappush(load, (used + int(sizes[i]), j))
+    load.sort(key=lambda x: (-x[0], x[1]))
+    return np.array([i for _, j in load for i in own[j]], np.int64), np.array([used for used, _ in load], np.int64)

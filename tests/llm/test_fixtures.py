@@ -95,6 +95,46 @@ def test_language(docs, rows):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_positions_and_windows_against_a_plain_loop(docs, rows):
+    from ledgerlark.llm.gru import step
+
+    network = langid.Network.trained(*langid.sample(docs))
+    texts = ["The cat é漢😀 sat. " * 130, "", "le", "dans la " * 64 + "x", "the of and " * 900]
+    data, off = bytescan.text_buffer(pa.array(texts))
+    whole = []
+    for t in texts:
+        raw, p, sides = list(t.encode()), network.p, []
+        for table, u, o, order in ((p["xf"], p["uf"], p["of"], raw), (p["xb"], p["ub"], p["ob"], raw[::-1])):
+            h, logits = np.zeros((1, langid.HIDDEN), np.float32), []
+            for byte in order:
+                h = step(table[[byte]], h, u)
+                logits.append((h @ o)[0])
+            sides.append(logits)
+        both = [a + b + p["c"][0] for a, b in zip(sides[0], sides[1][::-1])]
+        whole.append(np.mean([np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in both], 0) if raw else np.zeros(len(network.langs)))
+    assert np.allclose(network.documents(data, off, window=1 << 20), whole, atol=1e-3)
+    long = [" ".join(t for i, t, lang, _ in rows if i is not None and i < 120 and lang == own and i % 5 == k) for own in ("en", "fr") for k in range(5)]
+    data, off = bytescan.text_buffer(pa.array(long))
+    assert np.diff(off).min() > 2 * langid.WINDOW
+    assert np.allclose(network.documents(data, off), network.documents(data, off, window=1 << 20), atol=0.02)
+
+
+def test_letters():
+    assert [langid._has_letter(t) for t in ("123 ½ ² ①", "", None, "_1_", "12é", "漢")] == [False, False, False, False, True, True]
+
+
+def test_one_long_text_among_short_ones_takes_little_memory():
+    import tracemalloc
+
+    model = lm.Model.new(np.ones(lm.WORDS), np.ones(lm.END + 1))
+    sizes = np.array([200_000] + [20] * 511)
+    ids = np.random.default_rng(4).integers(0, lm.START, sizes.sum())
+    tracemalloc.start()
+    model.documents(ids, sizes)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_gru_gradients():
     from ledgerlark.llm.gru import backward, forward
 
