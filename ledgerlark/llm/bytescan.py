@@ -7,12 +7,14 @@ used to write down colliding words, as it can for polynomials; n different words
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
 SLICE = 1 << 20
 GAP = np.zeros(256, bool)
 GAP[[9, 10, 11, 12, 13, 32]] = True
@@ -116,10 +118,17 @@ def doc_groups(bounds: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def give_back() -> None:
+    """Free memory back to the system: Python workers stay, and what one stage has freed the next one's executor needs."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def byte_parts(batches: Iterator[pa.RecordBatch], at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `limit` bytes of column `at`, one row at least; memory that is free goes back in between."""
     for batch in batches:
         _, off = text_buffer(batch.column(at))
         for lo, hi in doc_groups(off, limit):
             yield batch.slice(lo, hi - lo)
-        pa.default_memory_pool().release_unused()
+        give_back()
