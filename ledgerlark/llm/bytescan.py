@@ -92,9 +92,13 @@ def hashed(data: np.ndarray, lo: int, hi: int, starts: np.ndarray, ends: np.ndar
     if not len(size):
         return np.zeros(0, U64)
     first = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    kind = np.int32 if hi - lo < 1 << 31 else np.int64
+    place = np.arange(int(size.sum()), dtype=kind)
+    place -= np.repeat(first.astype(kind), size)
     places = _PLACES if int(size.max()) <= len(_PLACES) else _of_places(int(size.max()))
-    values = (_FOLDED if fold else _EXACT)[data[lo:hi][place + np.repeat(starts, size)]] * places[place]
+    values = places[place]
+    place += np.repeat(starts.astype(kind), size)
+    values *= (_FOLDED if fold else _EXACT)[data[lo:hi][place]]
     return mixed(np.add.reduceat(values, first) + size.astype(U64) * U64(0x2545F4914F6CDD1D))
 
 
