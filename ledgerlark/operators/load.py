@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """old with the new rows' values where they are not null, and the rows with new keys; one row a key."""
-    side = new.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
-    return old.join(side, keys, "full").select(*keys, *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], seq: str | None = None) -> DataFrame:
+    """One row a key: the new row whole, its nulls too, where there is one, else the old row. Null keys are keys.
+
+    Of several new rows of a key the last by seq stays, without seq (and among ties) the greatest by the columns.
+    """
+    kind = dict(new.dtypes)[seq] if seq else "int"
+    side = lambda rows, n, s: rows.select(*keys, F.struct(*columns).alias("_r"), F.lit(n).alias("_n"), s.cast(kind).alias("_s"))
+    both = side(old, 0, F.lit(None)).unionByName(side(new, 1, F.col(seq) if seq else F.lit(None)))
+    last = both.groupBy(*keys).agg(F.max(F.struct("_n", "_s", "_r")).alias("_l"))
+    return last.select(*keys, *[F.col(f"_l._r.{c}").alias(c) for c in columns])
 
 
 def inserted_if_absent(old: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
@@ -43,7 +49,7 @@ def provenance_rows(rows: DataFrame, key: str, page: str, fields: list[str]) ->
 
 
 def replaced(df: DataFrame, path: str) -> None:
-    """Write beside, then swap: readers of path see the old rows or the new ones."""
+    """Write beside, then swap by two renames. Between them the path is missing; recovered() mends that after a crash."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -55,13 +61,24 @@ def replaced(df: DataFrame, path: str) -> None:
     fs.delete(hadoop(gone), True)
 
 
+def recovered(spark, path: str) -> None:
+    """If a swap broke off between its renames, put back the rows that were there; loading again brings the new ones."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(path)):
+        kept = sorted(str(f.getPath()) for f in fs.globStatus(hadoop(f"{path}.old-*")) or [])
+        if kept:
+            fs.rename(hadoop(kept[-1]), hadoop(path))
+
+
 def merge_into(spark, path: str, new: DataFrame, keys: list[str], update: bool) -> None:
     """Load new into the table at path, made if absent; loading the same rows again changes nothing."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    recovered(spark, path)
     if not fs.exists(hadoop(path)):
         new.limit(0).write.parquet(path)
     old = spark.read.schema(new.schema).parquet(path)
     columns = [c for c in new.columns if c not in keys]
-    out = upserted(old, new.dropDuplicates(keys), keys, columns) if update else inserted_if_absent(old, new, keys)
+    out = upserted(old, new, keys, columns) if update else inserted_if_absent(old, new, keys)
     replaced(out, path)

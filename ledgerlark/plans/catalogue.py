@@ -288,9 +288,17 @@ def labeled_entities(spark, sf):
     return Tables(spark, sf).orders.select("o_orderkey", F.inline(names.labelled_names_in(page)))
 
 
-@query("SELECT o_orderkey, 'A. K. Capital Services Limited' AS name FROM orders")
+@query("""SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN 'A. K. Capital Services Limited' WHEN 1 THEN 'Alpha Beta Private Limited' WHEN 2 THEN 'Gamma Corp and Delta Trust LLP'
+ WHEN 3 THEN 'Desk ' || o_orderkey || ' Holdings Ltd' END AS name FROM orders WHERE o_custkey % 5 < 4""")
 def company_names(spark, sf):
-    page = F.concat(F.lit("arranged by A. K. Capital Services Limited for order "), F.col("o_orderkey").cast("string"))
+    key = F.col("o_orderkey").cast("string")
+    pages = [
+        F.concat(F.lit("arranged by A. K. Capital Services Limited for order "), key), F.concat(F.lit("order "), key, F.lit(" was signed with Alpha Beta Private Limited.")),
+        F.lit("a report of Gamma Corp and Delta Trust LLP, dated"), F.concat(F.lit("with (“ by Desk "), key, F.lit(" Holdings Ltd.;")),
+    ]
+    page = F.lit("the Company Limited, to the Limited extent; Services Limited")
+    for k, p in enumerate(pages):
+        page = F.when(F.col("o_custkey") % 5 == k, p).otherwise(page)
     return Tables(spark, sf).orders.select("o_orderkey", F.inline(names.company_names_in(page))).select("o_orderkey", "name")
 
 
@@ -388,11 +396,12 @@ def series_merge_pages(spark, sf):
 # --- loading --------------------------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 THEN lower(o_orderstatus) END, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 5 = 0 THEN o_orderstatus END) AS status FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' OR o_orderpriority = '1-URGENT' THEN CASE WHEN o_custkey % 3 <> 0 THEN lower(o_orderstatus) END ELSE o_orderstatus END AS status FROM orders")
 def upsert_issues(spark, sf):
     o = Tables(spark, sf).orders
-    old = o.filter("o_orderkey % 2 = 0 OR o_orderkey % 5 = 0").selectExpr("o_orderkey", "o_orderstatus AS status")
-    return load.upserted(old, o.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 <> 0 THEN lower(o_orderstatus) END AS status"), ["o_orderkey"], ["status"])
+    old = o.filter("o_orderpriority <> '1-URGENT'").selectExpr("o_orderkey", "o_orderstatus AS status")
+    new = o.filter("o_orderstatus = 'O' OR o_orderpriority = '1-URGENT'").selectExpr("o_orderkey", "CASE WHEN o_custkey % 3 <> 0 THEN lower(o_orderstatus) END AS status")
+    return load.upserted(old, new, ["o_orderkey"], ["status"])
 
 
 @query("SELECT l_orderkey, l_returnflag, min(l_linenumber) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2 UNION ALL SELECT l_orderkey, l_returnflag, min(l_linenumber) FROM lineitem a WHERE l_linenumber > 2 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag = a.l_returnflag AND b.l_linenumber <= 2) GROUP BY 1, 2")
@@ -488,7 +497,7 @@ def section_chunks(spark, sf):
     pages = docs.select(F.col("source").alias("document"), F.col("doc_id").cast("int").alias("page"), "text")
     ends = docs.groupBy(F.col("source").alias("document")).agg(F.min("doc_id").cast("int").alias("start_page"), F.max("doc_id").cast("int").alias("end_page"))
     sections = ends.select("document", F.lit(1).alias("section_no"), "start_page", "end_page", F.array(F.lit("Terms"), F.col("document")).alias("path"))
-    excluded = pages.filter("page % 10 = 0").select("document", "page")
+    excluded = pages.filter(F.char_length("text") < 200).select("document", "page")
     return chunking.chunks_of_sections(sections, pages, excluded).select("chunk_id", "document", "start_page", "end_page", "section", "subsection", "char_count")
 
 
@@ -521,10 +530,27 @@ def heading_candidates(spark, sf):
     return structure.headings(lines, body).select("p_partkey")
 
 
-@query("SELECT event_type AS entity_type, user_id AS k, arg_min(event_id, event_id) AS first_event, count(DISTINCT ts::DATE) AS mentions FROM events GROUP BY 1, 2")
+@query("SELECT event_type AS entity_type, 'user ' || user_id AS key, 'User  ' || user_id AS value, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS mentions FROM events GROUP BY 1, 2, 3")
 def entity_group(spark, sf):
-    e = Tables(spark, sf).events
-    return e.groupBy(F.col("event_type").alias("entity_type"), F.col("user_id").alias("k")).agg(F.min_by("event_id", "event_id").alias("first_event"), F.size(F.collect_set(F.to_date("ts"))).cast("long").alias("mentions"))
+    value = F.concat(F.lit("User  "), F.col("user_id").cast("string"))
+    found = Tables(spark, sf).events.select(F.date_format("ts", "yyyy-MM-dd").alias("chunk_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("entity_type"), value.alias("value"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"))
+    return entities.grouped(found).select("entity_type", "key", "value", F.size("mentions").cast("long").alias("mentions"))
+
+
+@query("""
+WITH f AS (SELECT o_custkey AS document, o_orderkey AS chunk, CASE o_orderpriority WHEN '1-URGENT' THEN 'Issuer' WHEN '2-HIGH' THEN 'Debenture Trustee' ELSE 'ISIN' END AS t, 'v' || (o_orderkey % 5) AS v FROM orders),
+n AS (SELECT document, t, v, count(DISTINCT chunk) AS n FROM f GROUP BY 1, 2, 3),
+c AS (SELECT document, t, v, row_number() OVER (PARTITION BY document, t ORDER BY n DESC, length(v), v) AS r FROM n)
+SELECT f.document, 'issuer:' || i.v AS subject, CASE f.t WHEN 'ISIN' THEN 'HAS_ISIN' ELSE 'HAS_DEBENTURE_TRUSTEE' END AS predicate, CASE f.t WHEN 'ISIN' THEN 'isin:' ELSE 'debenture-trustee:' END || f.v AS object, f.chunk AS source_chunk
+FROM f JOIN c i ON i.document = f.document AND i.t = 'Issuer' AND i.r = 1 LEFT JOIN c d ON d.document = f.document AND d.t = 'Debenture Trustee' AND d.r = 1
+WHERE f.t = 'ISIN' OR (f.t = 'Debenture Trustee' AND f.v = d.v)
+""")
+def relations(spark, sf):
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "Issuer").when(F.col("o_orderpriority") == "2-HIGH", "Debenture Trustee").otherwise("ISIN")
+    value = F.concat(F.lit("v"), (F.col("o_orderkey") % 5).cast("string"))
+    found = Tables(spark, sf).orders.select(F.col("o_custkey").alias("document"), F.col("o_orderkey").alias("chunk_id"), F.lit(0).alias("seq"), kind.alias("entity_type"), value.alias("value"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"))
+    by = ("document",)
+    return entities.relations(found, entities.grouped(found, by=by), by=by).drop("start_page", "end_page")
 
 
 @query("SELECT event_type AS entity_type, 'u' || user_id AS k FROM (SELECT event_type, user_id, count(*) AS n FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1, 2) ORDER BY n DESC, length('u' || user_id), 'u' || user_id LIMIT 1")
@@ -550,11 +576,11 @@ def alias_lookup(spark, sf):
     return entities.renamed(rows, known).select("n_nationkey", "value")
 
 
-@query("SELECT source_id, score FROM (SELECT source_id, score, row_number() OVER (PARTITION BY source_id ORDER BY k, score DESC) AS r FROM (SELECT 'v' || (vec_id % 100) AS source_id, 0 AS k, vec_id::DOUBLE AS score FROM embeddings WHERE label = 1 UNION ALL SELECT 'v' || vec_id, 1, 0.5 FROM embeddings WHERE vec_id < 50)) WHERE r = 1 AND source_id <> 'v7'")
+@query("SELECT source_id, score FROM (SELECT source_id, score, row_number() OVER (PARTITION BY source_id ORDER BY k, score DESC) AS r FROM (SELECT 'v' || (vec_id % 100) AS source_id, 0 AS k, vec_id::DOUBLE AS score FROM embeddings WHERE label = 1 UNION ALL SELECT 'v' || vec_id, 1, 0.5 FROM embeddings)) WHERE r = 1 AND source_id <> 'v7'")
 def hybrid_candidates(spark, sf):
     e = Tables(spark, sf).embeddings
     first = e.filter("label = 1").selectExpr("concat('v', vec_id % 100) AS source_id", "'t' AS text", "'l' AS label", "double(vec_id) AS score")
-    second = e.filter("vec_id < 50").selectExpr("concat('v', vec_id) AS source_id", "'t' AS text", "'l' AS label", "0.5D AS score")
+    second = e.selectExpr("concat('v', vec_id) AS source_id", "'t' AS text", "'l' AS label", "0.5D AS score")
     seen = spark.createDataFrame([("v7",)], "source_id string")
     return retrieval.unseen(retrieval.candidates([first, second]), seen).select("source_id", "score")
 

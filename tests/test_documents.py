@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark import schema
-from ledgerlark.operators import canonical, entities, retrieval, tables
+from ledgerlark.operators import assembly, canonical, entities, load, retrieval, tables
 from ledgerlark.plans import tools
 from ledgerlark.sources import files
 from ledgerlark.streaming import inbox
@@ -105,6 +105,71 @@ def test_entities_and_relations(spark):
     assert ("HAS_ISIN", "isin:ine134e08lx3", 1) in got and ("HAS_DEBENTURE_TRUSTEE", "debenture-trustee:beacon-trusteeship-limited", 2) in got
 
 
+def test_entities_are_each_documents_own(spark):
+    chunks = spark.createDataFrame([
+        ("a", 1, 'Power Finance Corporation Limited ("Issuer"). ISIN INE134E08LX3', 1, 1),
+        ("b", 1, 'Capri Global Capital Limited ("Issuer"). ISIN INE180C07155', 4, 4),
+        ("c", 1, "ISIN INE180C07163", 1, 1),
+    ], "document string, chunk_id int, text string, start_page int, end_page int")
+    found, related = entities.knowledge(chunks, ("document",))
+    assert [(r.document, r.subject, r.object) for r in related.filter("predicate = 'HAS_ISIN'").collect()] == [
+        ("a", "issuer:power-finance-corporation-limited", "isin:ine134e08lx3"), ("b", "issuer:capri-global-capital-limited", "isin:ine180c07155"),
+    ]
+    rows = [(r.document, r.entity_type, r.value) for r in found.collect()]
+    assert rows == sorted(rows) and {d for d, *_ in rows} == {"a", "b", "c"}
+
+
+def test_upserted_rows_are_taken_whole(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
+    new = spark.createDataFrame([(1, None, 5), (3, "x", 1), (3, "y", 2), (None, "m", 1)], "k int, v string, seq int")
+    assert {(r.k, r.v) for r in load.upserted(old, new, ["k"], ["v"], seq="seq").collect()} == {(1, None), (2, "b"), (3, "y"), (None, "m")}
+    assert load.upserted(old, new.limit(0).drop("seq"), ["k"], ["v"]).count() == 3
+
+
+def test_a_swap_that_broke_off_is_mended(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda v: spark.createDataFrame([(1, v)], "k int, v string")
+    load.merge_into(spark, path, rows("a"), ["k"], True)
+    (tmp_path / "t").rename(tmp_path / "t.old-1")
+    load.merge_into(spark, path, rows(None), ["k"], True)
+    load.merge_into(spark, path, spark.createDataFrame([(2, "b")], "k int, v string"), ["k"], True)
+    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {(1, None), (2, "b")}
+
+
+def test_from_cells_and_pages_to_documents_and_rows(spark):
+    row = lambda d, page, series, field, category, t=None, n=None: (d, series, field, category, t, n, [page])
+    terms = []
+    for series, tenor, rate in (("I", "24 months", 8.5), ("II", "60 months", 9.0)):
+        terms += [row("pfc", 7, series, "tenor", None, tenor), row("pfc", 7, series, "face_value_inr", None, n=1000.0), row("pfc", 8, series, "frequency", None, "Annual" if series == "I" else "Cumulative")]
+        terms += [row("pfc", 7, series, "coupon", "III", n=rate + 0.1), row("pfc", 7, series, "coupon", "I_II", n=rate), row("pfc", 9, series, "put_call_option", None, "None"), row("pfc", 9, series, "nature_of_indebtedness", None, "Secured")]
+    terms += [row("x", 1, "I", "tenor", None, "1 year"), row("x", 1, "I", "put_call_option", None, "No"), row("x", 1, "II", "tenor", None, "2 years")]
+    terms = spark.createDataFrame(terms, "document_id string, series_id string, field string, category string, value_text string, value_num double, pages array<int>")
+    pages = spark.createDataFrame([
+        ("pfc", 1, 'Power Finance Corporation Limited ("Issuer"). This Tranche I Prospectus dated June 3, 2024. Base Issue Size: ₹ 500 crore. Shelf Limit of ₹ 10,000 crore'),
+        ("pfc", 2, 'the Debenture Trustee Beacon Trusteeship Limited. Issue Opens on June 10, 2024'),
+        ("pfc", 3, 'rated "ICRA AA (Stable)" for an amount of ₹ 500 crore by ICRA Limited vide its rating letter dated May 1, 2024'),
+        ("x", 1, "nothing here"), ("y", 1, "no table"),
+    ], "document_id string, page int, text string")
+    out = assembly.documents(terms, pages)
+    assert out.dtypes == spark.createDataFrame([], schema.DOCUMENT).dtypes
+    by = {r.document.document_id: r for r in out.collect()}
+    assert set(by) == {"pfc", "x"} and [r.document_id for r in assembly.without_series(terms, pages).collect()] == ["y"]
+    pfc, (issue,) = by["pfc"], by["pfc"].issuer.issues
+    assert pfc.issuer.name == "Power Finance Corporation Limited" and by["x"].issuer.name == "UNKNOWN" and pfc.document.page_count == 3
+    assert issue.terms.base_issue_size.value == "₹ 500 crore" and issue.terms.shelf_limit.provenance[0].page == 1 and issue.debenture_trustee == "Beacon Trusteeship Limited"
+    assert issue.terms.issue_open_date.value == "June 10, 2024" and [(r.agency, r.outlook, r.provenance[0].page) for r in issue.ratings] == [("ICRA Limited", "Stable", 3)]
+    assert [s.series_id for s in issue.series] == ["I", "II"] and [c.category_id for c in issue.series[0].categories] == ["III", "I_II"]
+    one = issue.series[1]
+    assert one.terms.tenor.value == "60 months" and one.terms.coupon_type.value == "Cumulative" and one.terms.face_value.unit == "INR" and one.terms.face_value.provenance[0].page == 7
+    assert issue.terms.security_type.value == "Secured" and issue.terms.additional_terms["put_call_option"].value == "None" and one.terms.put_call_option is None
+    assert by["x"].issuer.issues[0].series[0].terms.put_call_option.value == "No"  # only one series states it
+    assert [c.chunk_id for c in pfc.chunks][:2] == ["pfc_issue_1_overview", "pfc_issue_1_rating_1"] and len(pfc.chunks) == 6
+    rows = canonical.relational(out)
+    assert {(r.series_code, r.category_code, str(r.coupon_percent)) for r in rows["series_category_terms"].collect()} >= {("I", "I", "8.5000"), ("II", "III", "9.1000")}
+    vertices, edges = canonical.property_graph(out)
+    assert edges.filter("type = 'HAS_SERIES'").count() == 4
+
+
 def test_sql_guard(spark):
     assert tools.sql_query(spark, "SELECT ' update ' AS a").data == [{"a": " update "}]
     for bad in ("DROP TABLE x", "SELECT 1; DROP TABLE x", "INSERT INTO x VALUES (1)", "SET a=b", "nonsense", "CREATE TABLE y AS SELECT 1"):

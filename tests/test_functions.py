@@ -44,6 +44,20 @@ def test_company_names():
     assert found("between the Company and Beacon Trusteeship Limited") == ["Beacon Trusteeship Limited"]
 
 
+def test_company_names_at_the_edges():
+    found = lambda t: [n for _, _, n in names.company_names(t)]
+    assert found("signed by Alpha Beta Private Limited.") == ["Alpha Beta Private Limited"]
+    assert found("(“Alpha” or Gamma Pvt. Ltd.;") == ["Gamma Pvt. Ltd"]
+    assert found("Gamma Corp and Delta Trust LLP, Omega Inc") == ["Gamma Corp and Delta Trust LLP", "Omega Inc"]
+    assert found("CRISIL Ratings CRISIL Ratings Limited") == ["CRISIL Ratings Limited"]
+    assert found("The Limited. Services Limited Our Private Limited") == []
+    assert found("A1 Limited 360 ONE Prime Limited") == ["360 ONE Prime Limited"]
+    text = "between the Company and Beacon Trusteeship Limited, here"
+    (a, b, name), = names.company_names(text)
+    assert text[a:b] == "and Beacon Trusteeship Limited," and name == "Beacon Trusteeship Limited"
+    assert found("ONE " * 20_000 + "Limited") == [] and found("") == []
+
+
 def test_labels_ignore_zone_and_preceding_label():
     page = "Lead Managers Nuvama Wealth Management Limited, Trust Investment Advisors Private Limited Debenture Trustee Beacon Trusteeship Limited Registrar to the Issue KFIN Technologies Limited"
     found = dict((n, k) for k, n in names.labelled_names(page))
