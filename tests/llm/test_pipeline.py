@@ -27,6 +27,21 @@ def test_stages(spark, tmp_path):
     assert all(r.n_tokens == len(r.ids) for r in last)
 
 
+def test_stages_on_odd_rows_and_on_none(spark, tmp_path):
+    columns = ["doc_id", "text", "lang", "source", "n_chars", "key", "node"]  # the last two clash with names used inside
+    for name, rows in (("odd", [*fixture_rows(), (None, "no id here", "en", None)]), ("none", [])):
+        folder = str(tmp_path / name)
+        docs = documents(spark, rows).select(*columns)
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            function(spark, docs, folder).write.parquet(f"{folder}/{stage}")
+            docs = spark.read.parquet(f"{folder}/{stage}")
+            assert docs.columns == columns
+            if rows and stage != "source_mixing":
+                assert docs.filter("doc_id is null").count() == 2
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+        assert len(last) == docs.count() and bool(last) == bool(rows)
+
+
 def test_near_duplicates_stage_takes_five_words_at_80_percent(spark):
     base = [f"w{k}" for k in range(104)]  # 100 five-word shingles
     cut = base[:86]  # 82 of them: 0.82, of three words 84 of 102
