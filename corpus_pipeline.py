@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read back as the next one's docs. All but
 the last return the columns of documents: language_id drops what it rejects and sets lang, near_duplicates keeps one document of
-a group (linked by 80 % of their five-word shingles), personal_data masks, source_mixing repeats and leaves out documents by their sources' targets.
+a group (linked by 80 % of their five-word shingles), personal_data masks, source_mixing repeats and leaves out documents by their
+sources' targets and writes them shard after shard, each shuffled.
+
+Null, empty and letterless texts go with language_id; a table without a language to learn from goes whole. Rows with null ids are
+kept by the later stages, of rows that repeat an id the least one; a null source is a source of its own. Very long texts are read
+whole. Ties go to the smaller doc_id. An empty table gives an empty result. Columns beyond those of documents pass through.
 """
 
 from __future__ import annotations
