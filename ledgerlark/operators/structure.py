@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.names import similarity
+from ledgerlark.operators import intervals
 
 ENTRY = re.compile(r"(.+?)(?:(?:\.\s*){2,}|\s{2,})(\d{1,4})(?=\s|$)")
 FIRST, LAST, SAME, AGREE = 2, 6, 0.65, 0.80
@@ -136,3 +137,52 @@ def sections(lines: DataFrame, found: DataFrame) -> DataFrame:
 
 def confirmed_share(found: DataFrame) -> DataFrame:
     return found.groupBy("document").agg(F.avg(F.col("confirmed").cast("int")).alias("share"))
+
+
+#: An outline is trusted from this share of confirmed entries on; an entry is confirmed from this similarity on, headings at most so many pages away.
+TRUST, CHECKED, NEAR = 0.30, 0.75, 2
+
+
+def cross_validated(outline: DataFrame, contents: DataFrame, found: DataFrame) -> DataFrame:
+    """outline (document, section_no, title, start_page ...) with toc_similarity, layout_similarity and confidence.
+
+    An entry is checked against the titles of the visible contents, wherever they point, and against headings on NEAR pages:
+    both confirm it (high), one (medium) or none (low). An outline without contents and headings is low throughout.
+    """
+    schema = "document string, section_no int, toc_similarity double, layout_similarity double"
+    signals = contents.select("document", F.lit(None).cast("int").alias("page"), F.col("title").alias("text")).unionByName(found.select("document", F.col("page_number").cast("int").alias("page"), "text"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for e in left.itertuples():
+            scores = [(pd.isna(s.page), similarity(e.title, s.text)) for s in right.itertuples() if pd.isna(s.page) or abs(s.page - e.start_page) <= NEAR]
+            toc, layout = (max((x for own, x in scores if own == kind), default=0.0) for kind in (True, False))
+            rows.append((e.document, e.section_no, toc, layout))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    scored = outline.select("document", "section_no", "title", "start_page").groupBy("document").cogroup(signals.groupBy("document")).applyInPandas(run, schema)
+    good = (F.col("toc_similarity") >= CHECKED).cast("int") + (F.col("layout_similarity") >= CHECKED).cast("int")
+    out = outline.join(scored, ["document", "section_no"]).withColumn("confidence", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), good + 1))
+    return out.withColumn("toc_similarity", F.round("toc_similarity", 3)).withColumn("layout_similarity", F.round("layout_similarity", 3))
+
+
+def detected(outline: DataFrame, lines: DataFrame, found: DataFrame, totals: DataFrame) -> DataFrame:
+    """document, strategy, section_no, level, title, start_page, end_page, confidence by the best evidence of each document.
+
+    outline: document, section_no, level, title, page of the file; totals: document, total_pages; lines and found as in sections().
+    The outline where TRUST of its entries are confirmed, else the visible contents, else the strongest headings as flat sections.
+    """
+    from pyspark.sql import Window
+
+    columns, last = ["document", "strategy", "section_no", "level", "title", "start_page", "end_page", "confidence"], F.col("total_pages")
+    contents = sections(lines, found).withColumnRenamed("resolved_page", "start_page").join(totals, "document")
+    own = intervals.section_ends(outline.withColumnRenamed("page", "start_page").join(totals, "document"), "document", "section_no", "level", "start_page", last)
+    own = cross_validated(own, contents, found).withColumn("strategy", F.lit("outline"))
+    trusted = own.groupBy("document").agg(F.avg((F.col("confidence") != "low").cast("int")).alias("share")).filter(F.col("share") >= TRUST).select("document")
+    placed = contents.filter(F.col("start_page").between(1, last)).withColumn("section_no", F.row_number().over(Window.partitionBy("document").orderBy("start_page", "section_no")))
+    toc = intervals.section_ends(placed, "document", "section_no", "level", "start_page", last).withColumn("strategy", F.lit("contents")).withColumn("confidence", F.lit(None).cast("string"))
+    toc = toc.join(trusted, "document", "left_anti")
+    strong = strongest(found).select("document", F.lit("layout").alias("strategy"), F.row_number().over(Window.partitionBy("document").orderBy("page_number", F.desc("size"), F.desc("bold"), "line_no")).alias("section_no"), F.lit(1).alias("level"), F.col("text").alias("title"), F.col("page_number").cast("int").alias("start_page"), F.lit("low").alias("confidence"))
+    strong = intervals.layout_ends(strong.join(totals, "document"), "document", "section_no", "start_page", last)
+    strong = strong.join(trusted.unionByName(contents.select("document")).distinct(), "document", "left_anti")
+    return own.join(trusted, "document", "left_semi").select(*columns).unionByName(toc.select(*columns)).unionByName(strong.select(*columns))

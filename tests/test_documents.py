@@ -170,6 +170,25 @@ def test_from_cells_and_pages_to_documents_and_rows(spark):
     assert edges.filter("type = 'HAS_SERIES'").count() == 4
 
 
+def test_structure_takes_the_best_evidence(spark):
+    """a: an outline that headings confirm; b: an outline that nothing confirms, so the visible contents; c: headings alone."""
+    from ledgerlark.operators import structure
+
+    titles = ["Risk Factors", "Terms of the Issue", "Issue Structure"]
+    heads = [(d, 10 * k + 10, 1, t.upper(), 18.0 - k, True) for d in "abc" for k, t in enumerate(titles)] + [("a", 12, 3, "Internal Risks", 12.0, False)]
+    found = spark.createDataFrame(heads, "document string, page_number int, line_no int, text string, size double, bold boolean")
+    toc = [("b", 2, k, f"{t} ........ {10 * k + 8}", [50.0, 0.0, 0.0, 0.0]) for k, t in enumerate(titles)] + [(d, 2, 9, "plain", [50.0, 0.0, 0.0, 0.0]) for d in "ac"]
+    lines = spark.createDataFrame(toc, "document string, page_number int, line_no int, text string, bbox array<double>")
+    outline = [("a", 1, 1, "Risk factors", 10), ("a", 2, 2, "Internal risks", 12), ("a", 3, 1, "Terms of the issue", 20), ("a", 4, 1, "No such heading", 25)] + [("b", k, 1, f"bookmark {k}", k) for k in range(1, 5)]
+    outline = spark.createDataFrame(outline, "document string, section_no int, level int, title string, page int")
+    totals = spark.createDataFrame([(d, 40) for d in "abc"], "document string, total_pages int")
+    rows = structure.detected(outline, lines, found, totals).orderBy("document", "section_no").collect()
+    assert {r.document: r.strategy for r in rows} == {"a": "outline", "b": "contents", "c": "layout"}
+    assert [(r.title, r.start_page, r.end_page, r.confidence) for r in rows if r.document == "a"] == [("Risk factors", 10, 19, "medium"), ("Internal risks", 12, 19, "medium"), ("Terms of the issue", 20, 24, "medium"), ("No such heading", 25, 40, "low")]
+    assert [(r.title, r.start_page, r.end_page) for r in rows if r.document == "b"] == [("Risk Factors", 10, 19), ("Terms of the Issue", 20, 29), ("Issue Structure", 30, 40)]
+    assert [(r.title, r.end_page, r.confidence) for r in rows if r.document == "c"] == [("RISK FACTORS", 19, "low"), ("TERMS OF THE ISSUE", 29, "low"), ("ISSUE STRUCTURE", 40, "low")]
+
+
 def test_sql_guard(spark):
     assert tools.sql_query(spark, "SELECT ' update ' AS a").data == [{"a": " update "}]
     for bad in ("DROP TABLE x", "SELECT 1; DROP TABLE x", "INSERT INTO x VALUES (1)", "SET a=b", "nonsense", "CREATE TABLE y AS SELECT 1"):
