@@ -182,10 +182,10 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> Mac
     if not n:
         return None
     place = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1_000_000))
-    some = F.broadcast(known.filter(place < int(1_000_000 * min(1.0, sample_size / n))).limit(2 * sample_size))
+    some = F.broadcast(known.filter(place < int(1_000_000 * min(1.0, sample_size / n))).orderBy(place, "doc_id").limit(2 * sample_size))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id", "left_semi")
     rows = found.mapInArrow(_rows, "doc_id long, index array<int>, weight array<float>, stats array<double>").join(some, "doc_id")
-    return Machine.trained([r.asDict() for r in rows.limit(4 * sample_size).toLocalIterator()])
+    return Machine.trained([r.asDict() for r in rows.orderBy("doc_id", "index", "weight").limit(4 * sample_size).toLocalIterator()])
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample_size: int = SAMPLE) -> DataFrame:
