@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .store import written
 
 CURVES, DIMS, BITS, CALIBRATION, BLOCK, SALT = 8, 6, 10, 64, 2048, 64
+#: Queries that meet one block of candidates in one task, about, and those compared at once.
+QUERIES, AT_ONCE = 16_384, 1024
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -70,11 +72,19 @@ def curve_keys(unit: np.ndarray, curve: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
-    return np.array([x.as_py() for x in column], np.float64).reshape(len(column), n)
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(column), n)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.sqrt((rows * rows).sum(1))[:, None]
+    with np.errstate(over="ignore", under="ignore"):
+        square = (rows * rows).sum(1)
+        odd = ~((square > 1e-280) & (square < 1e280))
+        if odd.any():  # too large or too small to be squared
+            rows = rows.copy()
+            rows[odd] /= np.abs(rows[odd]).max(1)[:, None]
+            square = (rows * rows).sum(1)
+    return rows / np.sqrt(square)[:, None]
 
 
 def _valid(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -139,16 +149,24 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, recall: float =
     window = measured_window(placed, n, k, recall)
     data = placed.withColumn("block", F.floor(F.col("at") / BLOCK))
     low, high = F.floor(F.greatest(F.col("at") - window, F.lit(0)) / BLOCK), F.floor((F.col("at") + window) / BLOCK)
-    sought = placed.filter("query").withColumn("block", F.explode(F.sequence(low, high)))
+    # where many queries lie within a window, each part of them meets its own copy of the block
+    asking, all_ = placed.filter("query AND curve = 0").count(), placed.filter("curve = 0").count()
+    parts = max(1, -(-(2 * window + BLOCK) * asking // (max(all_, 1) * QUERIES)))
+    sought = placed.filter("query").withColumn("block", F.explode(F.sequence(low, high))).withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(parts)).cast("int"))
+    data = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else data.withColumn("part", F.lit(0))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"q": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        near = np.abs(left["at"].to_numpy()[:, None] - right["at"].to_numpy()[None]) <= window
-        q, ids, score = _best(_matrix(left["vector"], n), _matrix(right["vector"], n), right["cid"].to_numpy(), near, k + 1)
-        return pa.table({"q": left["cid"].to_numpy()[q], "cid": ids, "score": score})
-
-    found = sought.groupBy("curve", "block").cogroup(data.groupBy("curve", "block")).applyInArrow(rerank, "q long, cid long, score double")
+        asks, at, place = _matrix(left["vector"], n), left["at"].to_numpy(), right["at"].to_numpy()
+        rows_, ids, own, out = _matrix(right["vector"], n), right["cid"].to_numpy(), left["cid"].to_numpy(), []
+        for begin in range(0, len(asks), AT_ONCE):
+            some = slice(begin, begin + AT_ONCE)
+            q, found, score = _best(asks[some], rows_, ids, np.abs(at[some][:, None] - place[None]) <= window, k + 1)
+            out.append(pa.table({"q": own[some][q], "cid": found, "score": score}))
+        return pa.concat_tables(out)
+
+    found = sought.groupBy("curve", "block", "part").cogroup(data.groupBy("curve", "block", "part")).applyInArrow(rerank, "q long, cid long, score double")
     merged = found.groupBy("q", "cid").agg(F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
     merged = merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")

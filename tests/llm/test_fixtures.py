@@ -363,6 +363,24 @@ def test_neighbours(spark):
     assert [r.vec_id for r in got[1600]][:4] == [50, 1500, 1501, 1502]
 
 
+def test_neighbours_of_extreme_vectors_and_in_parts(spark, monkeypatch):
+    """Huge, tiny and scaled copies score like the vectors they are copies of; queries in several parts find the same."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((300, 8))
+    scale = [1.0, 1e200, 1e-200, 3.0]
+    rows = [(i, (base[i // 4] * scale[i % 4]).tolist()) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = lambda: sorted((q, r, v, round(s, 12)) for q, r, v, s in ann.neighbours(frame).collect())
+    got = found()
+    assert len(got) == 24 * 5 and all(math.isfinite(s) and s <= 1 + 1e-12 for *_, s in got)
+    for q, rank, v, score in got:
+        if rank <= 3:
+            assert v // 4 == q // 4 and abs(score - 1) < 1e-12
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    monkeypatch.setattr(ann, "AT_ONCE", 2)
+    assert found() == got
+
+
 def test_hilbert_visits_neighbours():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
     order = cells[np.argsort(ann.hilbert(cells, 3))]
