@@ -370,15 +370,16 @@ def test_neighbours_of_extreme_vectors_and_in_parts(spark, monkeypatch):
     scale = [1.0, 1e200, 1e-200, 3.0]
     rows = [(i, (base[i // 4] * scale[i % 4]).tolist()) for i in range(1200)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = lambda: sorted((q, r, v, round(s, 12)) for q, r, v, s in ann.neighbours(frame).collect())
+    found = lambda: sorted((q, r, v if r <= 3 else 0, round(s, 12)) for q, r, v, s in ann.neighbours(frame).collect())  # noqa: E731  past the copies, four tie but for the last bit
     got = found()
     assert len(got) == 24 * 5 and all(math.isfinite(s) and s <= 1 + 1e-12 for *_, s in got)
     for q, rank, v, score in got:
         if rank <= 3:
             assert v // 4 == q // 4 and abs(score - 1) < 1e-12
+    got = [(q, r, v - v % 4 if r <= 3 else 0, s) for q, r, v, s in got]
     monkeypatch.setattr(ann, "QUERIES", 3)
     monkeypatch.setattr(ann, "AT_ONCE", 2)
-    assert found() == got
+    assert [(q, r, v - v % 4 if r <= 3 else 0, s) for q, r, v, s in found()] == got
 
 
 def test_hilbert_visits_neighbours():
