@@ -32,6 +32,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .bytescan import byte_parts
+
 #: The public pre-tokenizer pattern of the vocabulary file: a fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Anything that some definition takes for white space: cuts keep clear of it.
@@ -223,38 +225,51 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _columns(batches: Iterator[pa.RecordBatch], path: str, digests: bool) -> Iterator[pa.RecordBatch]:
+class _Passing:
+    """Parts on their way from the encoder to the decoder: counted and hashed, none kept."""
+
+    def __init__(self, parts: Iterable[bytes]):
+        self.parts, self.sha, self.n = parts, hashlib.sha256(), 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        for part in self.parts:
+            self.sha.update(part)
+            self.n += len(part) // 4
+            yield part
+
+
+def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    coder = codec(path)
+    for batch in byte_parts(batches, 1):
+        counts, first, second = [], [], []
+        for text in batch.column(1):
+            passing, back = _Passing(coder.encode(text.as_py() or "")), hashlib.sha256()
+            for piece in coder.decode(passing):
+                back.update(piece.encode())
+            counts.append(passing.n)
+            first.append(passing.sha.hexdigest())
+            second.append(back.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     coder = codec(path)
-    for batch in batches:
-        ids, counts, first, second, texts, out = batch.column(0), [], [], [], [], []
-        for text in batch.column(1).to_pylist() if not digests else (x.as_py() for x in batch.column(1)):
-            parts = []
-            for part in coder.encode(text or ""):
-                parts.append(part)
-            counts.append(sum(map(len, parts)) // 4)
-            if digests:
-                sha = hashlib.sha256()
-                for part in parts:
-                    sha.update(part)
-                back = hashlib.sha256()
-                for piece in coder.decode(parts):
-                    back.update(piece.encode())
-                first.append(sha.hexdigest())
-                second.append(back.hexdigest())
-            else:
-                out.append(np.frombuffer(b"".join(parts), "<u4").astype(np.int32))
-                texts.append("".join(coder.decode(parts)))
-        last = [pa.array(first, pa.string()), pa.array(second, pa.string())] if digests else [pa.array(out, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), *last], ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
+    for batch in byte_parts(batches, 1):
+        ids, texts = [], []
+        for text in batch.column(1):
+            packed = b"".join(coder.encode(text.as_py() or ""))
+            ids.append(np.frombuffer(packed, "<u4").astype(np.int32))
+            texts.append("".join(coder.decode([packed])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
 
 def encoded(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids array<int>, decoded: the real outputs."""
     where = path or vocabulary_path()
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(lambda it: _columns(it, where, False), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(lambda it: _encoded(it, where), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def digest(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, by the same transducer and state machine."""
     where = path or vocabulary_path()
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(lambda it: _columns(it, where, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(lambda it: _digests(it, where), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
