@@ -41,10 +41,13 @@ def slug(c: Column) -> Column:
     return F.btrim(F.regexp_replace(entity_key(c), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
+def _stem(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
+
+
 def document_id(path: Column) -> Column:
     """The file's stem in lower case with _ for everything else; `document` if nothing is left."""
-    stem = F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
-    return F.coalesce(F.nullif(F.btrim(F.regexp_replace(F.lower(stem), "[^a-z0-9]+", "_"), F.lit("_")), F.lit("")), F.lit("document"))
+    return F.coalesce(F.nullif(F.btrim(F.regexp_replace(F.lower(_stem(path)), "[^a-z0-9]+", "_"), F.lit("_")), F.lit("")), F.lit("document"))
 
 
 def field_title(c: Column) -> Column:
@@ -124,19 +127,26 @@ def match_forms(c: Column) -> Column:
     return F.array_distinct(F.filter(F.array(c, core_name(c), F.when(F.char_length(first) > 3, first)), lambda f: f.isNotNull() & (f != "")))
 
 
+def file_alias(path: Column) -> Column:
+    """The first part, before any _, of a file's stem: pfc of pfc_ncd_2026.pdf; null if it has no more than two characters."""
+    alias = F.substring_index(_stem(path), "_", 1)
+    return F.when(F.char_length(alias) > 2, alias)
+
+
 def mentions(text: Column, form: Column) -> Column:
     """Whole-word, case-insensitive."""
     return F.regexp_like(text, F.concat(F.lit(r"(?iU)(?<!\w)\Q"), form, F.lit(r"\E(?!\w)")))
 
 
 def chunk_label(document: Column, page: Column, section: Column, series: Column, category: Column) -> Column:
-    """document - page - section, or the series and category where there is no section."""
-    place = F.coalesce(F.nullif(section, F.lit("")), F.nullif(F.concat_ws(" ", F.concat(F.lit("Series "), series), F.concat(F.lit("Category "), category)), F.lit("")))
-    return F.concat_ws(" — ", document, F.concat(F.lit("p."), page.cast("string")), place)
+    """document - page - section, or the series and category where there is no section. Empty parts and page 0 are left out."""
+    said = lambda c: F.nullif(c, F.lit(""))
+    place = F.coalesce(said(section), said(F.concat_ws(" ", said(series), said(category))))
+    return F.concat_ws(" — ", said(document), F.when(page != 0, F.concat(F.lit("p."), page.cast("string"))), place)
 
 
 def preview(c: Column, size: int = 150) -> Column:
-    return F.replace(F.substring(c, 1, size), F.lit("\n"), F.lit(" "))
+    return F.regexp_replace(F.replace(F.substring(c, 1, size), F.lit("\n"), F.lit(" ")), r"(?U)^\s+|\s+$", "")
 
 
 def point_id(chunk_id: Column) -> Column:

@@ -128,3 +128,22 @@ def property_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = F.create_map(*[F.lit(x) for p in label.items() for x in p])
     vertices = edges.select(F.element_at(kinds, F.col("type")).alias("label"), F.col("target").alias("id")).union(i.select(F.lit("Issuer"), "issuer")).distinct()
     return vertices, edges.distinct()
+
+
+def category_ids(maps: list[Column]) -> Column:
+    """The categories that any of the maps by category names, in the order of their text."""
+    none = F.array().cast("array<string>")
+    keys = [F.coalesce(F.map_keys(m), none) for m in maps]
+    return F.array_sort(F.array_distinct(F.concat(*keys)))
+
+
+def load_summary(docs: DataFrame) -> DataFrame:
+    """One row a document: how many issues, series, ratings, lead managers and chunks of each kind it brings, and how many chunks are blank and skipped."""
+    total = lambda name: F.aggregate("issuer.issues", F.lit(0), lambda n, i: n + F.greatest(F.coalesce(F.size(i[name]), F.lit(0)), F.lit(0)))
+    chunks = F.coalesce("chunks", F.array().cast(docs.schema["chunks"].dataType))
+    blank = lambda c: F.trim(F.coalesce(c["text"], F.lit(""))) == ""
+    of = lambda kind: F.size(F.filter(chunks, lambda c: (c["chunk_type"] == kind) & ~blank(c)))
+    return docs.select(
+        "document.document_id", F.size("issuer.issues").alias("issues"), total("series").alias("series"), total("ratings").alias("ratings"), total("lead_managers").alias("lead_managers"),
+        of("structured_fact").alias("structured_facts"), of("prose").alias("prose"), F.size(F.filter(chunks, blank)).alias("skipped"),
+    )

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text
+from ledgerlark.operators import search, vector
 
 # Words that send a question to the issue overview.
 OVERVIEW_WORDS = ["trustee", "shelf limit", "green shoe", "rating", "lead manager", "listing", "exchange", "issue size", "security cover", "issue open", "issue close", "allotment"]
@@ -54,6 +58,124 @@ def unseen(found: DataFrame, seen: DataFrame) -> DataFrame:
     return found.join(seen.select("source_id"), "source_id", "left_anti")
 
 
+def _said(c: Column | str) -> Column:
+    return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def _sentence(head: Column, facts: list[Column]) -> Column:
+    """head: fact, fact. - or head alone with its full stop."""
+    return F.concat(F.concat_ws(": ", head, F.nullif(F.concat_ws(", ", *facts), F.lit(""))), F.lit("."))
+
+
+def term_sentence() -> Column:
+    """A row of search.bond_terms as a sentence; null and empty facts are left out."""
+    number = lambda label, c, unit="": F.concat(F.lit(f"{label} "), F.col(c).cast("string"), F.lit(unit))
+    head = F.concat_ws(" Category ", F.concat_ws(" Series ", "issuer", "series_code"), _said("category_code"))
+    facts = [
+        F.concat(F.lit("tenor "), _said("tenor")), F.concat(_said("coupon_type"), F.coalesce(F.concat(F.lit(" ("), _said("frequency"), F.lit(")")), F.lit(""))), number("face value INR", "face_value_inr"), number("coupon", "coupon_percent", "%"),
+        number("effective yield", "effective_yield_percent", "%"), number("issue price INR", "issue_price_inr"), number("maturity amount INR", "maturity_amount_inr"), _said("nature_of_indebtedness"),
+    ]
+    return _sentence(head, facts)
+
+
+def issue_sentence() -> Column:
+    """A row of search.issue_facts as a sentence."""
+    missing = F.lit("None")  # how a date or a rating that is not known is shown beside one that is
+    stated = lambda label, c: F.concat(F.lit(f"{label} "), _said(c))
+    dates = F.concat(F.lit("open "), F.coalesce("issue_open_date", missing), F.lit(" to "), F.coalesce("issue_close_date", missing))
+    rated = F.transform(F.filter("ratings", lambda r: _said(r["agency"]).isNotNull()), lambda r: F.concat(r["agency"], F.lit(": "), F.coalesce(r["rating"], missing)))
+    facts = [
+        stated("issue size", "issue_size"), stated("debenture trustee", "debenture_trustee"), stated("security type", "security_type"), stated("security cover", "security_cover"), stated("shelf limit", "shelf_limit"),
+        stated("green shoe option", "green_shoe_option"), F.concat(F.lit("listed on "), _said("listing"), F.coalesce(F.concat(F.lit(" ("), _said("exchange"), F.lit(")")), F.lit(""))),
+        F.when(_said("issue_open_date").isNotNull() | _said("issue_close_date").isNotNull(), dates), F.concat(F.lit("ratings - "), _said(F.array_join(rated, "; "))), F.concat(F.lit("lead managers - "), _said(F.array_join("lead_managers", ", "))),
+    ]
+    return _sentence(F.concat("issuer", F.lit(" ("), F.coalesce("issue_name", missing), F.lit(")")), facts)
+
+
+def participant_sentence() -> Column:
+    place = F.concat("issuer", F.lit(" ("), F.coalesce("issue_name", F.lit("None")), F.lit(", "), "document_name", F.lit(")"))
+    return F.concat(place, F.lit(": "), "participant_name", F.lit(" served as "), "participant_role", F.lit("."))
+
+
+def vocabulary(facts: DataFrame, involved: DataFrame) -> DataFrame:
+    """kind, name, form of all issuers (the first part of their files' names too) and participants of search.issue_facts and participations."""
+    issuers = facts.select(F.lit("Issuer").alias("kind"), F.col("issuer").alias("name"), "document_name").filter("name <> ''")
+    files = issuers.select("kind", "name", text.file_alias(F.col("document_name")).alias("form")).filter("form IS NOT NULL")
+    people = involved.select(F.lit("Participant").alias("kind"), F.col("participant_name").alias("name"))
+    return forms(issuers.select("kind", "name").unionByName(people).distinct()).unionByName(files).distinct()
+
+
+def _starts(name: Column) -> Column:
+    """The first three characters in lower case, or all of a shorter name."""
+    return F.substring(F.lower(name), 1, 3)
+
+
+def _containing(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """asked (participant) with the names (participant_name) that contain it, whatever the case: met by three characters, then tested."""
+    low = F.lower("participant_name")
+
+    def pieces(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, n))
+
+    grams = F.array_distinct(F.flatten(F.array(pieces(1), pieces(2), pieces(3))))
+    met = asked.withColumn("_g", _starts(F.col("participant"))).join(names.select("participant_name", F.explode(grams).alias("_g")), "_g")
+    return met.filter(F.contains(low, F.lower("participant"))).drop("_g")
+
+
+def structured_candidates(questions: DataFrame, tables: dict[str, DataFrame], cap: int = 200) -> DataFrame:
+    """question_id, source_id, text, label, score of the typed look-ups that each question (question_id, question) asks for.
+
+    Terms where it names a series or a category, of its issuer if it names one; the overview where it names an issuer and a word
+    of OVERVIEW_WORDS; issues of the participant that it names. Each look-up returns at most cap rows a question, as the tools do.
+    """
+    facts, involved = search.issue_facts(tables), search.participations(tables)
+    found = mentioned(questions, vocabulary(facts, involved))
+    one = lambda kind, name: found.filter(F.col("kind") == kind).select("question_id", F.col("name").alias(name))
+    asked = questions.select("question_id", routes(F.col("question")).alias("r")).select("question_id", "r.*")
+    asked = asked.join(one("Issuer", "issuer"), "question_id", "left").join(one("Participant", "participant"), "question_id", "left")
+
+    def shown(rows: DataFrame, order: list[str], source: Column, section: Column, sentence: Column, kind: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("question_id").orderBy(*[F.asc_nulls_first(c) for c in order]))
+        label = F.concat(F.lit(f"[{kind}] "), F.concat_ws(" — ", "document_name", section))
+        return rows.withColumn("_n", place).filter(F.col("_n") <= cap).select("question_id", source.alias("source_id"), sentence.alias("text"), label.alias("label"), F.lit(1.0).alias("score"))
+
+    terms = search.bond_terms(tables).withColumnsRenamed({"series_code": "series", "category_code": "category"})
+    keys = ["series", "category", "issuer"]
+    legs = []
+    for on in (["series"], ["category"], ["series", "category"], ["series", "issuer"], ["category", "issuer"], keys):  # what a question names, so that every join has keys
+        some = asked.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() if k in on else F.col(k).isNull() for k in keys]))
+        legs.append(some.select("question_id", *on).join(terms, on).select("question_id", *terms.columns))
+    rows = reduce(DataFrame.unionByName, legs).withColumnsRenamed({"series": "series_code", "category": "category_code"})
+    out = shown(rows, ["series_code", "category_code", "series_id"], F.concat(F.lit("sql:series:"), "series_id"), F.col("section"), term_sentence(), "SQL")
+    rows = asked.filter("overview AND issuer IS NOT NULL").select("question_id", "issuer").join(facts, "issuer")
+    out = out.unionByName(shown(rows, ["issue_id"], F.concat(F.lit("sql:issue:"), "issue_id"), F.col("issue_name"), issue_sentence(), "SQL"))
+    named = asked.filter("participant IS NOT NULL").select("question_id", "participant")
+    wide = _containing(named.select("participant").distinct(), involved.select("participant_name").distinct())
+    rows = named.join(wide, "participant").join(involved, "participant_name")
+    source = F.concat_ws(":", F.lit("graph"), "issue_id", "participant_role", "participant_name")
+    return out.unionByName(shown(rows, ["issue_id", "participant_role", "participant_name"], source, F.col("participant_role"), participant_sentence(), "Graph"))
+
+
+def vector_candidates(questions: DataFrame, chunks: DataFrame, embed: vector.Embed, k: int = 6) -> DataFrame:
+    """question_id, source_id, text, label, score, atom: the k nearest chunks of the vector store for each question; atom is the question with label and preview."""
+    asked = questions.withColumn("embedding", vector.embedding_of(F.col("question"), embed))
+    best = vector.top_k_of_each(asked.select(F.col("question_id").alias("query_id"), "embedding"), chunks, k, key="chunk_id")
+    rows = best.select(F.col("query_id").alias("question_id"), F.col("key").alias("chunk_id"), "score").join(chunks, "chunk_id").join(questions.select("question_id", "question"), "question_id")
+    label = text.chunk_label(F.col("document_name"), F.col("start_page"), F.col("section_path"), F.col("series_id"), F.col("category_id"))
+    rows = rows.withColumn("label", label)
+    atom = F.concat("question", F.lit(" ["), "label", F.lit("]: "), text.preview(F.col("text")))
+    return rows.select("question_id", F.col("chunk_id").alias("source_id"), "text", "label", "score", atom.alias("atom"))
+
+
+def reply_value(reply: str) -> object:
+    """The JSON value of a model's reply, which may stand in a code fence; None if it is no JSON."""
+    fenced = re.search(r"```[\w-]*\s*(.*?)```", reply, re.S)
+    try:
+        return json.loads(fenced[1] if fenced else reply)
+    except ValueError:
+        return None
+
+
 class Model(Protocol):
     def propose(self, question: str, known: list[dict]) -> list[str]: ...
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Embed = Callable[[str], list[float]]
@@ -36,7 +36,11 @@ def top_k(rows: DataFrame, query: list[float], k: int = 8, cap: int = 200, thres
 
 
 def top_k_of_each(queries: DataFrame, rows: DataFrame, k: int = 8, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k best of rows for each query (query_id, vector): every block of queries meets every block of rows, only k a block and query go on."""
+    """query_id, key, score, rank: the k best of rows for each query (query_id, vector).
+
+    Every block of queries meets every block of rows, and only k rows a block and query go on. Keys may be of any type with an order.
+    """
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "key": dict(rows.dtypes)[key]}
     asked, held = queries.select("query_id", vector), rows.select(key, vector)
     across, down = (max(1, -(-frame.count() // size)) for frame, size in ((asked, QUERIES), (held, ROWS)))
     place = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
@@ -46,7 +50,7 @@ def top_k_of_each(queries: DataFrame, rows: DataFrame, k: int = 8, vector: str =
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "key": [], "score": []}).astype({"query_id": "int64", "key": "int64"})
+            return pd.DataFrame({"query_id": left["query_id"][:0], "key": right[key][:0], "score": np.zeros(0)})
         q, x = (np.stack([np.asarray(v, float) for v in frame[vector]]) for frame in (left, right))
         scores = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
         most = min(k, scores.shape[1])
@@ -55,7 +59,7 @@ def top_k_of_each(queries: DataFrame, rows: DataFrame, k: int = 8, vector: str =
         found = pd.DataFrame({"query_id": left["query_id"].to_numpy()[at], "key": right[key].to_numpy()[to], "score": scores[at, to]})
         return found.sort_values(["query_id", "score", "key"], ascending=[True, False, True]).groupby("query_id").head(k)
 
-    found = asked.groupBy("x", "y").cogroup(held.groupBy("x", "y")).applyInPandas(best, "query_id long, key long, score double")
+    found = asked.groupBy("x", "y").cogroup(held.groupBy("x", "y")).applyInPandas(best, f"query_id {kinds['query_id']}, key {kinds['key']}, score double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).filter(F.col("rank") <= k)
 
 
@@ -72,7 +76,26 @@ def hashing_embedder(size: int = 64) -> Embed:
     return embed
 
 
+def embedding_of(c: Column, embed: Embed) -> Column:
+    return F.pandas_udf(lambda s: s.map(lambda t: [float(x) for x in embed(t or "")]), "array<float>")(c)
+
+
 def embedded(chunks: DataFrame, embed: Embed, text: str = "text") -> DataFrame:
     """chunks with text, blank ones left out, and their embedding."""
-    run = F.pandas_udf(lambda s: s.map(lambda t: [float(x) for x in embed(t)]), "array<float>")
-    return chunks.filter(F.trim(text) != "").withColumn("embedding", run(F.col(text)))
+    return chunks.filter(F.trim(text) != "").withColumn("embedding", embedding_of(F.col(text), embed))
+
+
+def stored(chunks: DataFrame, embed: Embed, path: str, document: str = "document_name") -> None:
+    """Embed chunks into the store at path, one folder a document: all that was stored of these documents goes, other documents stay.
+
+    A document whose chunks are all blank keeps one row without a chunk id, by which its old rows are overwritten too; held() leaves it out.
+    """
+    rows = embedded(chunks, embed)
+    blank = chunks.select(document).distinct().join(rows.select(document).distinct(), document, "left_anti")
+    out = rows.unionByName(blank, allowMissingColumns=True)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(document).parquet(path)
+
+
+def held(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the store, to be searched by top_k and top_k_of_each."""
+    return spark.read.parquet(path).filter("chunk_id IS NOT NULL")

@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Plans of the engine; importing it registers all queries."""
+
+from ledgerlark.plans import catalogue, documents  # noqa: F401

@@ -219,7 +219,7 @@ def point_id(spark, sf):
     return Tables(spark, sf).orders.select("o_orderkey", text.point_id(F.col("o_orderkey").cast("string")).cast("string").alias("point"))
 
 
-@query("SELECT doc_id, replace(substr(text, 1, 150), chr(10), ' ') AS preview, source || ' — p.' || (doc_id % 7) || ' — ' || lang AS label FROM documents")
+@query(r"SELECT doc_id, regexp_replace(replace(substr(text, 1, 150), chr(10), ' '), '^\s+|\s+$', '', 'g') AS preview, concat_ws(' — ', source, CASE WHEN doc_id % 7 <> 0 THEN 'p.' || (doc_id % 7) END, lang) AS label FROM documents")
 def chunk_payload(spark, sf):
     label = text.chunk_label(F.col("source"), F.col("doc_id") % 7, F.col("lang"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     return Tables(spark, sf).documents.select("doc_id", text.preview(F.col("text")).alias("preview"), label.alias("label"))
@@ -460,13 +460,6 @@ def vector_postfilter(spark, sf):
     return _shown(vector.top_k(t.embeddings, _probe(t), k=50).filter("label = 3"))
 
 
-@query("SELECT query_id, vec_id, r AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id < 5) WHERE r <= 4")
-def vector_topk_each(spark, sf):
-    e = Tables(spark, sf).embeddings
-    found = vector.top_k_of_each(e.filter("vec_id < 5").withColumnRenamed("vec_id", "query_id"), e, 4)
-    return found.select("query_id", F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
-
-
 @query("SELECT query_id, vec_id, r AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE r <= 4")
 def vector_topk_twentieth(spark, sf):
     """Every row whose id is divisible by 20 asks all rows."""

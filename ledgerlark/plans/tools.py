@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.operators import search, vector
+
 CAP = 200
 
 
@@ -64,6 +67,42 @@ def sql_query(spark: SparkSession, statement: str, citation_table: str | None =
         return Answer("sql_query", error="query_failed", detail=str(e).splitlines()[0])
 
 
+def _looked_up(tool: str, look: Callable[[], DataFrame], cite: Callable[[dict], dict], hidden: tuple[str, ...] = (), cap: int = CAP) -> Answer:
+    """The first cap rows with a citation each; one row more is fetched to know whether the cap cut them. Columns in hidden serve the citations alone."""
+    try:
+        rows = [r.asDict(recursive=True) for r in look().limit(cap + 1).collect()]
+    except Exception as e:
+        return Answer(tool, error="query_failed", detail=str(e).splitlines()[0])
+    cut = rows[:cap]
+    citations = [cite(r) for r in cut]
+    data = [{k: v for k, v in r.items() if k not in hidden} for r in cut]
+    return Answer(tool, data, citations, len(cut), len(rows) > cap)
+
+
+def search_bond_terms(tables: dict[str, DataFrame], cap: int = CAP, **asked: str | None) -> Answer:
+    """Terms by issuer, document_name, series_code, category_code, tenor (contained) and nature_of_indebtedness, in the order of series and category."""
+    order = [F.asc_nulls_first(c) for c in ("series_code", "category_code", "series_id")]
+    cite = lambda r: {"source_type": "sql", "source_id": f"series:{r['series_id']}", "document_name": r["document_name"], "page_number": r["first_page"], "section": r["section"]}
+    return _looked_up("sql_search_bond_terms", lambda: search.bond_terms(tables, **asked).orderBy(*order), cite, ("first_page", "section"), cap)
+
+
+def get_issue_overview(tables: dict[str, DataFrame], issuer: str | None = None, document_name: str | None = None, cap: int = CAP) -> Answer:
+    """Issue facts with ratings and lead managers, in the order of the issues' ids."""
+    cite = lambda r: {"source_type": "sql", "source_id": f"issue:{r['issue_id']}", "document_name": r["document_name"], "section": r["issue_name"]}
+    return _looked_up("sql_get_issue_overview", lambda: search.issue_facts(tables, issuer, document_name).orderBy("issue_id"), cite, cap=cap)
+
+
+#: Columns of a hit.
+HIT = ["chunk_id", "chunk_type", "score", "text", "document_name", "issuer", "document_type", "section", "subsection", "section_path", "series_id", "category_id", "start_page", "end_page"]
+
+
+def vector_search(chunks: DataFrame, query_text: str, embed: vector.Embed, top_k: int = 8, score_threshold: float | None = None, cap: int = CAP, **filters: str | None) -> Answer:
+    """The chunks nearest to the text among those that meet the filters (issuer, document_type, chunk_type, series_id, category_id)."""
+    cite = lambda r: {"source_type": "vector", "source_id": r["chunk_id"], "document_name": r["document_name"], "page_number": r["start_page"], "section": r["section_path"] or r["section"], "confidence": r["score"]}
+    look = lambda: vector.top_k(chunks, embed(query_text), top_k, cap, score_threshold, key="chunk_id", filters=filters).select(*HIT)
+    return _looked_up("vector_search", look, cite, cap=cap)
+
+
 def health(spark: SparkSession, tables: list[str]) -> dict[str, bool]:
     out = {"sql": spark.range(1).select(F.lit(1)).count() == 1}
     return out | {t: spark.catalog.tableExists(t) for t in tables}

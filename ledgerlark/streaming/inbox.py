@@ -13,6 +13,8 @@ KEYS = {
     "issuers": ["issuer_name"], "documents": ["issuer_name", "document_name"], "issues": ["document_name", "issue_identifier"], "ratings": ["issue_id", "agency", "rating"], "lead_managers": ["issue_id", "name"],
     "series": ["issue_id", "series_code"], "investor_categories": ["category_code"], "series_category_terms": ["issue_id", "series_code", "category_code"], "series_provenance": ["issue_id", "series_code", "page_number", "source_field"],
 }
+#: The categories that are known from the beginning.
+CATEGORIES = ["I", "II", "III", "IV"]
 #: These are inserted if absent and never changed.
 ADDED_ONLY = {"issuers", "ratings", "lead_managers", "investor_categories", "series_provenance"}
 
@@ -23,6 +25,22 @@ def loaded(docs: DataFrame, root: str) -> None:
         load.merge_into(docs.sparkSession, f"{root}/{name}", rows, KEYS[name], name not in ADDED_ONLY)
 
 
+def seeded(spark: SparkSession, root: str) -> None:
+    """Make the tables that are missing, empty, and the known categories; tables that exist stay as they are."""
+    none = spark.createDataFrame([], schema.DOCUMENT)
+    for name, rows in canonical.relational(none).items():
+        load.merge_into(spark, f"{root}/{name}", rows, KEYS[name], False)
+    known = spark.createDataFrame([(c, f"Category {c}") for c in CATEGORIES], "category_code string, category_name string")
+    load.merge_into(spark, f"{root}/investor_categories", known, KEYS["investor_categories"], False)
+
+
+def linked(docs: DataFrame, root: str) -> None:
+    """The property graph of docs into the vertices and edges under root: nodes are added once, a later edge of the same ends wins."""
+    vertices, edges = canonical.property_graph(docs)
+    load.merge_into(docs.sparkSession, f"{root}/vertices", vertices, ["label", "id"], False)
+    load.merge_into(docs.sparkSession, f"{root}/edges", edges, ["source", "type", "target"], True)
+
+
 def watched(spark: SparkSession, inbox: str, root: str, checkpoint: str) -> StreamingQuery:
     """Start loading every new file of inbox; a replayed batch is harmless."""
     docs = spark.readStream.schema(schema.DOCUMENT).option("multiLine", "true").json(inbox)

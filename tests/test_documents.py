@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark import schema
-from ledgerlark.operators import assembly, canonical, entities, load, retrieval, tables
+from ledgerlark.functions import text
+from ledgerlark.operators import assembly, canonical, entities, load, retrieval, search, tables, vector
 from ledgerlark.plans import tools
 from ledgerlark.sources import files
 from ledgerlark.streaming import inbox
@@ -240,3 +241,82 @@ def test_many_queries_in_blocks(spark, monkeypatch):
     scores = np.round(unit @ unit.T, 9)
     want = {(q, r + 1): int(i) for q in range(0, 90, 5) for r, i in enumerate(np.lexsort((np.arange(90), -scores[q]))[:6])}
     assert {(r.query_id, r.rank): round(float(scores[r.query_id, r.key]), 9) for r in got} == {at: round(float(scores[at[0], i]), 9) for at, i in want.items()}
+
+
+@pytest.fixture(scope="module")
+def stored_tables(docs):
+    return canonical.relational(docs)
+
+
+def test_bond_terms_tool(stored_tables):
+    got = tools.search_bond_terms(stored_tables, series_code="II", tenor="10", issuer=None)
+    assert got.ok and got.row_count == 2 and not got.truncated and list(got.data[0]) == search.TERM_COLUMNS
+    assert [r["category_code"] for r in got.data] == ["I", "II"] and got.data[0]["frequency"] is None
+    assert got.citations[0] == {"source_type": "sql", "source_id": "series:pfc_1:II", "document_name": "PFC", "page_number": 3, "section": "Series II / Category I"}
+    cut = tools.search_bond_terms(stored_tables, cap=1)
+    assert cut.row_count == 1 and cut.truncated
+    assert tools.search_bond_terms(stored_tables, issuer="Nobody").data == []
+
+
+def test_issue_overview_tool(stored_tables):
+    got = tools.get_issue_overview(stored_tables, document_name="PFC")
+    assert list(got.data[0]) == [*search.ISSUE_COLUMNS, "ratings", "lead_managers"]
+    row = got.data[0]
+    assert row["issue_size"] == "₹ 500 crore" and row["lead_managers"] == ["Nuvama", "Trust"] and [r["rating"] for r in row["ratings"]] == ["AA", "AAA"]
+    assert got.citations == [{"source_type": "sql", "source_id": "issue:pfc_1", "document_name": "PFC", "section": "Tranche I Issue"}]
+    without = {**stored_tables, "ratings": stored_tables["ratings"].limit(0), "lead_managers": stored_tables["lead_managers"].limit(0)}
+    assert tools.get_issue_overview(without).data[0]["ratings"] == []
+
+
+def test_structured_candidates(spark, stored_tables):
+    asked = spark.createDataFrame([
+        (1, "What is the coupon of Series ii for Category I of Power Finance Corporation?"), (2, "Who is the trustee of power finance corporation limited?"), (3, "What did NUVAMA do?"), (4, "What is a bond?"), (5, "Who is the trustee?"), (6, "Terms of Series IX?"),
+        (7, None),
+    ], "question_id long, question string")
+    got = {}
+    for r in retrieval.structured_candidates(asked, stored_tables).collect():
+        got.setdefault(r.question_id, []).append(r)
+    assert sorted(got) == [1, 2, 3]
+    assert [r.source_id for r in got[1]] == ["sql:series:pfc_1:II"] and got[1][0].label == "[SQL] PFC — Series II / Category I"
+    assert got[1][0].text == "Power Finance Corporation Limited Series II Category I: tenor 10 years, face value INR 1000.00, coupon 7.1001%."
+    assert got[2][0].text == "Power Finance Corporation Limited (Tranche I Issue): issue size ₹ 500 crore, debenture trustee Beacon Trusteeship Limited, ratings - CRISIL: AA; CRISIL: AAA, lead managers - Nuvama, Trust."
+    assert [(r.source_id, r.text) for r in got[3]] == [("graph:pfc_1:LeadManager:Nuvama", "Power Finance Corporation Limited (Tranche I Issue, PFC): Nuvama served as LeadManager.")]
+
+
+def test_a_file_name_is_an_alias(spark):
+    rows = spark.createDataFrame([("a/pfc_ncd_2026.pdf",), ("ab_x.pdf",), (None,)], "p string").select(text.file_alias(F.col("p"))).collect()
+    assert [r[0] for r in rows] == ["pfc", None, None]
+
+
+def test_vector_store_replaces_documents(spark, tmp_path):
+    columns = "chunk_id string, text string, document_name string, start_page int, section_path string, section string, subsection string, chunk_type string, issuer string, document_type string, series_id string, category_id string, end_page int"
+    row = lambda i, t, d: (i, t, d, 2, "", "", "", "prose", "I", "NCD", "II", None, 2)
+    embed, path = vector.hashing_embedder(), str(tmp_path / "store")
+    vector.stored(spark.createDataFrame([row("a1", "coupon rate", "a"), row("a2", "old", "a"), row("b1", "trustee name", "b"), row("c1", "gone", "c")], columns), embed, path)
+    vector.stored(spark.createDataFrame([row("a1", "coupon of the bond", "a"), row("a3", " ", "a"), row("c1", "  ", "c")], columns), embed, path)
+    held = vector.held(spark, path)
+    assert sorted((r.chunk_id, r.text) for r in held.collect()) == [("a1", "coupon of the bond"), ("b1", "trustee name")]
+    got = tools.vector_search(held, "trustee name", embed, top_k=1, issuer="I", chunk_type=None)
+    assert list(got.data[0]) == tools.HIT and got.data[0]["chunk_id"] == "b1" and got.citations[0]["confidence"] == pytest.approx(1.0)
+    asked = spark.createDataFrame([(7, "coupon of the bond")], "question_id long, question string")
+    best = retrieval.vector_candidates(asked, held, embed, 1).collect()
+    assert [(r.question_id, r.source_id, r.label) for r in best] == [(7, "a1", "a — p.2 — II")] and best[0].atom == "coupon of the bond [a — p.2 — II]: coupon of the bond"
+
+
+def test_tables_are_made_once_and_graph_merges(spark, docs, tmp_path):
+    root = str(tmp_path / "tables")
+    inbox.seeded(spark, root)
+    assert spark.read.parquet(f"{root}/series").count() == 0
+    inbox.loaded(docs, root)
+    inbox.seeded(spark, root)
+    assert sorted(r.category_name for r in spark.read.parquet(f"{root}/investor_categories").collect()) == [f"Category {c}" for c in ("I", "II", "III", "IV")]
+    assert spark.read.parquet(f"{root}/series").count() == 1
+    for _ in range(2):
+        inbox.linked(docs, root)
+    vertices, edges = canonical.property_graph(docs)
+    assert spark.read.parquet(f"{root}/vertices").count() == vertices.count() and spark.read.parquet(f"{root}/edges").count() == edges.count()
+
+
+@pytest.mark.parametrize(("reply", "value"), [('{"a": 1}', {"a": 1}), ('so:\n```json\n["x"]\n```\nend', ["x"]), ("none", None), ("```\n{\n```", None)])
+def test_reply_value(reply, value):
+    assert retrieval.reply_value(reply) == value
