@@ -58,6 +58,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT, _WORD, _DIGITS = re.compile("[0-9@]"), re.compile(r"[^\x20\x09-\x0D]+"), re.compile("[^0-9]")
+#: A word from its beginning on, and at how many places of a text words are drawn to stand between data written again.
+_BEGUN, PLACES = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]+"), 100
 _HEX = re.compile("[0-9a-f]+")
 _SHAPES = ((re.compile("[a-z]+"), "a"), (re.compile("[A-Z]+"), "A"), (re.compile("[^\x00-\x7f]+"), "w"), (re.compile("[0-9]"), "9"))
 
@@ -282,7 +284,7 @@ def lesson(text: str) -> tuple[Graph, np.ndarray]:
     rng = random.Random(zlib.crc32(text.encode()))
     base = base_spans(text)
     secrets = [("secret", *m.span(1)) for m in SECRET.finditer(text)]
-    words = [text[a:b] for a, b in (m.span() for m in _WORD.finditer(text, 0, 2000))]
+    words = [m[0] for m in (_BEGUN.search(text, rng.randrange(len(text))) for _ in range(PLACES)) if m]
     words = [w for w in words if not _HINT.search(w)] or ["and"]
     parts, size, more = [text], len(text), []
 
