@@ -135,7 +135,7 @@ def structured_candidates(questions: DataFrame, tables: dict[str, DataFrame], ca
     asked = asked.join(one("Issuer", "issuer"), "question_id", "left").join(one("Participant", "participant"), "question_id", "left")
 
     def shown(rows: DataFrame, order: list[str], source: Column, section: Column, sentence: Column, kind: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("question_id").orderBy(*[F.asc_nulls_first(c) for c in order]))
+        place = F.row_number().over(Window.partitionBy("question_id").orderBy(*[F.asc_nulls_first(c) for c in order], sentence))
         label = F.concat(F.lit(f"[{kind}] "), F.concat_ws(" — ", "document_name", section))
         return rows.withColumn("_n", place).filter(F.col("_n") <= cap).select("question_id", source.alias("source_id"), sentence.alias("text"), label.alias("label"), F.lit(1.0).alias("score"))
 
