@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fm_quality, host_rules, langid, lm, minhash, mixing, pii, token_counts, turns
+from . import ann, bpe, fm_quality, host_rules, langid, lm, minhash, mixing, pii, ranked, token_counts, turns
 from .store import table
 
 QUERIES = {
@@ -17,7 +17,8 @@ QUERIES = {
     "op8_near_duplicates": lambda spark, sf_dir: minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=85, width=3),
     "op9_pii": lambda spark, sf_dir: pii.digest(table(spark, sf_dir, "documents")),
     "op11_turn_reassembly": lambda spark, sf_dir: turns.digest(table(spark, sf_dir, "conversations")),
+    "op12_impact_ranked": lambda spark, sf_dir: ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_fm_quality": lambda spark, sf_dir: fm_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
-ORACLE_SQL = {"mixing_totals": mixing.ORACLE, "op7_host_quality_rules": host_rules.ORACLE, "op11_turn_reassembly": turns.ORACLE}
+ORACLE_SQL = {"mixing_totals": mixing.ORACLE, "op7_host_quality_rules": host_rules.ORACLE, "op11_turn_reassembly": turns.ORACLE, "op12_impact_ranked": ranked.ORACLE}
