@@ -22,6 +22,7 @@ before all else, leftmost first and longest first.
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import json
 import re
@@ -43,6 +44,16 @@ _CUT = re.compile(rf"(?<=[^{_BLANK}]) (?=[^{_BLANK}])")
 BLOCK, CACHE = 1 << 16, 400_000
 
 
+def safe_cut() -> re.Pattern:
+    """Where every pre-tokenization has a border: a space between two characters that are not blank."""
+    return _CUT
+
+
+@functools.cache
+def blanks() -> frozenset[str]:
+    return frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_BLANK}]", c))
+
+
 def byte_letters() -> dict[str, int]:
     """The letter by which the vocabulary file writes each byte -> the byte: visible Latin-1 as itself, others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

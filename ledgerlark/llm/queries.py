@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, fm_quality, host_rules, langid, lm, minhash, mixing, pii, ranked, token_counts, turns
+from . import ann, bpe, fm_quality, host_rules, langid, lm, minhash, mixing, pii, ranked, token_counts, turns, wavelet
 from .store import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_pii": lambda spark, sf_dir: pii.digest(table(spark, sf_dir, "documents")),
     "op11_turn_reassembly": lambda spark, sf_dir: turns.digest(table(spark, sf_dir, "conversations")),
     "op12_impact_ranked": lambda spark, sf_dir: ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op13_wavelet_shards": lambda spark, sf_dir: wavelet.digest(table(spark, sf_dir, "documents")),
     "op10_fm_quality": lambda spark, sf_dir: fm_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
