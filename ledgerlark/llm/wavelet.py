@@ -17,6 +17,7 @@ from __future__ import annotations
 import array
 import functools
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,6 +48,7 @@ class Tokens:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -62,7 +64,7 @@ class Tokens:
         return [array.array(self.code, found.ids).tobytes() for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, known: dict[str, bytes], lead: str, words: set[str]) -> None:
-        new = list(words - known.keys())
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > CACHE:
             known.clear()
             new = list(words)
