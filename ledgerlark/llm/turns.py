@@ -1,19 +1,19 @@
 r"""Conversation turns put back in order by a stateful stream: hash buckets with a timing wheel.
 
-There are two stateful queries, the second fed by what the first writes, both keyed by hash buckets whose number follows the
-input, so that a bucket stays small. Both are started anew for each batch, each on its one checkpoint.
+One stateful query, started anew for each batch on its one checkpoint. Its state is keyed by hash buckets, whose number follows
+the input, so that a bucket stays small. There are two kinds:
 
-* *Pieces.* A conversation's turns are dealt by ranges of `PIECE` numbers to buckets, so one that holds a third of all rows
-  is spread over many. A piece keeps one bit a turn: it tells first arrivals from repeats and knows how far it is gapless. Texts
-  pass through, none are kept. Per batch and piece one short row goes on.
-* *Conversations.* A bucket holds its conversations' generation and the end of what is released, and a timing wheel: a slot a
-  batch. An arrival in batch b raises the generation and files the conversation in slot b + `quiet`; older entries stay
-  where they are and are void, as their generation is. A tick visits the due slot alone and closes the conversations whose
-  entry is valid. The final tick closes all others. A closed conversation leaves its name; what comes later is late. A
-  conversation of t turns is t / PIECE short rows here.
+* *Turns.* A conversation's turns are dealt by pieces, ranges of `PIECE` numbers, so one that holds a third of all rows is
+  spread over many buckets. A bucket keeps one bit a turn, which tells first arrivals from repeats. Texts pass through.
+* *Conversations.* They get one short row a piece and batch, with the turns that came. A bucket holds its conversations' generation,
+  the end of what is released and the turns ahead of it, and a timing wheel: a slot a batch. An arrival in batch b
+  raises the generation and files the conversation in slot b + `quiet`; older entries stay where they are and are void, as their
+  generation is. A tick visits the due slot alone and closes the conversations whose entry is valid. The final tick
+  closes all others. A closed conversation leaves its name; what comes later is late. A conversation of t turns is
+  t / PIECE rows here, of a bit a turn.
 
-The first query writes each turn as it came (kept or repeated), the second how far each batch released in a conversation, late
-batches and closes: at most two rows a conversation and batch. `events` joins the two.
+The query writes each turn as it came (kept or repeated), how far each batch released in a conversation, late batches and
+closes: at most two rows a conversation and batch. `events` joins them.
 
 Null turns are dropped. Null role and text are empty; a null conv_id is a conversation of its own. Of rows with one turn
 in one batch the one with the smallest role|text arrives; of equal ones with different roles, the smaller role. Repeated rows
@@ -26,14 +26,14 @@ from __future__ import annotations
 
 import pickle
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
-from .store import shared_folder
+from .store import shared_folder, written
 
 #: Turn numbers in a piece, as a power of two; conversations and rows in a bucket, about.
 PIECE_BITS, CONVERSATIONS, ROWS = 10, 2048, 16_384
@@ -41,102 +41,91 @@ PIECE = 1 << PIECE_BITS
 #: The contract's batches, and those without an arrival that close a conversation.
 BATCHES, QUIET = 10, 2
 
-_FED = "kind string, bucket long, conv string, turn long, first long, role string, text string, batch long"
-_PASSED = "bucket long, conv string, turn long, upto long, first long, role string, text string, batch long, fresh boolean, kind string"
-_SAID = "kind string, conv string, turn long, upto long, batch long"
+_FED = "kind string, bucket long, conv string, turn long, first long, role string, text string, turns array<bigint>, batch long"
+_OUT = "kind string, conv string, turn long, upto long, first long, role string, text string, batch long, fresh boolean"
 
 
-def _names(schema: str) -> list[str]:
-    return [field.split()[0] for field in schema.split(", ")]
+def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, quiet: int) -> Iterator[pd.DataFrame]:
+    return _turns(frames, state) if key[0] < 0 else _conversations(frames, state, quiet)
 
 
-def _bucket(conv: str, buckets: int) -> int:
-    return zlib.crc32(conv.encode()) % buckets
-
-
-def _pieces(key: tuple, frames: Iterator[pd.DataFrame], state, buckets: int) -> Iterator[pd.DataFrame]:
+def _turns(frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """State of a bucket: (conversation, piece) -> bits of the turns that have come."""
     bits: dict[tuple[str, int], int] = pickle.loads(state.get[0]) if state.exists else {}
-    touched: dict[tuple[str, int], int] = {}
-    batch = 0
     for frame in frames:
-        ticks = frame[frame.kind != "turn"]
-        if len(ticks):
-            yield pd.DataFrame({"bucket": ticks.turn, "conv": "", "turn": 0, "upto": 0, "first": 0, "role": "", "text": "", "batch": ticks.batch, "fresh": False, "kind": ticks.kind})
-        rows, fresh = frame[frame.kind == "turn"], []
-        if not len(rows):
-            continue
-        batch = int(rows.batch.iloc[0])
-        for conv, turn, first in zip(rows.conv, rows.turn.tolist(), rows["first"].tolist()):
+        fresh = []
+        for conv, turn in zip(frame.conv, frame.turn.tolist()):
             at, bit = (conv, turn >> PIECE_BITS), 1 << (turn & (PIECE - 1))
             known = bits.get(at, 0)
             fresh.append(not (known & bit))
             bits[at] = known | bit
-            touched[at] = first
-        yield pd.DataFrame({"bucket": key[0], "conv": rows.conv, "turn": rows.turn, "upto": 0, "first": rows["first"], "role": rows.role, "text": rows.text, "batch": rows.batch, "fresh": fresh, "kind": "turn"})
-    if not touched:
-        return
+        yield pd.DataFrame({"kind": "turn", "conv": frame.conv, "turn": frame.turn, "upto": 0, "first": frame["first"], "role": frame.role, "text": frame.text, "batch": frame.batch, "fresh": fresh})
     state.update((pickle.dumps(bits),))
-    out = []
-    for (conv, piece), first in touched.items():
-        begin = max(piece << PIECE_BITS, first)
-        missing = ~(bits[conv, piece] >> (begin - (piece << PIECE_BITS)))
-        out.append((_bucket(conv, buckets), conv, begin, begin + (missing & -missing).bit_length() - 2, first))
-    owns, convs, begins, ends, firsts = zip(*out)
-    # the piece's first turn and the last of its gapless run, which may be the one before
-    yield pd.DataFrame({"bucket": owns, "conv": convs, "turn": begins, "upto": ends, "first": firsts, "role": "", "text": "", "batch": batch, "fresh": False, "kind": "piece"})
-
-
-def _conversations(key: tuple, frames: Iterator[pd.DataFrame], state, quiet: int) -> Iterator[pd.DataFrame]:
-    """State of a bucket: conversation -> [generation, first turn not released, ends of pieces ahead], None when closed; the wheel."""
-    open_: dict[str, list | None]
+
+
+class _Conversation:
+    """Its generation, the first turn not released, and bits of the turns that came, by piece, from there on."""
+
+    __slots__ = ("generation", "end", "ahead")
+
+    def __init__(self, first: int):
+        self.generation, self.end, self.ahead = 0, first, {}
+
+    def add(self, turns: list[int]) -> None:
+        piece, bits = turns[0] >> PIECE_BITS, 0
+        for turn in turns:
+            bits |= 1 << (turn & (PIECE - 1))
+        if piece >= self.end >> PIECE_BITS:
+            self.ahead[piece] = self.ahead.get(piece, 0) | bits
+
+    def release(self) -> None:
+        while (piece := self.end >> PIECE_BITS) in self.ahead:
+            missing = ~(self.ahead[piece] >> (self.end & (PIECE - 1)))
+            self.end += (missing & -missing).bit_length() - 1
+            if self.end >> PIECE_BITS == piece:  # the piece has a gap
+                break
+            del self.ahead[piece]
+
+
+def _conversations(frames: Iterator[pd.DataFrame], state: GroupState, quiet: int) -> Iterator[pd.DataFrame]:
+    """State of a bucket: its conversations by name, None when closed, and the wheel."""
+    held: dict[str, _Conversation | None]
     wheel: dict[int, list[tuple[str, int]]]
-    open_, wheel = pickle.loads(state.get[0]) if state.exists else ({}, {})
-    arrived: dict[str, dict[int, int]] = {}
-    firsts: dict[str, int] = {}
+    held, wheel = pickle.loads(state.get[0]) if state.exists else ({}, {})
     now, final, ticked = 0, False, False
+    arrived, out = {}, []
     for frame in frames:
         now = int(frame.batch.iloc[0])
-        for kind, conv, turn, upto, first in zip(frame.kind, frame.conv, frame.turn.tolist(), frame.upto.tolist(), frame["first"].tolist()):
-            if kind == "piece":
-                arrived.setdefault(conv, {})[turn] = upto
-                firsts[conv] = first
-            else:
+        for kind, conv, first, turns in zip(frame.kind, frame.conv, frame["first"].tolist(), frame.turns):
+            if kind != "piece":
                 ticked, final = True, kind == "end"
-    out: list[tuple[str, str, int, int]] = []
-    for conv, pieces in arrived.items():
-        if conv in open_ and open_[conv] is None:
+            elif held.setdefault(conv, _Conversation(first)) is None:
+                arrived[conv] = None
+            else:
+                arrived.setdefault(conv, held[conv].end)
+                held[conv].add(turns.tolist())
+    for conv, begin in arrived.items():
+        if (one := held[conv]) is None:
             out.append(("late", conv, 0, 0))
             continue
-        held = open_.setdefault(conv, [0, firsts[conv], {}])
-        held[0] += 1
-        wheel.setdefault(now + quiet, []).append((conv, held[0]))
-        ahead, begin = held[2], held[1]
-        ahead.update(pieces)
-        at = max(begin >> PIECE_BITS << PIECE_BITS, firsts[conv])
-        while at in ahead:
-            held[1] = ahead[at] + 1
-            if held[1] & (PIECE - 1) or held[1] == at:  # the piece has a gap
-                break
-            del ahead[at]
-            at = held[1]
-        if held[1] > begin:
-            out.append(("run", conv, begin, held[1] - 1))
-    due = []
-    if ticked:
-        due = [(conv, held[0]) for conv, held in open_.items() if held] if final else wheel.pop(now, [])
-        for conv, generation in due:
-            held = open_[conv]
-            if held and held[0] == generation:
-                open_[conv] = None
-                out.append(("close", conv, 0, 0))
-        if final:
-            wheel.clear()
+        one.generation += 1
+        wheel.setdefault(now + quiet, []).append((conv, one.generation))
+        one.release()
+        if one.end > begin:
+            out.append(("run", conv, begin, one.end - 1))
+    due = wheel.pop(now, []) if ticked else []
+    if final:
+        due = [(conv, one.generation) for conv, one in held.items() if one]
+        wheel.clear()
+    for conv, generation in due:
+        if (one := held[conv]) and one.generation == generation:
+            held[conv] = None
+            out.append(("close", conv, 0, 0))
     if arrived or due:
-        state.update((pickle.dumps((open_, wheel)),))
+        state.update((pickle.dumps((held, wheel)),))
     if out:
         kinds, convs, turns, ends = zip(*out)
-        yield pd.DataFrame({"kind": kinds, "conv": convs, "turn": turns, "upto": ends, "batch": now})
+        yield pd.DataFrame({"kind": kinds, "conv": convs, "turn": turns, "upto": ends, "first": 0, "role": "", "text": "", "batch": now, "fresh": False})
 
 
 def arrivals(conversations: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -158,35 +147,33 @@ def payload(role: str, text: str) -> Column:
     return F.concat_ws("|", role, text)
 
 
-def streamed(arriving: DataFrame, batches: int = BATCHES, quiet: int = QUIET) -> tuple[DataFrame, DataFrame]:
-    """Feeds batches 0, 1, ... and the end, each to newly started queries; returns the turns and what is said of conversations."""
+def streamed(arriving: DataFrame, batches: int = BATCHES, quiet: int = QUIET) -> DataFrame:
+    """Feeds batches 0, 1, ... and the end, each to a newly started query; returns what it wrote."""
     spark = arriving.sparkSession
     folder = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
-    arriving.write.partitionBy("batch").parquet(f"{folder}/arriving")
-    ready = spark.read.schema(arriving.schema).parquet(f"{folder}/arriving")
-    sizes = ready.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("conv").alias("convs")).first()
+    zero, no = F.lit(0).cast("long"), F.lit("")
+    arriving = written(arriving, "turns")
+    sizes = arriving.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("conv").alias("convs")).first()
     own, all_ = -(-sizes["rows"] // ROWS) or 1, -(-sizes["convs"] // CONVERSATIONS) or 1
-    bucket = F.pmod(F.xxhash64("conv", F.shiftright("turn", PIECE_BITS)), F.lit(own))
+    piece = F.shiftright("turn", PIECE_BITS)
+    rows = arriving.select(F.lit("turn").alias("kind"), (-1 - F.pmod(F.xxhash64("conv", piece), F.lit(own))).alias("bucket"), "conv", "turn", "first", "role", "text", F.array().cast("array<bigint>").alias("turns"), "batch")
+    short = arriving.groupBy("conv", "first", "batch", piece.alias("piece")).agg(F.collect_list("turn").alias("turns"))
+    pieces = short.select(F.lit("piece").alias("kind"), F.pmod(F.xxhash64("conv"), F.lit(all_)).alias("bucket"), "conv", zero.alias("turn"), "first", no.alias("role"), no.alias("text"), "turns", "batch")
+    rows.unionByName(pieces).write.partitionBy("batch").parquet(f"{folder}/arriving")
+    ready = spark.read.schema(_FED).parquet(f"{folder}/arriving")
     for batch in range(batches + 1):
-        rows = ready.filter(F.col("batch") == batch).select(F.lit("turn").alias("kind"), bucket.alias("bucket"), "conv", "turn", "first", "role", "text", F.col("batch").cast("long").alias("batch"))
-        kind = F.lit("end" if batch == batches else "tick").alias("kind")
-        zero, no = F.lit(0).cast("long"), F.lit("")
-        ticks = spark.range(all_).select(kind, (F.col("id") % own).alias("bucket"), no.alias("conv"), F.col("id").alias("turn"), zero.alias("first"), no.alias("role"), no.alias("text"), F.lit(batch).cast("long").alias("batch"))
-        rows.unionByName(ticks).write.mode("append").parquet(f"{folder}/fed")
+        kind, now = F.lit("end" if batch == batches else "tick").alias("kind"), F.lit(batch).cast("long").alias("batch")
+        ticks = spark.range(all_).select(kind, F.col("id").alias("bucket"), no.alias("conv"), zero.alias("turn"), zero.alias("first"), no.alias("role"), no.alias("text"), F.array().cast("array<bigint>").alias("turns"), now)
+        ready.filter(F.col("batch") == batch).unionByName(ticks).write.mode("append").parquet(f"{folder}/fed")
         fed = spark.readStream.schema(_FED).parquet(f"{folder}/fed").groupBy("bucket")
-        _run(fed.applyInPandasWithState(lambda k, it, s: _pieces(k, it, s, all_), _PASSED, "bits binary", "append", "NoTimeout"), folder, "passed", "kind")
-        short = spark.readStream.schema(_PASSED).parquet(f"{folder}/passed").filter("kind <> 'turn'").select("kind", "bucket", "conv", "turn", "upto", "first", "batch").groupBy("bucket")
-        _run(short.applyInPandasWithState(lambda k, it, s: _conversations(k, it, s, quiet), _SAID, "held binary", "append", "NoTimeout"), folder, "said")
-    return spark.read.schema(_PASSED).parquet(f"{folder}/passed").filter("kind = 'turn'"), spark.read.schema(_SAID).parquet(f"{folder}/said")
-
-
-def _run(out: DataFrame, folder: str, name: str, *parts: str) -> None:
-    writer = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint-{name}").trigger(availableNow=True)
-    (writer.partitionBy(*parts) if parts else writer).start(f"{folder}/{name}").awaitTermination()
+        out = fed.applyInPandasWithState(lambda k, it, s: _step(k, it, s, quiet), _OUT, "held binary", "append", "NoTimeout")
+        out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(_OUT).parquet(f"{folder}/out")
 
 
-def events(passed: DataFrame, said: DataFrame) -> DataFrame:
+def events(out: DataFrame) -> DataFrame:
     """event, conv, turn, batch, role, text of every release and reject; closes have n_missing, n_breaks and the unreleased turns."""
+    passed, said = out.filter("kind = 'turn'"), out.filter("kind <> 'turn'")
     run = F.when(F.col("kind") == "run", F.struct("upto", "batch"))
     # a conversation has a run a batch at most, so these arrays are short
     convs = said.groupBy("conv").agg(F.collect_list(run).alias("runs"), F.max(F.when(F.col("kind") == "close", F.col("batch"))).alias("closed"))
@@ -208,7 +195,7 @@ def events(passed: DataFrame, said: DataFrame) -> DataFrame:
 
 def reassembled(conversations: DataFrame) -> DataFrame:
     """Every event with its texts."""
-    return events(*streamed(arrivals(conversations)))
+    return events(streamed(arrivals(conversations)))
 
 
 def digest(conversations: DataFrame) -> DataFrame:

@@ -87,13 +87,14 @@ class Tokens:
             words = inner.split(" ")
             found = [self.heads.get(words[0]) if not at else self.later.get(words[0]), *map(self.later.get, words[1:])]
             if None in found:
-                if any(not w or w[0] in blanks() or w[-1] in blanks() for w in words):
-                    words = safe_cut().split(inner)
-                rest = words if at else words[1:]
-                self._learn(self.later, " ", set(rest))
-                if not at:
-                    self._learn(self.heads, "", {words[0]})
-                found = [(self.later if at else self.heads)[words[0]], *[self.later[w] for w in words[1:]]]
+                odd = any(not w or w[0] in blanks() or w[-1] in blanks() for w in words)
+                words = safe_cut().split(inner) if odd else words
+                first, rest = (words[:1], words[1:]) if not at else ([], words)
+                # what begins or ends with a blank is not kept: only at a text's ends is it a piece of its own
+                edges = {w for w in words if w[0] in blanks() or w[-1] in blanks()} if odd else set()
+                self._learn(self.heads, "", set(first) - edges)
+                self._learn(self.later, " ", set(rest) - edges)
+                found = [self._packed([w])[0] if w in edges else self.heads[w] for w in first] + [self._packed([" " + w])[0] if w in edges else self.later[w] for w in rest]
             yield b"".join(found)
             at = end
 
