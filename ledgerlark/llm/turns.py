@@ -35,8 +35,8 @@ from pyspark.sql.streaming.state import GroupState
 
 from .store import shared_folder, written
 
-#: Turn numbers in a piece, as a power of two; conversations and rows in a bucket, about.
-PIECE_BITS, CONVERSATIONS, ROWS = 10, 2048, 16_384
+#: Turn numbers in a piece, as a power of two; conversations and rows in a bucket, and rows in a batch's file, about.
+PIECE_BITS, CONVERSATIONS, ROWS, FILE = 10, 2048, 16_384, 2_000_000
 PIECE = 1 << PIECE_BITS
 #: The contract's batches, and those without an arrival that close a conversation.
 BATCHES, QUIET = 10, 2
@@ -159,11 +159,12 @@ def streamed(arriving: DataFrame, batches: int = BATCHES, quiet: int = QUIET) ->
     rows = arriving.select(F.lit("turn").alias("kind"), (-1 - F.pmod(F.xxhash64("conv", piece), F.lit(own))).alias("bucket"), "conv", "turn", "first", "role", "text", F.array().cast("array<bigint>").alias("turns"), "batch")
     short = arriving.groupBy("conv", "first", "batch", piece.alias("piece")).agg(F.collect_list("turn").alias("turns"))
     pieces = short.select(F.lit("piece").alias("kind"), F.pmod(F.xxhash64("conv"), F.lit(all_)).alias("bucket"), "conv", zero.alias("turn"), "first", no.alias("role"), no.alias("text"), "turns", "batch")
-    rows.unionByName(pieces).write.partitionBy("batch").parquet(f"{folder}/arriving")
+    files = F.pmod(F.xxhash64("conv", "turn"), F.lit(-(-sizes["rows"] // FILE) or 1))  # few files a batch, none small but the last
+    rows.unionByName(pieces).repartition("batch", files).write.partitionBy("batch").parquet(f"{folder}/arriving")
     ready = spark.read.schema(_FED).parquet(f"{folder}/arriving")
     for batch in range(batches + 1):
         kind, now = F.lit("end" if batch == batches else "tick").alias("kind"), F.lit(batch).cast("long").alias("batch")
-        ticks = spark.range(all_).select(kind, F.col("id").alias("bucket"), no.alias("conv"), zero.alias("turn"), zero.alias("first"), no.alias("role"), no.alias("text"), F.array().cast("array<bigint>").alias("turns"), now)
+        ticks = spark.range(0, all_, 1, -(-all_ // ROWS)).select(kind, F.col("id").alias("bucket"), no.alias("conv"), zero.alias("turn"), zero.alias("first"), no.alias("role"), no.alias("text"), F.array().cast("array<bigint>").alias("turns"), now)
         ready.filter(F.col("batch") == batch).unionByName(ticks).write.mode("append").parquet(f"{folder}/fed")
         fed = spark.readStream.schema(_FED).parquet(f"{folder}/fed").groupBy("bucket")
         out = fed.applyInPandasWithState(lambda k, it, s: _step(k, it, s, quiet), _OUT, "held binary", "append", "NoTimeout")
