@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators import nesting
+
 
 def most_common(df: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:
     """The value that occurs most often in each group; of equals, the one seen first."""
@@ -21,15 +23,13 @@ def offset_vote(df: DataFrame, by: list[str], offset: str, seq: str, reach: int
     return first.join(second, by, "left").select(*by, F.when(F.coalesce("second", F.lit(0)) != 0, F.col("second")).otherwise(F.col("first")).alias("offset"))
 
 
-def section_ends(sections: DataFrame, by: str, seq: str, level: str, start: str, last: Column) -> DataFrame:
+def section_ends(sections: DataFrame, by: str, seq: str, level: str, start: str, last: Column, block: int = nesting.BLOCK) -> DataFrame:
     """A section ends a page before the next one of its level or above; never before its own start; the last at `last`.
 
-    Sections of a document are few: the rest of them is a frame, not a join.
+    seq are whole numbers, one of its own for each section of a document.
     """
-    rest = Window.partitionBy(by).orderBy(seq).rowsBetween(1, Window.unboundedFollowing)
-    ahead = F.collect_list(F.struct(F.col(level).alias("l"), F.col(start).alias("s"))).over(rest)
-    after = F.get(F.filter(ahead, lambda x: x["l"] <= F.col(level)), F.lit(0))["s"]
-    return sections.withColumn("end_page", F.when(after.isNull(), last).otherwise(F.greatest(F.col(start), after - 1)))
+    after = nesting.next_start(sections, by, seq, level, start, block)
+    return after.withColumn("end_page", F.when(F.col("_after").isNull(), last).otherwise(F.greatest(F.col(start), F.col("_after") - 1))).drop("_after")
 
 
 def layout_ends(sections: DataFrame, by: str, seq: str, start: str, last: Column) -> DataFrame:
@@ -39,19 +39,32 @@ def layout_ends(sections: DataFrame, by: str, seq: str, start: str, last: Column
 
 
 def leaves(sections: DataFrame, by: str, seq: str, level: str, start: str = "start_page", end: str = "end_page") -> DataFrame:
-    """Sections inside whose pages no deeper section of the document starts."""
-    inner = sections.select(F.col(by).alias("_by"), F.col(seq).alias("_seq"), F.col(level).alias("_level"), F.col(start).alias("_start"))
-    inside = (F.col(by) == F.col("_by")) & (F.col(seq) != F.col("_seq")) & (F.col("_level") > F.col(level)) & F.col("_start").between(F.col(start), F.col(end))
-    return sections.join(inner, inside, "left_anti")
+    """Sections inside whose pages no deeper section of the document starts: the deepest that starts there is no deeper.
 
-
-def section_paths(sections: DataFrame, by: str, seq: str, level: str, title: str) -> DataFrame:
+    Pages are halved again and again: every block of 2^k pages knows its deepest start, and a section's pages are at most two
+    blocks of each size. Blocks and sections meet by equality, so sections that hold many others make no pairs.
+    """
+    own = [by, seq, level, start, end]
+    some = sections.select(*own).dropna(subset=[level, start, end, by]).filter(F.col(end) >= F.col(start))
+    span = some.agg(F.max(F.col(end).cast("long") - F.col(start))).first()[0]
+    if span is None:
+        return sections
+    sizes = F.sequence(F.lit(0), F.lit((int(span) + 1).bit_length()))
+    page = F.col(start).cast("long")
+    deepest = sections.dropna(subset=[by, level, start]).select(by, F.explode(sizes).alias("k"), F.col(level).alias("deep"), page.alias("page"))
+    deepest = deepest.groupBy(by, "k", F.expr("shiftright(page, k)").alias("block")).agg(F.max("deep").alias("deep"))
+    # at every size: the first block if its number is odd, the last if the one after it is odd
+    cut = some.select(*own, F.explode(sizes).alias("k")).withColumn("_lo", F.expr(f"-shiftright(-cast({start} AS BIGINT), k)")).withColumn("_hi", F.expr(f"shiftright(cast({end} AS BIGINT) + 1, k)"))
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+    blocks = F.array_compact(F.array(F.when(odd("_lo"), F.col("_lo")), F.when(odd("_hi"), F.col("_hi") - 1)))
+    cut = cut.filter("_lo < _hi").select(*own, "k", F.explode(blocks).alias("block"))
+    inner = cut.join(deepest, [by, "k", "block"]).filter(F.col("deep") > F.col(level)).select(*own).distinct()
+    return sections.join(inner, own, "left_anti")
+
+
+def section_paths(sections: DataFrame, by: str, seq: str, level: str, title: str, block: int = nesting.BLOCK) -> DataFrame:
     """path: the titles of the ancestors, each the last before with a lower level than all nearer ones, and the own title."""
-    before = Window.partitionBy(by).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    past = F.reverse(F.collect_list(F.struct(F.col(level).alias("l"), F.col(title).alias("t"))).over(before))
-    state = F.struct(F.lit(1 << 30).alias("low"), F.array().cast("array<string>").alias("path"))
-    climb = lambda s, x: F.when(x["l"] < s["low"], F.struct(x["l"].cast("int").alias("low"), F.concat(F.array(x["t"]), s["path"]).alias("path"))).otherwise(s)
-    return sections.withColumn("path", F.aggregate(past, state, climb, lambda s: s["path"]))
+    return nesting.paths(sections, by, seq, level, title, block)
 
 
 def merged_spans(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
@@ -63,22 +76,54 @@ def merged_spans(spans: DataFrame, by: list[str], start: str, end: str) -> DataF
     return marked.groupBy(*by, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
 
 
-def nearest_label(names: DataFrame, labels: DataFrame, by: str, weight: float = 0.15, reach: float = 180.0) -> DataFrame:
+def nearest_label(names: DataFrame, labels: DataFrame, by: str, weight: tuple[int, int] = (15, 100), reach: int = 180) -> DataFrame:
     """Each name (name_id, centre) with the label (label_order, label_type, midpoint) of least effective distance in its group.
 
-    Labels at or before the centre count `weight` of their distance; the first label wins ties. The name is dropped if the
-    winner's type is null or its plain distance exceeds the reach.
+    Labels at or before the centre count `weight` of their distance, a fraction of whole numbers, so equal distances are equal.
+    Of equal ones the first by label_order wins, then the least type, nulls first, then the nearer. The name is dropped if the
+    winner's type is null or its plain distance exceeds the reach. Rows of one name_id are names of their own.
+
+    A name meets two labels only: the last at or before it and the first after it, as of its place in one order of places. No
+    label farther back than reach / weight, or farther ahead than the reach, can decide, so groups are cut into
+    stretches of that length: a label stands in its own and in both neighbours.
     """
-    pairs = names.join(labels, by)
-    raw = F.abs(F.col("centre") - F.col("midpoint"))
-    pairs = pairs.withColumn("distance", raw).withColumn("effective", F.when(F.col("midpoint") <= F.col("centre"), raw * weight).otherwise(raw))
-    best = pairs.groupBy(by, "name_id").agg(F.min_by(F.struct("label_type", "distance"), F.struct("effective", "label_order")).alias("b"))
-    return best.select(by, "name_id", F.col("b.label_type").alias("label_type"), F.col("b.distance").alias("distance")).filter(F.col("label_type").isNotNull() & (F.col("distance") <= reach))
+    part, whole = weight
+    stretch = -(-reach * whole // part) + 1
+    places = names.select(by, F.col("centre").alias("at")).dropna().distinct()
+    marks = labels.dropna(subset=[by, "midpoint"]).groupBy(by, F.col("midpoint").alias("at")).agg(F.min(F.struct("label_order", "label_type")).alias("label"))
+    cell = lambda c: F.floor(F.col(c) / stretch)
+    marks = marks.select(by, F.explode(F.sequence(cell("at") - 1, cell("at") + 1)).alias("cell"), "at", F.struct("at", "label").alias("mark"))
+    kind = marks.schema["mark"].dataType
+    both = marks.unionByName(places.select(by, cell("at").alias("cell"), "at", F.lit(None).cast(kind).alias("mark")))
+    order = Window.partitionBy(by, "cell").orderBy("at", F.col("mark").isNull())  # a label at a name's place comes first
+    before = F.last("mark", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("mark", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    found = both.withColumn("before", before).withColumn("after", after).filter("mark IS NULL")
+
+    def candidate(side: str, times: int) -> Column:
+        far = F.abs(F.col("at") - F.col(f"{side}.at"))
+        label = F.col(f"{side}.label")
+        return F.when(F.col(side).isNotNull(), F.struct((far * times).alias("effective"), label["label_order"].alias("o"), label["label_type"].alias("label_type"), far.alias("distance")))
+
+    best = F.array_min(F.array_compact(F.array(candidate("before", part), candidate("after", whole))))
+    won = found.select(by, F.col("at").alias("centre"), best.alias("b")).select(by, "centre", F.col("b.label_type").alias("label_type"), F.col("b.distance").alias("distance"))
+    won = won.filter(F.col("label_type").isNotNull() & (F.col("distance") <= reach))
+    return names.select(by, "name_id", "centre").join(won, [by, "centre"]).select(by, "name_id", "label_type", "distance")
 
 
 def cells_in_ranges(points: DataFrame, ranges: DataFrame, by: str, at: Column, low: Column, high: Column) -> DataFrame:
-    """Points and the closed ranges of their group that hold them."""
-    return points.join(ranges, by).filter(at.between(low, high))
+    """Points and the closed ranges of their group that hold them.
+
+    A range stands in the cells of the least power of two that is no shorter than it, two at most; a point in one cell of each
+    such size that its group's ranges have. They meet by cell, so a large group makes no product.
+    """
+    keyed = ranges.withColumn("_low", low.cast("double")).withColumn("_high", high.cast("double")).filter("_low <= _high")
+    keyed = keyed.withColumn("_size", F.ceil(F.log2(F.greatest(F.col("_high") - F.col("_low"), F.lit(2.0**-20)))))
+    place = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), "_size"))
+    sizes = keyed.groupBy(by).agg(F.collect_set("_size").alias("_sizes"))  # a few for each group
+    keyed = keyed.withColumn("_cell", F.explode(F.sequence(place("_low"), place("_high")))).drop("_low", "_high")
+    dealt = points.withColumn("_at", at.cast("double")).join(sizes, by).withColumn("_size", F.explode("_sizes")).withColumn("_cell", place("_at")).drop("_sizes", "_at")
+    return dealt.join(keyed, [by, "_size", "_cell"]).filter(at.between(low, high)).drop("_size", "_cell")
 
 
 def hoisted(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:

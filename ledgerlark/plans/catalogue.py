@@ -364,8 +364,8 @@ def interval_union(spark, sf):
     return intervals.merged_spans(spans, ["user_id"], "a", "b")
 
 
-@query("""WITH n AS (SELECT l_orderkey AS k, l_linenumber * 100000000 + l_partkey AS name_id, round(l_quantity)::BIGINT * 10 AS c FROM lineitem), l AS (SELECT l_orderkey AS k, l_linenumber * 100000000 + l_partkey AS o, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS ty, round(l_discount * 100)::BIGINT * 50 AS m FROM lineitem),
-p AS (SELECT k, name_id, ty, abs(c - m) AS d, row_number() OVER (PARTITION BY k, name_id ORDER BY CASE WHEN m <= c THEN abs(c - m) * 15 ELSE abs(c - m) * 100 END, o) AS r FROM n JOIN l USING (k))
+@query("""WITH n AS (SELECT row_number() OVER () AS u, l_orderkey AS k, l_linenumber * 100000000 + l_partkey AS name_id, round(l_quantity)::BIGINT * 10 AS c FROM lineitem), l AS (SELECT l_orderkey AS k, l_linenumber * 100000000 + l_partkey AS o, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS ty, round(l_discount * 100)::BIGINT * 50 AS m FROM lineitem),
+p AS (SELECT k, name_id, ty, abs(c - m) AS d, row_number() OVER (PARTITION BY u ORDER BY CASE WHEN m <= c THEN abs(c - m) * 15 ELSE abs(c - m) * 100 END, o, ty NULLS FIRST, abs(c - m)) AS r FROM n JOIN l USING (k))
 SELECT k, name_id, ty AS label_type, d::DOUBLE AS distance FROM p WHERE r = 1 AND ty IS NOT NULL AND d <= 180""")
 def nearest_label(spark, sf):
     item = Tables(spark, sf).lineitem
