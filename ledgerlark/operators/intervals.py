@@ -83,21 +83,20 @@ def nearest_label(names: DataFrame, labels: DataFrame, by: str, weight: tuple[in
     Of equal ones the first by label_order wins, then the least type, nulls first, then the nearer. The name is dropped if the
     winner's type is null or its plain distance exceeds the reach. Rows of one name_id are names of their own.
 
-    A name meets two labels only: the last at or before it and the first after it, as of its place in one order of places. No
-    label farther back than reach / weight, or farther ahead than the reach, can decide, so groups are cut into
+    A name meets two labels only, the last at or before it and the first after it, in one order of places, read forwards and
+    backwards. No label farther back than reach / weight, or farther ahead than the reach, can decide, so groups are cut into
     stretches of that length: a label stands in its own and in both neighbours.
     """
     part, whole = weight
     stretch = -(-reach * whole // part) + 1
-    places = names.select(by, F.col("centre").alias("at")).dropna().distinct()
     marks = labels.dropna(subset=[by, "midpoint"]).groupBy(by, F.col("midpoint").alias("at")).agg(F.min(F.struct("label_order", "label_type")).alias("label"))
     cell = lambda c: F.floor(F.col(c) / stretch)
     marks = marks.select(by, F.explode(F.sequence(cell("at") - 1, cell("at") + 1)).alias("cell"), "at", F.struct("at", "label").alias("mark"))
-    kind = marks.schema["mark"].dataType
-    both = marks.unionByName(places.select(by, cell("at").alias("cell"), "at", F.lit(None).cast(kind).alias("mark")))
-    order = Window.partitionBy(by, "cell").orderBy("at", F.col("mark").isNull())  # a label at a name's place comes first
-    before = F.last("mark", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("mark", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    rows = names.dropna(subset=[by, "centre"]).select(by, cell("centre").alias("cell"), F.col("centre").alias("at"), "name_id")
+    both = marks.unionByName(rows, allowMissingColumns=True)
+    group = Window.partitionBy(by, "cell")  # a label at a name's place comes before the name
+    before = F.last("mark", ignorenulls=True).over(group.orderBy("at", F.col("mark").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("mark", ignorenulls=True).over(group.orderBy(F.desc("at"), F.col("mark").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("before", before).withColumn("after", after).filter("mark IS NULL")
 
     def candidate(side: str, times: int) -> Column:
@@ -106,9 +105,8 @@ def nearest_label(names: DataFrame, labels: DataFrame, by: str, weight: tuple[in
         return F.when(F.col(side).isNotNull(), F.struct((far * times).alias("effective"), label["label_order"].alias("o"), label["label_type"].alias("label_type"), far.alias("distance")))
 
     best = F.array_min(F.array_compact(F.array(candidate("before", part), candidate("after", whole))))
-    won = found.select(by, F.col("at").alias("centre"), best.alias("b")).select(by, "centre", F.col("b.label_type").alias("label_type"), F.col("b.distance").alias("distance"))
-    won = won.filter(F.col("label_type").isNotNull() & (F.col("distance") <= reach))
-    return names.select(by, "name_id", "centre").join(won, [by, "centre"]).select(by, "name_id", "label_type", "distance")
+    won = found.select(by, "name_id", best.alias("b")).select(by, "name_id", F.col("b.label_type").alias("label_type"), F.col("b.distance").alias("distance"))
+    return won.filter(F.col("label_type").isNotNull() & (F.col("distance") <= reach))
 
 
 def cells_in_ranges(points: DataFrame, ranges: DataFrame, by: str, at: Column, low: Column, high: Column) -> DataFrame:

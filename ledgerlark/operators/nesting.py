@@ -1,7 +1,7 @@
 """Nested sections by a stack of open ones: one pass over a document's sections, in blocks of their sequence.
 
 A section closes all open ones of its level and deeper and is then open itself, so the levels of the open ones rise. A block of
-sections needs to know only what is open where it begins. Where a document has more than one block, a first pass
+sections needs to know only what is open where it begins. Where documents have more than one block, a first pass
 finds what each block leaves open by itself, a second joins these from block to block: the open ones above the block's lowest
 level stay, and the block's own follow. Rows stream through the passes sorted; a task holds one stack.
 """
@@ -130,11 +130,14 @@ def _folded(rows: DataFrame, by: str, seq: str, level: str, value: str, fold: Ca
 
     keyed = rows.select("*", F.col(by).alias("_by"), (-place if backwards else place).alias("_block"), F.col(level).cast("long").alias("_level"), F.col(value).alias("_value"))
     keyed = keyed.withColumn("_levels", F.lit(None).cast("array<bigint>")).withColumn("_held", F.lit(None).cast(f"array<{kinds[value]}>"))
-    long_ = keyed.filter("_block <> 0").select(F.col("_by").alias("_long")).distinct()
-    some = keyed.filter("_level IS NOT NULL").join(long_, F.col("_by").eqNullSafe(F.col("_long")), "left_semi")
-    left = passed(some.repartition("_by", "_block").sortWithinPartitions("_by", "_block", way).select("_by", "_block", "_level", "_value"), _left_open)
-    heads = passed(left.repartition("_by").sortWithinPartitions("_by", "_block"), _carried)
-    both = keyed.unionByName(heads, allowMissingColumns=True).repartition("_by", "_block").sortWithinPartitions("_by", "_block", F.col("_levels").isNull(), way)
+    ends = rows.agg(F.min(place).alias("low"), F.max(place).alias("high")).first()
+    both = keyed
+    if ends["low"] is not None and (ends["low"], ends["high"]) != (0, 0):  # else every document lies in one block, before which nothing is open
+        some = keyed.filter("_level IS NOT NULL").select("_by", "_block", "_level", "_value", F.col(seq))
+        left = passed(some.repartition("_by", "_block").sortWithinPartitions("_by", "_block", way).select("_by", "_block", "_level", "_value"), _left_open)
+        heads = passed(left.repartition("_by").sortWithinPartitions("_by", "_block"), _carried)
+        both = keyed.unionByName(heads, allowMissingColumns=True)
+    both = both.repartition("_by", "_block").sortWithinPartitions("_by", "_block", F.col("_levels").isNull(), way)
     own = f"{result} array<{kinds[value]}>" if fold is _path else f"{result} {kinds[value]}"
     field = to_arrow_schema(schema(own)).field(0)
     out = StructType([*rows.schema.fields, *schema(own).fields])
