@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlark import schema
-from ledgerlark.operators import canonical, load
+from ledgerlark.operators import canonical, load, snapshots
 
 KEYS = {
     "issuers": ["issuer_name"], "documents": ["issuer_name", "document_name"], "issues": ["document_name", "issue_identifier"], "ratings": ["issue_id", "agency", "rating"], "lead_managers": ["issue_id", "name"],
@@ -50,3 +50,21 @@ def watched(spark: SparkSession, inbox: str, root: str, checkpoint: str) -> Stre
 def windowed_events(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Counts of events by type and window, late rows within the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+#: What refers to what: (table, columns, table whose key they are).
+REFERENCES = [
+    ("documents", ["issuer_name"], "issuers"), ("series_category_terms", ["category_code"], "investor_categories"), ("series_category_terms", ["issue_id", "series_code"], "series"),
+    ("series_provenance", ["issue_id", "series_code"], "series"),
+]
+
+
+def changes_of(docs: DataFrame) -> dict[str, snapshots.Change]:
+    """The relational rows of docs by table, for one load of all tables together."""
+    named = lambda t: [(columns, other) for name, columns, other in REFERENCES if name == t]
+    return {name: snapshots.Change(rows, KEYS[name], name not in ADDED_ONLY, named(name)) for name, rows in canonical.relational(docs).items()}
+
+
+def loaded_together(docs: DataFrame, store: snapshots.Store) -> int:
+    """All nine tables of docs as one new snapshot of the store: readers see all of it or nothing. Only touched buckets are rewritten."""
+    return store.load(changes_of(docs))
