@@ -131,6 +131,24 @@ def last_rating_edge(spark, sf):
     return graph.last_rating(Tables(spark, sf).lineitem.withColumn("seq", F.expr("l_linenumber * 2 + int(l_linestatus = 'O')")), ["l_orderkey", "l_returnflag"], "seq", ["l_linestatus"]).withColumnRenamed("l_linestatus", "outlook")
 
 
+_EDGES = "SELECT 's' || s_suppkey AS source, 'n' || s_nationkey AS target FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION SELECT 'n' || c_nationkey, c_mktsegment FROM customer UNION SELECT c_mktsegment, 'n' || c_nationkey FROM customer WHERE c_acctbal < 0"
+
+
+def _reach(spark, sf, depth):
+    t, name = Tables(spark, sf), lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    ends = lambda df, a, b: df.select(a.alias("source"), b.alias("target"))
+    nation, region, segment = name("n", "n_nationkey"), name("r", "n_regionkey"), F.col("c_mktsegment")
+    edges = ends(t.supplier, name("s", "s_suppkey"), name("n", "s_nationkey")).union(ends(t.nation, nation, region)).union(ends(t.nation, region, nation))
+    edges = edges.union(ends(t.customer, name("n", "c_nationkey"), segment)).union(ends(t.customer.filter("c_acctbal < 0"), segment, name("n", "c_nationkey")))
+    return graph.reached(t.supplier.select(name("s", "s_suppkey").alias("node")), edges, depth)
+
+
+for _depth in (1, 2, 3, 4):
+    QUERIES[f"neighborhood_depth_{_depth}"] = lambda spark, sf, depth=_depth: _reach(spark, sf, depth)
+    ORACLE_SQL[f"neighborhood_depth_{_depth}"] = f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS node, 0 AS depth FROM supplier UNION SELECT w.start, e.target, w.depth + 1 FROM w JOIN e ON e.source = w.node WHERE w.depth < {_depth})
+SELECT start, node, min(depth) AS depth FROM w WHERE start IS NOT NULL AND node IS NOT NULL GROUP BY 1, 2"""
+
+
 # --- free SQL -------------------------------------------------------------------------------------------------
 
 _FREE = {

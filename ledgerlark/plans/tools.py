@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import search, vector
+from ledgerlark.operators import graph, search, vector
 
 CAP = 200
 
@@ -34,20 +34,80 @@ class Refused(ValueError):
     pass
 
 
+#: Kinds of built-in functions, as Spark groups them, that a query may use. Calls of Java methods, files' names and the like are in others.
+FUNCTIONS = {
+    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "datetime_funcs", "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs",
+    "string_funcs", "struct_funcs", "window_funcs", "table_funcs",
+}
+#: Nodes of a parsed query.
+NODES = {
+    "Aggregate", "CTERelationDef", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Pivot", "Project", "Sort", "SubqueryAlias",
+    "Union", "UnresolvedHaving", "UnresolvedInlineTable", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedWith", "Unpivot", "WithWindowDefinition",
+}
+
+
 def guarded(spark: SparkSession, statement: str) -> DataFrame:
-    """The statement's rows if it parses as one query; commands and several statements are refused by the parser's plan."""
+    """The statement's rows if it is one query over known tables: every node of the parsed plan, in subqueries too, is one that
+    reads and computes; every function is built in and of a kind that computes; every relation is a table or a view, not a file."""
+    state = spark._jsparkSession.sessionState()
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+        plan = state.sqlParser().parsePlan(statement)
     except Exception as e:
         raise Refused(f"not one SQL query: {str(e).splitlines()[0]}") from e
+    _checked(spark, state, plan, set())
+    return spark.sql(statement)
 
-    def refused(node) -> bool:
-        kind = node.getClass().getName()
-        return any(x in kind for x in (".Command", "InsertInto", "CreateTable", "CreateView", "Drop", "MergeInto", "UpdateTable", "DeleteFrom", "ParsedStatement", ".SetCommand", "AlterTable", "Truncate")) or node.nodeName().endswith("Command")
 
-    if refused(plan):
-        raise Refused("only queries are allowed")
-    return spark.sql(statement)
+def _each(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _checked(spark: SparkSession, state, node, named: set[str]) -> None:
+    kind = node.getClass().getSimpleName()
+    if kind not in NODES:
+        raise Refused(f"only queries are allowed, not {kind}")
+    if kind == "UnresolvedWith":
+        named = set(named)
+        for pair in _each(node.cteRelations()):
+            # a later name may use the earlier ones, and a recursive one itself
+            named.add(pair._1().lower())
+            _checked(spark, state, pair._2(), named)
+    if kind == "UnresolvedRelation":
+        parts = _each(node.multipartIdentifier())
+        known = len(parts) == 1 and parts[0].lower() in named or spark.catalog.tableExists(".".join(f"`{p.replace('`', '``')}`" for p in parts))
+        if not known:
+            raise Refused(f"no table {'.'.join(parts)}")
+    if kind == "UnresolvedTableValuedFunction":
+        _known(spark, state, _each(node.name()))
+    for e in _each(node.expressions()):
+        _computes(spark, state, e, named)
+    for child in _each(node.children()):
+        _checked(spark, state, child, named)
+
+
+def _computes(spark: SparkSession, state, e, named: set[str]) -> None:
+    kind = e.getClass().getSimpleName()
+    if kind == "UnresolvedFunction":
+        _known(spark, state, _each(e.nameParts()))
+    elif kind == "UnresolvedGenerator":
+        _known(spark, state, [e.name().funcName()])
+    elif "CallMethod" in kind or "Invoke" in kind:
+        raise Refused(f"{kind} is not allowed")
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+        _checked(spark, state, e.plan(), named)
+    for child in _each(e.children()):
+        _computes(spark, state, child, named)
+
+
+def _known(spark: SparkSession, state, parts: list[str]) -> None:
+    name = parts[-1].lower()
+    try:
+        info = state.catalog().lookupFunctionInfo(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+        fine = len(parts) == 1 and info.getSource() == "built-in" and (info.getGroup() in FUNCTIONS or name in ("coalesce", "if", "nvl", "range"))
+    except Exception:  # no such function
+        fine = False
+    if not fine:
+        raise Refused(f"the function {'.'.join(parts)} is not allowed")
 
 
 def answered(tool: str, df: DataFrame, source_type: str, source_id: str | None = None, cap: int = CAP) -> Answer:
@@ -103,6 +163,33 @@ def vector_search(chunks: DataFrame, query_text: str, embed: vector.Embed, top_k
     return _looked_up("vector_search", look, cite, cap=cap)
 
 
+def issuer_neighborhood(edges: DataFrame, issuer: str, depth: int = 2, cap: int = CAP) -> Answer:
+    """An issuer's issues with their series, rating agencies, trustees and lead managers. depth is taken and, with these four, has no effect: `neighborhood_to_depth` follows it."""
+    cite = lambda r: {"source_type": "graph", "source_id": f"issue:{r['issue_id']}"}
+    return _looked_up("graph_query", lambda: graph.issuer_star(edges, issuer).orderBy("issue_id"), cite, cap=cap)
+
+
+def neighborhood_to_depth(edges: DataFrame, name: str, depth: int, cap: int = CAP) -> Answer:
+    """Every vertex within `depth` edges of one, whatever their direction, with its least distance."""
+    both = edges.selectExpr("source", "target").union(edges.selectExpr("target AS source", "source AS target"))
+    starts = edges.sparkSession.createDataFrame([(name,)], "node string")
+    cite = lambda r: {"source_type": "graph", "source_id": f"vertex:{r['node']}"}
+    return _looked_up("graph_query", lambda: graph.reached(starts, both, depth).orderBy("depth", "node"), cite, cap=cap)
+
+
+#: Roles of the participant look-up and the edges that stand for them: fixed values.
+ROLES = {"trustee": "HAS_DEBENTURE_TRUSTEE", "lead_manager": "HAS_LEAD_MANAGER", "rating_agency": "RATED_BY"}
+
+
+def find_issues_by_participant(edges: DataFrame, participant: str, role: str = "any", cap: int = CAP) -> Answer:
+    """Issues in which a participant whose name contains the text, whatever the case, has the role; any other role is every role."""
+    issued = edges.filter("type = 'ISSUED'").selectExpr("source AS issuer", "target AS issue_id")
+    labels = {"HAS_DEBENTURE_TRUSTEE": "DebentureTrustee", "HAS_LEAD_MANAGER": "LeadManager", "RATED_BY": "RatingAgency"}
+    legs = {labels[t]: issued.join(edges.filter(F.col("type") == t).selectExpr("source AS issue_id", "target AS participant"), "issue_id") for t in ([ROLES[role]] if role in ROLES else ROLES.values())}
+    cite = lambda r: {"source_type": "graph", "source_id": f"issue:{r['issue_id']}"}
+    return _looked_up("graph_query", lambda: graph.participants(legs, participant).orderBy("issuer", "issue_id", "participant", "role"), cite, cap=cap)
+
+
 def health(spark: SparkSession, tables: list[str]) -> dict[str, bool]:
     out = {"sql": spark.range(1).select(F.lit(1)).count() == 1}
     return out | {t: spark.catalog.tableExists(t) for t in tables}
