@@ -21,7 +21,7 @@ def headings(lines: DataFrame, body: DataFrame, band: float = 0.08) -> DataFrame
     body: document, body_size. bbox is (x0, y0, x1, y1)."""
     size = F.char_length(F.trim("text"))
     inside = (F.col("bbox")[1] >= band * F.col("page_height")) & (F.col("bbox")[3] <= (1 - band) * F.col("page_height"))
-    return lines.join(F.broadcast(body), "document").filter(inside & size.between(3, 180) & ((F.col("size") >= F.col("body_size") + 1.5) | F.col("bold")))
+    return lines.join(body, "document").filter(inside & size.between(3, 180) & ((F.col("size") >= F.col("body_size") + 1.5) | F.col("bold")))
 
 
 def strongest(found: DataFrame, n: int = 40) -> DataFrame:

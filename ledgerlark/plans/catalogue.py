@@ -44,7 +44,7 @@ class Tables:
 def _terms(t: Tables) -> DataFrame:
     return search.star(
         t.lineitem,
-        [(t.orders, F.col("l_orderkey") == F.col("o_orderkey")), (search.small(t.customer), F.col("o_custkey") == F.col("c_custkey")), (F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))],
+        [(t.orders, F.col("l_orderkey") == F.col("o_orderkey")), (search.small(t.customer), F.col("o_custkey") == F.col("c_custkey")), (search.small(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))],
         [(search.small(t.part), F.col("l_partkey") == F.col("p_partkey")), (search.small(t.supplier), F.col("l_suppkey") == F.col("s_suppkey"))],
     )
 
@@ -72,7 +72,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 LEFT JOIN (SELECT l_orderkey, string_agg(l_linenumber::VARCHAR || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS r FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def issue_overview(spark, sf):
     t = Tables(spark, sf)
-    base = search.star(t.orders, [(search.small(t.customer), F.col("o_custkey") == F.col("c_custkey")), (F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))])
+    base = search.star(t.orders, [(search.small(t.customer), F.col("o_custkey") == F.col("c_custkey")), (search.small(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))])
     full = search.attached(base.withColumn("l_orderkey", F.col("o_orderkey")), t.lineitem, "l_orderkey", ["l_linenumber", "l_returnflag"], "ratings")
     shown = F.array_join(F.transform("ratings", lambda r: F.concat(r["l_linenumber"].cast("string"), F.lit(":"), r["l_returnflag"])), ",")
     return full.select(F.col("o_orderkey").alias("issue_id"), F.col("n_name").alias("issuer"), F.col("c_name").alias("document_name"), shown.alias("ratings"))
@@ -106,7 +106,7 @@ def issuer_neighborhood(spark, sf):
 
 
 def _branches(t: Tables) -> dict[str, DataFrame]:
-    nation = F.broadcast(t.nation.selectExpr("n_nationkey", "n_name AS issuer"))
+    nation = search.small(t.nation.selectExpr("n_nationkey", "n_name AS issuer"))
     return {
         "DebentureTrustee": t.supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("issuer", "s_name AS participant"),
         "LeadManager": t.customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("issuer", "c_name AS participant"),
@@ -606,7 +606,7 @@ def vocabulary_forms(spark, sf):
 def mention_match(spark, sf):
     t = Tables(spark, sf)
     known = t.nation.select(F.lit("Issuer").alias("kind"), F.col("n_name").alias("name"))
-    asked = t.orders.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("o_orderkey") % 25).select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("What does "), F.lower("n_name"), F.lit(" pay?")).alias("question"))
+    asked = t.orders.join(search.small(t.nation), F.col("n_nationkey") == F.col("o_orderkey") % 25).select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("What does "), F.lower("n_name"), F.lit(" pay?")).alias("question"))
     return retrieval.mentioned(asked, retrieval.forms(known))
 
 
