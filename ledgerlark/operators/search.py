@@ -14,14 +14,18 @@ def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def matching(df: DataFrame, equal: dict[str, object] | None = None, like: dict[str, str] | None = None) -> DataFrame:
-    """AND of the constraints whose value is truthy: equality, and LIKE '%value%' whose wildcards stay live."""
+def matching(df: DataFrame, equal: dict[str, object] | None = None, like: dict[str, str] | None = None, collation: str | None = None) -> DataFrame:
+    """AND of the constraints whose value is truthy: equality, and LIKE '%value%' whose wildcards stay live.
+
+    Text is compared exactly, which scans can be told; with a collation such as UTF8_LCASE by that, after the scan.
+    """
+    side = lambda name, value: F.collate(F.col(name), collation) if collation and isinstance(value, str) else F.col(name)
     for name, value in (equal or {}).items():
         if value:
-            df = df.filter(F.col(name) == F.lit(value))
+            df = df.filter(side(name, value) == F.lit(value))
     for name, value in (like or {}).items():
         if value:
-            df = df.filter(F.col(name).like(f"%{value}%"))
+            df = df.filter(side(name, value).like(f"%{value}%"))
     return df
 
 
@@ -85,23 +89,23 @@ def _with_documents(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return rows.join(tables["documents"].select(F.col("issuer_name").alias("issuer"), "document_name").distinct(), "document_name")
 
 
-def bond_terms(tables: dict[str, DataFrame], issuer: str | None = None, document_name: str | None = None, series_code: str | None = None, category_code: str | None = None, tenor: str | None = None, nature_of_indebtedness: str | None = None) -> DataFrame:
+def bond_terms(tables: dict[str, DataFrame], issuer: str | None = None, document_name: str | None = None, series_code: str | None = None, category_code: str | None = None, tenor: str | None = None, nature_of_indebtedness: str | None = None, collation: str | None = None) -> DataFrame:
     """TERM_COLUMNS, first_page and section of series and their categories, from the relational tables (canonical.relational).
 
     series_id is issue:series. A series without categories has one row; a page is the least of its provenance, null without any.
     """
     issues = tables["issues"].select("document_name", F.col("issue_identifier").alias("issue_id"), "issue_name")
     rows = _with_documents(tables["series"].join(issues, "issue_id"), tables).join(tables["series_category_terms"], ["issue_id", "series_code"], "left")
-    rows = matching(rows, {"issuer": issuer, "document_name": document_name, "series_code": series_code, "category_code": category_code, "nature_of_indebtedness": nature_of_indebtedness}, {"tenor": tenor})
+    rows = matching(rows, {"issuer": issuer, "document_name": document_name, "series_code": series_code, "category_code": category_code, "nature_of_indebtedness": nature_of_indebtedness}, {"tenor": tenor}, collation)
     pages = tables["series_provenance"].groupBy("issue_id", "series_code").agg(F.min("page_number").alias("first_page"))
     rows = rows.join(pages, ["issue_id", "series_code"], "left").withColumn("series_id", F.concat_ws(":", "issue_id", "series_code"))
     section = F.concat_ws(" / ", F.concat(F.lit("Series "), "series_code"), F.concat(F.lit("Category "), F.nullif("category_code", F.lit(""))))
     return _named(rows.withColumn("section", section), TERM_COLUMNS, TERM_NAMES, ["first_page", "section"])
 
 
-def issue_facts(tables: dict[str, DataFrame], issuer: str | None = None, document_name: str | None = None) -> DataFrame:
+def issue_facts(tables: dict[str, DataFrame], issuer: str | None = None, document_name: str | None = None, collation: str | None = None) -> DataFrame:
     """ISSUE_COLUMNS, ratings and lead_managers of every issue; both lists are empty where the issue has none."""
-    rows = matching(_with_documents(tables["issues"], tables), {"issuer": issuer, "document_name": document_name})
+    rows = matching(_with_documents(tables["issues"], tables), {"issuer": issuer, "document_name": document_name}, collation=collation)
     rows = _named(rows, ISSUE_COLUMNS, ISSUE_NAMES)
     rows = attached(rows, tables["ratings"], "issue_id", ["agency", "rating", "outlook", "instrument", "rating_date"], "ratings")
     rows = attached(rows, tables["lead_managers"], "issue_id", ["name"], "lead_managers")

@@ -90,6 +90,16 @@ def row_sentence(spark, sf):
     return Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", search.sentence(parts).alias("text"))
 
 
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' AND p_type LIKE '%AN_%'")
+def match_exact(spark, sf):
+    return search.matching(Tables(spark, sf).part, {"p_brand": "Brand#13"}, {"p_type": "AN_"}).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE lower(p_brand) = 'brand#13' AND lower(p_type) LIKE '%an_%'")
+def match_any_case(spark, sf):
+    return search.matching(Tables(spark, sf).part, {"p_brand": "BRAND#13"}, {"p_type": "An_"}, "UTF8_LCASE").select("p_partkey")
+
+
 # --- graph ----------------------------------------------------------------------------------------------------
 
 

@@ -1,9 +1,8 @@
 """The SQL guard, the graph tools and the routing rule."""
 
 import pytest
-from pyspark.sql import functions as F
 
-from ledgerlark.operators import graph, tables
+from ledgerlark.operators import graph, search, tables
 from ledgerlark.plans import tools
 
 
@@ -75,3 +74,10 @@ ROUTED = [
 def test_routing(spark):
     got = tables.routed(spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(ROUTED)], "i int, label string, value string"))
     assert {r.i: r.field for r in got.collect()} == {i: f for i, (_, _, f) in enumerate(ROUTED) if f}
+
+
+def test_collation(spark):
+    rows = spark.createDataFrame([(1, "Power Ltd"), (2, "POWER LTD"), (3, "Pöwer Ltd"), (4, None)], "i int, name string")
+    ids = lambda *a: sorted(r.i for r in search.matching(rows, *a).collect())
+    assert ids({"name": "power ltd"}) == [] and ids({"name": "power ltd"}, None, "UTF8_LCASE") == [1, 2] and ids({"name": "power ltd"}, None, "UNICODE_CI_AI") == [1, 2, 3]
+    assert ids(None, {"name": "power"}) == [] and ids(None, {"name": "WER_l"}, "UTF8_LCASE") == [1, 2, 3] and ids({"i": 2}, {"name": "pow"}, "UTF8_LCASE") == [2]
