@@ -68,3 +68,9 @@ def changes_of(docs: DataFrame) -> dict[str, snapshots.Change]:
 def loaded_together(docs: DataFrame, store: snapshots.Store) -> int:
     """All nine tables of docs as one new snapshot of the store: readers see all of it or nothing. Only touched buckets are rewritten."""
     return store.load(changes_of(docs))
+
+
+def watched_together(store: snapshots.Store, inbox: str, checkpoint: str) -> StreamingQuery:
+    """Start loading every new file of inbox into the store, all tables of a batch as one snapshot; a replayed batch changes no table."""
+    docs = store.spark.readStream.schema(schema.DOCUMENT).option("multiLine", "true").json(inbox)
+    return docs.writeStream.foreachBatch(lambda batch, _: loaded_together(batch, store) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -108,3 +108,9 @@ def test_references(spark, tmp_path):
         store.load({"c": child(1, 3)})
     assert store.load({"c": child(2), "p": Change(rows(spark, (3, "c")), ["k"], True)}) == 2
     assert store.load({"c": child(3)}) == 3
+
+
+def test_inbox_fills_the_store(spark, tmp_path, docs):
+    store = Store(spark, str(tmp_path / "s"), buckets=2)
+    inbox.watched_together(store, str(tmp_path / "in"), str(tmp_path / "at")).awaitTermination()
+    assert store.versions() == [1] and store.table("series", inbox.changes_of(docs)["series"].rows.schema).count() == 1
