@@ -2,7 +2,7 @@
 
 A load reads and rewrites only the buckets that its rows fall into, in new folders. Nothing that readers see is touched.
 When all tables are written and their references hold, one small manifest is made, under the next number, by a rename that
-fails if the number is taken: before it every table has the old rows, after it every table has the new ones. Readers take
+fails if the number is taken (as on HDFS; a local disk needs one load at a time): before it every table has the old rows, after it every table has the new ones. Readers take
 the highest manifest, and may keep to an older one as long as it is there. A load that breaks off leaves folders
 that no manifest names; expire() removes these and old snapshots.
 
