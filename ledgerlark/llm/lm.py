@@ -8,9 +8,10 @@
    (c + 0.1) / (N_class + 0.1 * (V_class + 1)) by the counts of all training documents, unseen words together counting as one;
    the end of a document is a class of its own.
 3. The network is trained in numpy by truncated backpropagation through time, states carried from window to window, and
-   on whole documents. It starts on the driver from about `sample_size` training documents; then every task goes on from there
-   with the share SHARE of the training documents of its blocks, block by block, and the weights are averaged by words. So
-   what is learned grows with the input. What is counted (c, N, V, classes) covers all training documents.
+   on every training document, whole. It warms up on the driver on `sample_size` of them. Then all training documents go by a hash of
+   id and content into parts of about PART_WORDS words, each part goes on from the warm weights over its documents in a fixed
+   order, and the weights are averaged by words. Parts depend on the documents alone, not on files, partitions or tasks, and every size
+   of table takes the same steps. What is counted (c, N, V, classes) covers all training documents too.
 4. Scoring runs whole documents side by side in lanes, window after window, the state carried on: a score is the
    log10 probability of the whole text and its end.
 
@@ -22,6 +23,7 @@ give an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ from .langid import remainder
 from .store import written
 
 WORDS, PER_CLASS, SHAPES, HIDDEN = 2048, 64, 64, 24
-SAMPLE, SHARE, BLOCK_BYTES, LANES, STEPS = 1500, 0.2, 16 << 20, 512, 32
+SAMPLE, PART_WORDS, BLOCK_BYTES, LANES, STEPS = 1500, 2_000_000, 16 << 20, 512, 32
 START = WORDS + SHAPES  # the input before the first word
 GROUPS = WORDS // PER_CLASS
 END = GROUPS + SHAPES  # the class of the end
@@ -111,6 +113,12 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(-1, keepdims=True))
+    x /= x.sum(-1, keepdims=True)
+    return x
+
+
 class Model:
     """Input tables x, recurrent u, class outputs (oc, bc), word outputs by class (ow, bw)."""
 
@@ -125,7 +133,10 @@ class Model:
         return cls({a: b.astype(np.float32) for a, b in p.items()})
 
     def train(self, texts: list[np.ndarray], rounds: int = 4, lanes: int = 64) -> None:
-        """texts: ids of whole documents. Lanes read documents one after another; a window's gradient stops at its start."""
+        """texts: ids of whole documents. Lanes read documents one after another; a window's gradient stops at its start.
+
+        The last lane is filled up with steps that have no target (-2), so no word is left out.
+        """
         total = sum(len(t) + 1 for t in texts)
         lanes = max(1, min(lanes, total // STEPS))
         adam, k, rng = Adam(self.p, 0.01), HIDDEN, np.random.default_rng(1)
@@ -135,23 +146,26 @@ class Model:
                 x += [[START], texts[i]]
                 y += [texts[i], [-1]]
             x, y = np.concatenate(x).astype(np.int64), np.concatenate(y).astype(np.int64)
-            long = len(x) // lanes
-            x, y = x[: long * lanes].reshape(lanes, long).T, y[: long * lanes].reshape(lanes, long).T
+            long = -(-len(x) // lanes)
+            fill = long * lanes - len(x)
+            x = np.append(x, np.full(fill, START)).reshape(lanes, long).T
+            y = np.append(y, np.full(fill, -2)).reshape(lanes, long).T
             h = np.zeros((lanes, k), np.float32)
             for at in range(0, long, STEPS):
                 xs, ys = x[at : at + STEPS], y[at : at + STEPS].ravel()
                 out, kept = forward(self.p["x"][xs], h, self.p["u"])  # across a border the state goes on; START tells it
                 h = out[-1]
-                flat, n = out.reshape(-1, k), len(ys)
+                flat, n = out.reshape(-1, k), max(1, int((ys > -2).sum()))
                 group = np.where(ys < 0, END, np.where(ys < WORDS, ys // PER_CLASS, ys - WORDS + GROUPS))
-                d = np.exp(_log_softmax(flat @ self.p["oc"] + self.p["bc"]))
-                d[np.arange(n), group] -= 1
+                d = _softmax(flat @ self.p["oc"] + self.p["bc"])
+                d[np.arange(len(ys)), group] -= 1
+                d[ys < -1] = 0
                 d /= n
                 grads = {"oc": flat.T @ d, "bc": d.sum(0)[None], "ow": np.zeros_like(self.p["ow"]), "bw": np.zeros_like(self.p["bw"])}
                 back = d @ self.p["oc"].T
                 for c in np.unique(group[group < GROUPS]):
                     some = np.flatnonzero(group == c)
-                    e = np.exp(_log_softmax(flat[some] @ self.p["ow"][c] + self.p["bw"][c]))
+                    e = _softmax(flat[some] @ self.p["ow"][c] + self.p["bw"][c])
                     e[np.arange(len(some)), ys[some] % PER_CLASS] -= 1
                     e /= n
                     grads["ow"][c], grads["bw"][c] = flat[some].T @ e, e.sum(0)
@@ -212,44 +226,66 @@ def cut(source: DataFrame) -> DataFrame:
     return written(source.mapInArrow(lambda it: _blocks(it, BLOCK_BYTES), schema), "lm-blocks")
 
 
-def _drawn(batch: pa.RecordBatch, known: pa.Array, share: float, salt: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    """doc_id and word ids of a share of the training documents of the blocks, by the hash of the doc_id; documents are whole."""
-    for k in range(batch.num_rows):
-        names = batch["ids"][k].values
-        place = mixed(pc.fill_null(names, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) + U64(salt)) % U64(1_000_000)
-        held = batch["held"][k].values.to_numpy(zero_copy_only=False).astype(bool)
-        rank = pc.fill_null(pc.index_in(batch["words"][k].values, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = np.where(rank < 0, np.asarray(batch["shapes"][k].values) + WORDS, rank)
-        sizes, codes = np.asarray(batch["sizes"][k].values), np.asarray(batch["codes"][k].values)
-        ends = np.cumsum(sizes)
-        for i in np.flatnonzero(~held & (place < U64(int(1_000_000 * share)))):
-            yield names[i].as_py(), ids[codes[ends[i] - sizes[i] : ends[i]]].astype(np.int32)
+def training_texts(blocks: DataFrame, known: pa.Array) -> DataFrame:
+    """place, doc_id, ids of every training document: ids as little-endian 16-bit integers, place a hash of doc_id and ids."""
 
-
-def first_texts(blocks: DataFrame, known: pa.Array, share: float, most: int) -> list[np.ndarray]:
     def run(batches):
         for batch in batches:
-            rows = sorted(_drawn(batch, known, share, 31), key=lambda r: (r[0] is None, r[0]))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([x.astype(np.int32) for _, x in rows], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for k in range(batch.num_rows):
+                names = batch["ids"][k].values
+                mark = mixed(pc.fill_null(names, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) + U64(31))
+                held = batch["held"][k].values.to_numpy(zero_copy_only=False).astype(bool)
+                rank = pc.fill_null(pc.index_in(batch["words"][k].values, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = np.where(rank < 0, np.asarray(batch["shapes"][k].values) + WORDS, rank).astype("<i2")
+                sizes, codes = np.asarray(batch["sizes"][k].values), np.asarray(batch["codes"][k].values)
+                ends = np.cumsum(sizes)
+                some = np.flatnonzero(~held)
+                for lot in np.array_split(some, max(1, int(sizes[some].sum()) // 1_000_000)):
+                    texts = [ids[codes[ends[i] - sizes[i] : ends[i]]].tobytes() for i in lot]
+                    content = np.array([zlib.crc32(t) for t in texts], U64)
+                    place = (mixed(mark[lot] + content) >> U64(1)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(place), names.take(pa.array(lot)), pa.array(texts, pa.binary())], ["place", "doc_id", "ids"])
+
+    return blocks.select("ids", "held", "sizes", "codes", "words", "shapes").mapInArrow(run, "place long, doc_id long, ids binary")
+
+
+def trained_in_parts(texts: DataFrame, model: Model, parts: int) -> tuple[Model, int]:
+    """The model after every part's documents were learned from its weights, averaged; the words learned.
+
+    A part that holds far more than PART_WORDS (one document many times) is learned piece by piece in the same order.
+    """
+    form = {name: x.shape for name, x in model.p.items()}
+    flat = lambda m: np.concatenate([m.p[name].ravel() for name in form]).astype(np.float64)
 
-    rows = blocks.select("ids", "held", "sizes", "codes", "words", "shapes").mapInArrow(run, "doc_id long, ids array<int>").orderBy("doc_id", "ids").limit(most).collect()
-    return [np.array(r["ids"], np.int64) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["ids"]))]
+    def learn(batches):
+        total, learned, part, own, held, size, seen = 0.0, 0, None, None, [], 0, 0
 
+        def piece():
+            nonlocal held, size, seen
+            if held:
+                own.train(held, rounds=1, lanes=256)
+                seen += size
+                held, size = [], 0
+                give_back()
 
-def trained_in_parts(blocks: DataFrame, known: pa.Array, model: Model, share: float) -> tuple[Model, int]:
-    """The model after every task has gone on from it with a share of its blocks' documents, averaged; the words learned."""
-    form = {name: x.shape for name, x in model.p.items()}
+        def close():
+            nonlocal total, learned, seen
+            piece()
+            if seen:
+                total, learned, seen = total + seen * flat(own), learned + seen, 0
 
-    def part(batches):
-        own, learned = Model({name: x.copy() for name, x in model.p.items()}), 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                texts = [x for _, x in _drawn(batch.slice(k, 1), known, share, 67)]
-                own.train(texts, rounds=1, lanes=256)
-                learned += sum(len(x) + 1 for x in texts)
-                give_back()
+            for number, ids in zip(batch["part"].to_pylist(), batch["ids"], strict=True):
+                if number != part:
+                    close()
+                    part, own = number, Model({name: x.copy() for name, x in model.p.items()})
+                held.append(np.frombuffer(ids.as_buffer(), "<i2"))
+                size += len(held[-1]) + 1
+                if size > 2 * PART_WORDS:
+                    piece()
+        close()
         if learned:
-            yield pa.RecordBatch.from_arrays([pa.array([learned], pa.int64()), pa.array([np.concatenate([own.p[name].ravel() for name in form]).astype(np.float64).tobytes()])], ["n", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([learned], pa.int64()), pa.array([(total / learned).tobytes()])], ["n", "weights"])
 
     def mean(batches):
         total, learned = 0.0, 0
@@ -259,8 +295,9 @@ def trained_in_parts(blocks: DataFrame, known: pa.Array, model: Model, share: fl
         if learned:
             yield pa.RecordBatch.from_arrays([pa.array([learned], pa.int64()), pa.array([(total / learned).tobytes()])], ["n", "weights"])
 
-    parts = written(blocks.select("ids", "held", "sizes", "codes", "words", "shapes").mapInArrow(part, "n long, weights binary"), "lm-parts")
-    rows = parts.coalesce(8).mapInArrow(mean, "n long, weights binary").collect()
+    placed = texts.select((F.col("place") % parts).alias("part"), "place", "doc_id", "ids")
+    made = written(placed.repartition("part").sortWithinPartitions("part", "place", "doc_id", "ids").select("part", "ids").mapInArrow(learn, "n long, weights binary"), "lm-parts")
+    rows = made.coalesce(8).mapInArrow(mean, "n long, weights binary").collect()
     learned = sum(r["n"] for r in rows)
     if not learned:
         return model, 0
@@ -293,10 +330,10 @@ def scored(docs: DataFrame, sample_size: int = SAMPLE, doc_id: str = "doc_id", t
     often = np.array([r["c"] for r in top] + [0] * (WORDS - len(top)), np.float64)
     model = Model.new(often, np.concatenate([often.reshape(GROUPS, PER_CLASS).sum(1), rest[:, 0], [ends]]))
     known = pa.array([bytes(r["word"]) for r in top], pa.binary())
-    first = min(1.0, sample_size / max(ends, 1))
-    model.train(first_texts(blocks, known, first, 2 * sample_size))
-    if first < 1:
-        model, _ = trained_in_parts(blocks, known, model, SHARE)
+    texts = training_texts(blocks, known)
+    warm = texts.orderBy("place", "doc_id", "ids").limit(sample_size).select("ids").collect()
+    model.train([np.frombuffer(bytes(r["ids"]), "<i2") for r in warm])
+    model, _ = trained_in_parts(texts, model, max(1, -(-total // PART_WORDS)))
     spark = docs.sparkSession
     ranked = spark.createDataFrame([(bytearray(w), i) for w, i in rank.items()], "word binary, rank int")
     back = counted.join(F.broadcast(ranked), "word", "left").select("block", "code", "c", F.coalesce("rank", F.col("shape") + WORDS).alias("id"))

@@ -303,7 +303,7 @@ def test_language_model(docs, rows):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_language_model_learns_whole_documents_and_a_share_of_all(spark):
+def test_language_model_learns_all_documents_whole(spark):
     rng = random.Random(3)
     cycle = " ".join("ga gb gc gd ge gf gg gh".split() * 150)
     noise = lambda: " ".join(rng.choice("ma mb mc md me mf".split()) for _ in range(7000))
@@ -311,14 +311,31 @@ def test_language_model_learns_whole_documents_and_a_share_of_all(spark):
     rows += [(i, cycle, "en", "s") for i in range(1000, 1040) if zlib.crc32(str(i).encode()) % 10 == 0]
     got = [r for r in lm.scored(documents(spark, [r for r in rows if r[0] >= 1000 or zlib.crc32(str(r[0]).encode()) % 10])).collect() if r.held_out]
     assert got and all(r.score / r.n_tokens > -0.3 for r in got)
-    known, learned = pa.array([b"aa", b"bb"], pa.binary()), []
-    for n in (300, 1200):
+    known = pa.array([b"aa", b"bb"], pa.binary())
+    for n, parts in ((300, 1), (1200, 3)):
         source = documents(spark, [(i, "aa bb cc " * 20, "en", "s") for i in range(n)]).select("doc_id", F.lit(False).alias("held_out"), "text")
         start = lm.Model.new(np.ones(lm.WORDS), np.ones(lm.END + 1))
-        model, words = lm.trained_in_parts(lm.cut(source), known, start, lm.SHARE)
+        model, words = lm.trained_in_parts(lm.training_texts(lm.cut(source), known), start, parts)
         assert any((model.p[k] != start.p[k]).any() for k in start.p)
-        learned.append(words)
-    assert learned[1] > 2.5 * learned[0] > 0
+        assert words == 61 * n
+
+
+def test_language_model_does_not_depend_on_the_layout(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["ba", "be", "bi", "bo", f"w{rng.randint(0, 400)}"]) for _ in range(rng.randint(0, 120))), "en", "s") for i in range(900)]
+    rows += [(None, "no id", "en", "s"), (7, "the id again", "en", "s"), (7, "the id again", "en", "s")]
+    monkeypatch.setattr(lm, "PART_WORDS", 9_000)
+    first, second = ({(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in lm.scored(documents(spark, rows).repartition(n), sample_size=50).collect()} for n in (2, 11))
+    assert first.keys() == second.keys()
+    assert all(second[k] == pytest.approx(x, rel=1e-4) for k, x in first.items())
+
+
+def test_training_leaves_no_word_out():
+    model = lm.Model.new(np.ones(lm.WORDS), np.ones(lm.END + 1))
+    before = model.p["x"].copy()
+    words = np.arange(300) * 3  # 301 steps do not fill 9 lanes evenly
+    model.train([words], rounds=1, lanes=9)
+    assert all((model.p["x"][w] != before[w]).any() for w in words)
 
 
 def test_states_are_carried():
