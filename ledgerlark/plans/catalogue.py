@@ -507,7 +507,10 @@ def split_text(spark, sf):
     return pieces.select("doc_id", (F.col("i") + 1).alias("piece"), F.char_length("piece").alias("n_chars"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id, length(text), text) AS r FROM documents WHERE length(text) > 0),
+p AS (SELECT source, doc_id, n, r, n AS held, 1 AS chunk_id FROM d WHERE r = 1
+ UNION ALL SELECT d.source, d.doc_id, d.n, d.r, CASE WHEN p.held + d.n > 3500 THEN d.n ELSE p.held + d.n END, p.chunk_id + (p.held + d.n > 3500)::INT FROM p JOIN d ON d.source IS NOT DISTINCT FROM p.source AND d.r = p.r + 1)
+SELECT source, chunk_id, min(doc_id) AS start_page, max(doc_id) AS end_page, (sum(n) + 2 * (count(*) - 1))::INT AS n_chars FROM p GROUP BY 1, 2""")
 def page_windows(spark, sf):
     return chunking.page_windows(Tables(spark, sf).documents, "source", "doc_id", "text").select("source", "chunk_id", "start_page", "end_page", F.char_length("text").alias("n_chars"))
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,16 @@ def test_contents_levels_and_claims():
     assert structure.page_offset([("Risk factors", 12)], heads) == 2
     got = structure.resolved([("Risk factors", 12), ("Risk factors", 13), ("Nothing like it", 30)], heads, 2)
     assert [(p, c) for p, c, _, _ in got] == [(14, True), (15, True), (32, False)]
+
+
+def test_windows_of_pages_equal_plain_packing(spark):
+    rng = random.Random(5)
+    rows = [(d, p, "x" * n) for d in ("a", "b", None) for p, n in enumerate(rng.choice([0, 1, 7, 900, 1700, 2600, 3499, 3500, 3501, 9000]) for _ in range(150))]
+    rows += [("tiny", p, rng.choice("uvw") * rng.randint(1, 40)) for p in range(2000)] + [("a", 200, None), ("tiny", 7, "again"), ("tiny", 7, "again"), ("empty", 1, "")]
+    rng.shuffle(rows)
+    got = chunking.page_windows(spark.createDataFrame(rows, "document string, page int, text string"), "document", "page", "text")
+    want = []
+    for d in ("a", "b", None, "tiny", "empty"):
+        own = sorted(((p, t or "") for e, p, t in rows if e == d), key=lambda x: (x[0], len(x[1]), x[1]))
+        want += [(str(d), i, *w) for i, w in enumerate(chunking.windows(own), 1)]
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == sorted(want)
