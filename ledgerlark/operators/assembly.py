@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlark import schema
 from ledgerlark.functions import extract, names, text
 from ledgerlark.operators import canonical, chunking, entities
+from ledgerlark.operators.staging import staged
 
 KEY = ("document_id",)
 UNKNOWN = "UNKNOWN"
@@ -95,10 +96,13 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def domain(pages: DataFrame) -> DataFrame:
-    """Pages document_id, page, text -> what a document's text says: one row a document with facts, parties and ratings."""
-    windows = chunking.page_windows(pages, "document_id", "page", "text")
-    known = entities.alias_map(windows, "chunk_id", by=KEY)
-    groups = entities.grouped(entities.renamed(entities.mentions(windows, by=KEY), known, KEY), by=KEY)
+    """Pages document_id, page, text -> what a document's text says: one row a document with facts, parties and ratings.
+
+    Windows, aliases and groups are read by many steps below; each is written once, or every step would plan and run them again.
+    """
+    windows = staged(chunking.page_windows(pages, "document_id", "page", "text"), "domain-windows")
+    known = staged(entities.alias_map(windows, "chunk_id", by=KEY), "domain-aliases")
+    groups = staged(entities.grouped(entities.renamed(entities.mentions(windows, by=KEY), known, KEY), by=KEY), "domain-groups")
     page = F.array_min(F.transform("mentions", lambda m: m["start_page"]))
     out = pages.groupBy("document_id").agg(F.max("page").cast("int").alias("page_count"))
     for name, kind in (("issuer", "Issuer"), ("base_issue_size", "Base Issue Size"), ("security_cover", "Security Cover"), ("trustee", "Debenture Trustee")):
@@ -148,7 +152,7 @@ def documents(terms: DataFrame, pages: DataFrame, prose: DataFrame | None = None
     )
     document = F.struct(d.alias("document_id"), d.alias("document_name"), F.lit("Bond/NCD Prospectus").alias("document_type"), F.col("document_date"), F.col("page_count"))
     issuer = F.struct(F.concat(d, F.lit("_issuer")).alias("issuer_id"), F.coalesce("issuer", F.lit(UNKNOWN)).alias("name"), F.array(issue.cast(schema.ISSUE)).alias("issues"))
-    out = rows.select(document.alias("document"), issuer.alias("issuer"))
+    out = staged(rows.select(document.alias("document"), issuer.alias("issuer")), "documents-bare")  # the chunks are made of it
     made = canonical.fact_chunks(out)
     none = F.lit(None)
     chunk = F.struct("chunk_id", "chunk_type", "text", none.alias("start_page"), none.alias("end_page"), none.alias("section_path"), "series_id", "category_id", none.alias("provenance")).cast(schema.CHUNK)
