@@ -5,7 +5,7 @@ with a digit or @, words are the nodes of a graph: neighbours share chain potent
 repeat or resemble each other (same letters and digits, or same last seven digits) share skip potentials, however far
 apart. Loopy belief propagation, all messages at once, gives each word's marginals; words of an entity label whose
 marginal reaches the kind's threshold and that no base span covers become added spans of that kind. The base spans always stay.
-The field has a fifth label, secret: keys and tokens of credentials.
+The field has a fifth label, secret: keys and tokens of credentials; digest() lists these apart from the four kinds.
 
 What the base patterns find is no lesson for what they miss. So the field (hashed features of shape and context, and the
 potentials) learns from documents in which some of the data found is written again in a form that no base pattern
@@ -293,12 +293,12 @@ def lesson(text: str) -> tuple[Graph, np.ndarray]:
         parts.append(x)
         size += len(x)
 
-    for kind, a, b in rng.sample(base, min(len(base), 4)) if rng.random() < 0.7 else []:
+    for kind, a, b in rng.sample(base, len(base)) if rng.random() < 0.7 else []:
         put(" " + " ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) + " ")
         form = rng.choice(FORMS[kind])(text[a:b], _DIGITS.sub("", text[a:b]))
         more.append((kind, size, size + len(form)))
         put(form + rng.choice(["", "", ".", ","]))
-    for kind, a, b in secrets[:4]:
+    for kind, a, b in secrets:
         if rng.random() < 0.5:
             put(" " + " ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) + " ")
             more.append((kind, size, size + b - a))
@@ -402,19 +402,22 @@ def _joined_spans(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _digests(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans", "secrets"]
     for batch in byte_parts(batches, 1):
         rows = list(_found([x.as_py() for x in batch.column(1)], field))
         counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in KINDS]
         sha = pa.array([hashlib.sha256(_joined_spans(base).encode()).hexdigest() for base, _ in rows], pa.string())
-        spans = pa.array([_joined_spans(base + more) for base, more in rows], pa.string())
-        sums = [pa.array(x, pa.int64()) for x in ([len(more) for _, more in rows], [len(base) + len(more) for base, more in rows])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *counts, sha, spans, *sums], names)
+        kinds = [(base, [x for x in more if x[0] in KINDS]) for base, more in rows]
+        spans = pa.array([_joined_spans(base + more) for base, more in kinds], pa.string())
+        sums = [pa.array(x, pa.int64()) for x in ([len(more) for _, more in kinds], [len(base) + len(more) for base, more in kinds])]
+        secrets = pa.array([_joined_spans([x for x in more if x[0] not in KINDS]) for _, more in rows], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *counts, sha, spans, *sums, secrets], names)
 
 
 def digest(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
+    """One row a document: counts and digest of the base spans, all spans of the four kinds, and the credentials in a column of their own."""
     field = fitted(docs, precision)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _digests(it, field), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long, n_spans long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _digests(it, field), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long, n_spans long, secrets string")
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:

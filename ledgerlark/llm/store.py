@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "ledgerlark-shared")
+    """The cluster's spark.checkpoint.dir; a local folder only where that is unset and the master local, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or os.path.join(tempfile.gettempdir(), "ledgerlark-shared")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

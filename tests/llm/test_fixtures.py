@@ -597,9 +597,10 @@ def test_the_field_adds_what_patterns_miss(spark):
         rows.append((i, text, "en", "s"))
         planted[i] = spans
     got = {r.doc_id: r for r in pii.digest(documents(spark, rows)).collect()}
-    added = {(i, *x) for i, t, *_ in rows for x in (s.split(":") for s in got[i].spans.split(",") if s) if tuple([x[0], int(x[1]), int(x[2])]) not in pii.base_spans(t)}
+    added = {(i, *x) for i, t, *_ in rows for x in (s.split(":") for s in f"{got[i].spans},{got[i].secrets}".split(",") if s) if tuple([x[0], int(x[1]), int(x[2])]) not in pii.base_spans(t)}
     want = {(i, k, str(a), str(b)) for i, spans in planted.items() for k, a, b in spans}
-    assert sum(r.n_added for r in got.values()) == len(added) and len(want) > 200
+    assert sum(r.n_added + sum(map(bool, r.secrets.split(","))) for r in got.values()) == len(added) and len(want) > 200
+    assert {s.split(":")[0] for r in got.values() for s in r.spans.split(",") if s} <= set(pii.KINDS)  # credentials stand apart
     assert len(added & want) >= 0.95 * len(added) and len(added & want) >= 0.9 * len(want)
 
 
