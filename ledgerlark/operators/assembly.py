@@ -73,26 +73,25 @@ def _term(name: str):
     return lambda s: s["terms"][name]
 
 
-def _without(name: str):
-    return lambda s: s.withField("terms", s["terms"].withField(name, F.lit(None).cast(schema.FACT)))
-
-
 def shared(rows: DataFrame) -> DataFrame:
     """document_id, series -> and shared map<string,fact>: SHARED terms that all series state alike, taken off the series.
 
     The provenance is that of all series, each page once.
     """
+    merged = {}
     for name in SHARED:
         facts = F.transform("series", _term(name))
         alike = F.forall(facts, lambda f: f.isNotNull()) & (F.size(F.array_distinct(F.transform(facts, lambda f: f["value"]))) == 1)
         first = F.get(facts, F.lit(0))
         all_pages = canonical.merged_provenance(F.flatten(F.transform(facts, lambda f: f["provenance"])))
-        merged = F.struct(first["value"].alias("value"), first["unit"].alias("unit"), first["raw_value"].alias("raw_value"), all_pages.alias("provenance"))
-        rows = rows.withColumn(f"_{name}", F.when(alike, merged).cast(schema.FACT))
-        bare = F.transform("series", _without(name))
-        rows = rows.withColumn("series", F.when(F.col(f"_{name}").isNotNull(), bare).otherwise(F.col("series")))
+        one = F.struct(first["value"].alias("value"), first["unit"].alias("unit"), first["raw_value"].alias("raw_value"), all_pages.alias("provenance"))
+        merged[f"_{name}"] = F.when(alike, one).cast(schema.FACT)
+    rows = rows.withColumns(merged)
+    own = lambda s, n: F.when(F.col(f"_{n}").isNull(), s["terms"][n]) if n in SHARED else s["terms"][n]
+    rest = lambda s: F.struct(*[own(s, n).alias(n) for n in [*schema.TERMS, "additional_terms"]])
+    bare = F.transform("series", lambda s: F.struct(*[(rest(s) if n == "terms" else s[n]).alias(n) for n in ("series_id", "series_name", "terms", "categories", "provenance")]))
     pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"_{n}").alias("value")) for n in SHARED]), lambda p: p["value"].isNotNull())
-    return rows.select("document_id", "series", F.map_from_entries(pairs).alias("shared"))
+    return rows.select("document_id", bare.cast(f"array<{schema.SERIES}>").alias("series"), F.map_from_entries(pairs).alias("shared"))
 
 
 def domain(pages: DataFrame) -> DataFrame:

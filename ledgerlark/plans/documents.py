@@ -408,3 +408,47 @@ def shared_terms(spark, sf):
     made = assembly.shared(assembly.series(tables.series_terms(_cells(Tables(spark, sf)))))
     kept = F.size(F.filter("series", lambda s: s["terms"]["put_call_option"].isNotNull()))
     return made.select("document_id", F.try_element_at("shared", F.lit("put_call_option"))["value"].alias("hoisted"), kept.alias("left_on_series"))
+
+
+def _assembled(t: Tables, with_prose: bool) -> DataFrame:
+    """schema.DOCUMENT by the whole chain: the orders' tables on page 4, what page 1 says of them, and if wanted page 1 as prose of a section."""
+    key, k = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 3
+    size = F.concat(F.lit('about Alpha Finance Limited ("Issuer"). Base Issue Size: ₹ '), F.col("o_custkey").cast("string"), F.lit(" crore"))
+    said = F.when(k == 0, "Nothing is named here.").when(k == 1, size).otherwise('about Beta Power Limited ("Issuer"). Tables follow.')
+    page = F.explode(F.array(F.struct(F.lit(1).alias("page"), said.alias("text")), F.struct(F.lit(4).alias("page"), F.lit("Terms of the issue").alias("text"))))
+    pages = t.orders.select(key.alias("document_id"), page.alias("p")).select("document_id", "p.*")
+    cells = _cells(t)
+    if not with_prose:
+        return assembly.documents(tables.series_terms(cells), pages)
+    excluded = tables.header_rows(cells).select(F.col("document_id").alias("document"), "page").distinct()
+    sections = t.orders.select(key.alias("document"), F.lit(1).alias("section_no"), F.lit(1).alias("start_page"), F.lit(4).alias("end_page"), F.array(F.lit("Terms")).alias("path"))
+    prose = assembly.prose_chunks(chunking.chunks_of_sections(sections, pages.withColumnRenamed("document_id", "document"), excluded))
+    return assembly.documents(tables.series_terms(cells), pages, prose)
+
+
+_ISSUER = "CASE o_orderkey % 3 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'Alpha Finance Limited' ELSE 'Beta Power Limited' END"
+_SIZE = "CASE WHEN o_orderkey % 3 = 1 THEN '₹ ' || o_custkey || ' crore' END"
+
+
+@query(f"""
+SELECT o_orderkey::VARCHAR AS document_id, {_ISSUER} AS issuer, 4 AS page_count, {_SIZE} AS base_issue_size, CASE WHEN o_orderkey % 2 = 1 THEN 'None' END AS put_call_option, 'I,II' AS series, o_custkey || ' months' AS tenor, 3 AS chunks FROM orders""")
+def assembled_documents(spark, sf):
+    """Nested documents made by the chain from cells and pages: facts, issuer, a shared term that went to the issue, series."""
+    issue = F.col("issuer.issues")[0]
+    names = F.array_join(F.transform(issue["series"], lambda s: s["series_id"]), ",")
+    return _assembled(Tables(spark, sf), False).select(
+        "document.document_id", F.col("issuer.name").alias("issuer"), "document.page_count", issue["terms"]["base_issue_size"]["value"].alias("base_issue_size"),
+        F.try_element_at(issue["terms"]["additional_terms"], F.lit("put_call_option"))["value"].alias("put_call_option"), names.alias("series"), issue["series"][0]["terms"]["tenor"]["value"].alias("tenor"), F.size("chunks").alias("chunks"),
+    )
+
+
+@query(f"""
+WITH o AS (SELECT *, o_orderkey::VARCHAR AS document_id, {_ISSUER} AS issuer FROM orders)
+SELECT document_id, 1 AS place, document_id || '_issue_1_overview' AS chunk_id, 'structured_fact' AS chunk_type, concat_ws(chr(10), 'Issuer: ' || issuer, 'Base Issue Size: ' || {_SIZE}, CASE WHEN o_orderkey % 2 = 1 THEN 'Put Call Option: None' END) AS text FROM o
+UNION ALL SELECT document_id, 2 + k, document_id || '_issue_1_series_' || s || '_cat_I_II', 'structured_fact', concat_ws(chr(10), 'Issuer: ' || issuer, 'Series: ' || s, 'Category: Category I and Category II', CASE k WHEN 0 THEN 'Tenor: ' || o_custkey || ' months' END, 'Coupon: ' || o_custkey % 10 || '.5')
+ FROM o, (VALUES (0, 'I'), (1, 'II')) AS v(k, s)
+UNION ALL SELECT document_id, 4, document_id || '_0001', 'prose', CASE o_orderkey % 3 WHEN 0 THEN 'Nothing is named here.' WHEN 1 THEN 'about Alpha Finance Limited ("Issuer"). Base Issue Size: ' || {_SIZE} ELSE 'about Beta Power Limited ("Issuer"). Tables follow.' END FROM o""")
+def assembled_chunks(spark, sf):
+    """All chunks of the documents in their order: facts of the issue, of each series and category, then prose."""
+    rows = _assembled(Tables(spark, sf), True).select("document.document_id", F.posexplode("chunks").alias("n", "c"))
+    return rows.select("document_id", (F.col("n") + 1).alias("place"), "c.chunk_id", "c.chunk_type", "c.text")
