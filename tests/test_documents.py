@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlark import schema
 from ledgerlark.functions import text
 from ledgerlark.operators import assembly, canonical, entities, load, retrieval, search, tables, vector
-from ledgerlark.plans import tools
+from ledgerlark.plans import catalogue, tools
 from ledgerlark.sources import files
 from ledgerlark.streaming import inbox
 
@@ -320,3 +320,20 @@ def test_tables_are_made_once_and_graph_merges(spark, docs, tmp_path):
 @pytest.mark.parametrize(("reply", "value"), [('{"a": 1}', {"a": 1}), ('so:\n```json\n["x"]\n```\nend', ["x"]), ("none", None), ("```\n{\n```", None)])
 def test_reply_value(reply, value):
     assert retrieval.reply_value(reply) == value
+
+
+def _planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("query", ["series_terms", "document_series", "shared_terms", "table_scores"])
+def test_tables_meet_in_one_shuffle_and_are_never_broadcast(spark, query):
+    plan = _planned(catalogue.QUERIES[query](spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in plan and "Join" not in plan and plan.count("Exchange ") == 1
+
+
+def test_terms_may_go_over_cells_and_need_a_row_and_a_place(spark):
+    rows = [cell(0, 0, "Series", 0, 50), cell(0, 1, "I", 50, 80), cell(0, 2, "II", 80, 110), cell(1, 0, "Face", 0, 20), cell(1, 1, "value", 20, 50), cell(1, 2, "₹ 10", 50, 110)]
+    assert tables.table_scores(spark.createDataFrame(rows, schema.CELLS)).first().score == 5
+    header = [cell(0, 0, "Series", 0, 50), cell(0, 1, "I", 50, 80), cell(0, 2, "II", 50, 80)]
+    assert tables.table_scores(spark.createDataFrame(header + rows[3:], schema.CELLS)).count() == 0
