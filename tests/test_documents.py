@@ -9,6 +9,7 @@ from ledgerlark import schema
 from ledgerlark.functions import text
 from ledgerlark.operators import assembly, canonical, entities, load, retrieval, search, tables, vector
 from ledgerlark.plans import catalogue, tools
+from ledgerlark.plans import documents as documents_plan
 from ledgerlark.sources import files
 from ledgerlark.streaming import inbox
 
@@ -337,3 +338,11 @@ def test_terms_may_go_over_cells_and_need_a_row_and_a_place(spark):
     assert tables.table_scores(spark.createDataFrame(rows, schema.CELLS)).first().score == 5
     header = [cell(0, 0, "Series", 0, 50), cell(0, 1, "I", 50, 80), cell(0, 2, "II", 50, 80)]
     assert tables.table_scores(spark.createDataFrame(header + rows[3:], schema.CELLS)).count() == 0
+
+
+def test_assembly_never_broadcasts_what_grows_with_documents(spark):
+    t = catalogue.Tables(spark, "/root/testdata/sf0.001")
+    rows = catalogue.QUERIES["assembled_chunks"](spark, t.folder)
+    assert "Broadcast" not in _planned(rows)
+    terms = tables.series_terms(documents_plan._cells(t))
+    assert "Join" not in _planned(assembly.shared(assembly.series(terms)))
