@@ -67,10 +67,13 @@ def category_parts(category_id: Column) -> Column:
 
 def category_name(category_id: Column) -> Column:
     """I -> Category I; I_II -> Category I and Category II; more -> Category I, II and III."""
-    p = category_parts(category_id)
-    n = F.size(p)
-    many = F.concat(F.lit("Category "), F.array_join(F.slice(p, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.try_element_at(p, F.lit(-1)))
-    return F.when(n == 0, None).when(n == 1, F.concat(F.lit("Category "), p[0])).when(n == 2, F.concat(F.lit("Category "), F.get(p, F.lit(0)), F.lit(" and Category "), F.get(p, F.lit(1)))).otherwise(many)
+
+    def named(p: Column) -> Column:
+        n = F.size(p)
+        many = F.concat(F.lit("Category "), F.array_join(F.slice(p, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.try_element_at(p, F.lit(-1)))
+        return F.when(n == 0, None).when(n == 1, F.concat(F.lit("Category "), p[0])).when(n == 2, F.concat(F.lit("Category "), F.get(p, F.lit(0)), F.lit(" and Category "), F.get(p, F.lit(1)))).otherwise(many)
+
+    return F.get(F.transform(F.array(category_parts(category_id)), named), F.lit(0))  # the parts are worked out once, not where they are named
 
 
 def category_in_label(label: Column) -> Column:

@@ -109,3 +109,9 @@ def test_windows_of_pages_equal_plain_packing(spark):
         own = sorted(((p, t or "") for e, p, t in rows if e == d), key=lambda x: (x[0], len(x[1]), x[1]))
         want += [(str(d), i, *w) for i, w in enumerate(chunking.windows(own), 1)]
     assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == sorted(want)
+
+
+def test_category_name_works_out_its_argument_once(spark):
+    rows = spark.createDataFrame([("x Cat. I",), ("Category II & I",), ("category i, ii, iii",), ("none",), (None,)], "label string").withColumn("name", text.category_name(text.category_in_label(F.col("label"))))
+    assert [r.name for r in rows.collect()] == ["Category I", "Category I and Category II", "Category I, II and III", None, None]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("egory)?") == 1
