@@ -115,3 +115,46 @@ def test_category_name_works_out_its_argument_once(spark):
     rows = spark.createDataFrame([("x Cat. I",), ("Category II & I",), ("category i, ii, iii",), ("none",), (None,)], "label string").withColumn("name", text.category_name(text.category_in_label(F.col("label"))))
     assert [r.name for r in rows.collect()] == ["Category I", "Category I and Category II", "Category I, II and III", None, None]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("egory)?") == 1
+
+
+def test_titles_match_as_by_comparing_all(monkeypatch):
+    """Votes and matches by equality and bounds are those of every title against every heading, and fewer are compared."""
+    r, tried = random.Random(3), []
+
+    def vote(entries, found, near):
+        counts = {}
+        for title, printed in entries:
+            best, at = -1.0, None
+            for page, heading in found:
+                if (near is None or abs(page - printed - near) <= 10) and (score := names.similarity(title, heading)) > best:
+                    best, at = score, page - printed
+            if at is not None and best >= structure.AGREE and -20 <= at <= 20:
+                counts[at] = counts.get(at, 0) + 1
+        return max(counts, key=counts.get) if counts else None
+
+    def matched(entries, found, offset):
+        claimed, out = set(), []
+        for title, printed in entries:
+            expected = printed + offset
+            scored = [(names.similarity(title, h), -abs(p - expected), -k) for k, (p, h) in enumerate(found) if abs(p - expected) <= 3]
+            best = max([s for s in scored if -s[2] not in claimed and s[0] >= structure.SAME] or scored, default=None)
+            if best and best[0] >= structure.SAME:
+                claimed.add(-best[2])
+                out.append((found[-best[2]][0], True, round(best[0], 3), found[-best[2]][1]))
+            else:
+                out.append((expected, False, round(best[0], 3) if best else 0.0, None))
+        return out
+
+    ratio = structure.difflib.SequenceMatcher.ratio
+    for _ in range(60):
+        word = lambda: "".join(r.choice("abc .") for _ in range(r.choice([0, 3, 8, 9, 220])))
+        texts = [word() for _ in range(6)]
+        found = sorted((r.randint(1, 30), r.choice(texts) + r.choice(["", "", "a"])) for _ in range(r.randint(0, 12)))
+        entries = [(r.choice(texts) + r.choice(["", "", "b"]), r.randint(1, 30)) for _ in range(r.randint(0, 8))]
+        first = vote(entries, found, None)
+        offset = 0 if first is None else vote(entries, found, first) or first
+        assert structure.page_offset(entries, found) == offset
+        assert structure.resolved(entries, found, offset) == matched(entries, found, offset)
+    monkeypatch.setattr(structure.difflib.SequenceMatcher, "ratio", lambda m: tried.append(1) or ratio(m))
+    many = [(n, f"heading number {n} of {n * 7919}") for n in range(1, 200)]
+    assert structure.page_offset([(t, n) for n, t in many], many) == 0 and not tried
