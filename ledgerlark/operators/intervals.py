@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import nesting
+from ledgerlark.operators.staging import staged
 
 
 def most_common(df: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:
@@ -45,6 +46,7 @@ def leaves(sections: DataFrame, by: str, seq: str, level: str, start: str = "sta
     blocks of each size. Blocks and sections meet by equality, so sections that hold many others make no pairs.
     """
     own = [by, seq, level, start, end]
+    sections = staged(sections, "leaves")  # four steps read them
     some = sections.select(*own).dropna(subset=[level, start, end, by]).filter(F.col(end) >= F.col(start))
     span = some.agg(F.max(F.col(end).cast("long") - F.col(start))).first()[0]
     if span is None:
