@@ -119,15 +119,23 @@ def relational(docs: DataFrame) -> dict[str, DataFrame]:
 
 def property_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """vertices (label, id) and edges (source, type, target, outlook); participants are one vertex whatever the document."""
-    i, s = issues(docs), series(docs)
-    edge = lambda df, kind, source, target, outlook=None: df.select(F.col(source).alias("source"), F.lit(kind).alias("type"), F.col(target).alias("target"), (F.lit(None).cast("string") if outlook is None else F.col(outlook)).alias("outlook")).filter("source is not null AND target is not null")
-    rated = i.select("issue_id", F.posexplode("ratings").alias("n", "r")).groupBy("issue_id", F.col("r.agency").alias("agency")).agg(F.max_by("r.outlook", "n").alias("outlook"))
-    managers = i.select("issue_id", F.explode("lead_managers").alias("name"))
-    edges = edge(i, "ISSUED", "issuer", "issue_id").union(edge(i, "HAS_DEBENTURE_TRUSTEE", "issue_id", "debenture_trustee")).union(edge(managers, "HAS_LEAD_MANAGER", "issue_id", "name")).union(edge(rated, "RATED_BY", "issue_id", "agency", "outlook")).union(edge(s, "HAS_SERIES", "issue_id", "series_id"))
+    i = issues(docs)
+    none = F.lit(None)
+    edge = lambda source, kind, target, outlook=none, n=none: F.struct(source.alias("source"), F.lit(kind).alias("type"), target.alias("target"), outlook.cast("string").alias("outlook"), n.cast("int").alias("n"))
+    own = F.col("issue_id")
+    all_ = F.concat(
+        F.array(edge(F.col("issuer"), "ISSUED", own), edge(own, "HAS_DEBENTURE_TRUSTEE", F.col("debenture_trustee"))),
+        *[F.coalesce(x, F.array()) for x in (
+            F.transform("lead_managers", lambda m: edge(own, "HAS_LEAD_MANAGER", m)), F.transform("ratings", lambda r, n: edge(own, "RATED_BY", r["agency"], r["outlook"], n)), F.transform("series", lambda s: edge(own, "HAS_SERIES", s["series_id"])),
+        )],
+    )
+    # one pass over the documents: of an issue's ratings by one agency the last gives the outlook, of all others equal edges are one
+    found = i.select(F.explode(all_).alias("e")).select("e.*").filter("source is not null AND target is not null")
+    edges = found.groupBy("source", "type", "target").agg(F.max_by("outlook", "n").alias("outlook"))
     label = {"ISSUED": "Issue", "HAS_DEBENTURE_TRUSTEE": "DebentureTrustee", "HAS_LEAD_MANAGER": "LeadManager", "RATED_BY": "RatingAgency", "HAS_SERIES": "Series"}
     kinds = F.create_map(*[F.lit(x) for p in label.items() for x in p])
     vertices = edges.select(F.element_at(kinds, F.col("type")).alias("label"), F.col("target").alias("id")).union(i.select(F.lit("Issuer"), "issuer")).distinct()
-    return vertices, edges.distinct()
+    return vertices, edges
 
 
 def category_ids(maps: list[Column]) -> Column:
