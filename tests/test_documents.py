@@ -346,3 +346,15 @@ def test_assembly_never_broadcasts_what_grows_with_documents(spark):
     assert "Broadcast" not in _planned(rows)
     terms = tables.series_terms(documents_plan._cells(t))
     assert "Join" not in _planned(assembly.shared(assembly.series(terms)))
+
+
+def test_edges_come_from_one_pass(spark, docs):
+    _, edges = canonical.property_graph(docs)
+    plan = _planned(edges)
+    assert plan.count("Exchange ") == 1 and "Union" not in plan
+    rows = {(r.type, r.target): r.outlook for r in edges.collect()}
+    assert rows["RATED_BY", "CRISIL"] == "Negative" and rows["HAS_LEAD_MANAGER", "Trust"] is None and len(rows) == edges.count() == 6
+
+
+def test_leaves_end_their_sections_once(spark):
+    assert "MapInArrow" not in _planned(catalogue.QUERIES["leaf_sections"](spark, "/root/testdata/sf0.001"))

@@ -158,3 +158,12 @@ def test_titles_match_as_by_comparing_all(monkeypatch):
     monkeypatch.setattr(structure.difflib.SequenceMatcher, "ratio", lambda m: tried.append(1) or ratio(m))
     many = [(n, f"heading number {n} of {n * 7919}") for n in range(1, 200)]
     assert structure.page_offset([(t, n) for n, t in many], many) == 0 and not tried
+
+
+def test_chunks_are_given_while_pages_still_come():
+    taken = []
+    pages = ((n, taken.append(n) or "word " * 200) for n in range(1, 1001))
+    found = chunking.streamed_chunks(pages)
+    next(found)
+    assert len(taken) < 10
+    assert [*found][-1][1] == 1000
