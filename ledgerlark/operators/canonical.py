@@ -38,20 +38,24 @@ def _title(name: str) -> str:
     return name.replace("_", " ").title()
 
 
-def issues(docs: DataFrame) -> DataFrame:
-    """document_id, document_name, document_type, issuer and the issue's fields, one row an issue."""
-    rows = docs.select("document.*", F.col("issuer.name").alias("issuer"), F.explode("issuer.issues").alias("issue"))
+def issues(docs: DataFrame, *fields: str) -> DataFrame:
+    """document_id, document_name, document_type, issuer and the issue's fields (all, or those named), one row an issue.
+
+    Named fields leave the others unread, also where documents are made by the same plan.
+    """
+    some = F.arrays_zip(*[F.col(f"issuer.issues.{f}").alias(f) for f in fields]) if fields else F.col("issuer.issues")
+    rows = docs.select("document.*", F.col("issuer.name").alias("issuer"), F.explode(some).alias("issue"))
     return rows.select("document_id", "document_name", "document_type", "document_date", "page_count", "issuer", "issue.*")
 
 
 def series(docs: DataFrame) -> DataFrame:
-    base = issues(docs).select("document_id", "document_name", "document_type", "issuer", "issue_id", F.posexplode("series").alias("series_no", "s"))
+    base = issues(docs, "issue_id", "series").select("document_id", "document_name", "document_type", "issuer", "issue_id", F.posexplode("series").alias("series_no", "s"))
     return base.select("document_id", "document_name", "document_type", "issuer", "issue_id", "series_no", "s.*")
 
 
 def overview_chunks(docs: DataFrame) -> DataFrame:
     """One chunk an issue: name, trustee, managers, and every fact it states; hoisted terms come last."""
-    rows = issues(docs)
+    rows = issues(docs, "issue_id", "issue_name", "terms", "debenture_trustee", "lead_managers")
     facts = [fact_line(_title(n), F.col("terms")[n]) for n in ISSUE_TERMS]
     more = F.transform(F.map_entries(F.col("terms.additional_terms")), lambda e: F.concat(F.initcap(F.replace(e["key"], F.lit("_"), F.lit(" "))), F.lit(": "), e["value"]["value"]))
     head = F.array_compact(F.array(F.concat(F.lit("Issuer: "), "issuer"), F.concat(F.lit("Issue: "), "issue_name"), *facts, F.concat(F.lit("Debenture Trustee: "), "debenture_trustee"), F.concat(F.lit("Lead Managers: "), F.nullif(F.array_join("lead_managers", ", "), F.lit("")))))
@@ -61,7 +65,7 @@ def overview_chunks(docs: DataFrame) -> DataFrame:
 
 def rating_chunks(docs: DataFrame) -> DataFrame:
     """One chunk a rating, numbered from 1 in the issue."""
-    rows = issues(docs).select("document_id", "issuer", "issue_id", F.posexplode("ratings").alias("i", "r"))
+    rows = issues(docs, "issue_id", "ratings").select("document_id", "issuer", "issue_id", F.posexplode("ratings").alias("i", "r"))
     body = F.concat_ws("\n", F.concat(F.lit("Issuer: "), "issuer"), F.concat(F.lit("Rating Agency: "), "r.agency"), F.concat(F.lit("Rating: "), "r.rating"), F.concat(F.lit("Outlook: "), "r.outlook"), F.concat(F.lit("Rating Date: "), "r.rating_date"))
     n = F.format_string("%s_rating_%d", F.col("issue_id"), F.col("i") + 1)
     return rows.select("document_id", F.lit(1).alias("rank"), n.alias("order"), n.alias("chunk_id"), F.lit("structured_fact").alias("chunk_type"), body.alias("text"), F.lit(None).cast("string").alias("series_id"), F.lit(None).cast("string").alias("category_id"))
@@ -119,7 +123,7 @@ def relational(docs: DataFrame) -> dict[str, DataFrame]:
 
 def property_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """vertices (label, id) and edges (source, type, target, outlook); participants are one vertex whatever the document."""
-    i = issues(docs)
+    i = issues(docs, "issue_id", "debenture_trustee", "lead_managers", "ratings", "series")
     none = F.lit(None)
     edge = lambda source, kind, target, outlook=none, n=none: F.struct(source.alias("source"), F.lit(kind).alias("type"), target.alias("target"), outlook.cast("string").alias("outlook"), n.cast("int").alias("n"))
     own = F.col("issue_id")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlark import schema
 from ledgerlark.functions import text
@@ -41,7 +42,12 @@ def _documents(t: Tables) -> DataFrame:
     own = {"base_issue_size": fact(F.concat(F.col("o_custkey").cast("string"), F.lit(" crore")), F.lit(1), "crore"), "listing_exchange": fact(F.when(F.col("o_orderstatus") == "O", F.lit("BSE")), F.lit(2))}
     terms = F.struct(*[own.get(n, none).cast(schema.FACT).alias(n) for n in schema.ISSUE_TERMS], F.create_map(F.lit("put_call_option"), fact(F.col("o_orderpriority"), F.lit(1)).cast(schema.FACT)).alias("additional_terms"))
     managers = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("First Managers"), F.lit("Second Managers"))).otherwise(F.array().cast("array<string>"))
-    issue = F.struct(F.concat(d, F.lit("_issue_1")).alias("issue_id"), F.concat(F.lit("Issue "), "o_orderstatus").alias("issue_name"), terms.alias("terms"), F.concat(F.lit("Trustee "), "o_orderpriority").alias("debenture_trustee"), managers.alias("lead_managers"), F.transform("lines", rating).alias("ratings"), F.transform("lines", series).alias("series")).cast(schema.ISSUE)
+    fields = [
+        F.concat(d, F.lit("_issue_1")).alias("issue_id"), F.concat(F.lit("Issue "), "o_orderstatus").alias("issue_name"), terms.alias("terms"), F.concat(F.lit("Trustee "), "o_orderpriority").alias("debenture_trustee"),
+        managers.alias("lead_managers"), F.transform("lines", rating).alias("ratings"), F.transform("lines", series).alias("series"),
+    ]
+    kinds = StructType.fromDDL(f"issue {schema.ISSUE}")["issue"].dataType
+    issue = F.struct(*[c.cast(k.dataType).alias(k.name) for c, k in zip(fields, kinds, strict=True)])  # each by itself, so that only what a query reads is made
     document = F.struct(d.alias("document_id"), d.alias("document_name"), F.lit("Bond/NCD Prospectus").alias("document_type"), F.lit(None).cast("string").alias("document_date"), F.lit(9).alias("page_count"))
     issuer = F.struct(F.concat(d, F.lit("_issuer")).alias("issuer_id"), F.concat(F.lit("Issuer "), F.col("o_custkey").cast("string")).alias("name"), F.array(issue).alias("issues"))
     blank = F.lit(None).cast("string")

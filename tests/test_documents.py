@@ -358,3 +358,10 @@ def test_edges_come_from_one_pass(spark, docs):
 
 def test_leaves_end_their_sections_once(spark):
     assert "MapInArrow" not in _planned(catalogue.QUERIES["leaf_sections"](spark, "/root/testdata/sf0.001"))
+
+
+def test_queries_over_documents_make_only_what_they_read(spark):
+    plan = lambda name: catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    ratings = plan("rating_chunks")
+    assert "Series " not in ratings and "crore" not in ratings
+    assert "Agency " not in plan("structured_fact_chunks") and "lineitem" not in plan("overview_chunk") and "Join" not in plan("overview_chunk")
