@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sides up to this many rows are broadcast in star joins; larger ones are left to the optimizer.
@@ -112,11 +112,24 @@ def issue_facts(tables: dict[str, DataFrame], issuer: str | None = None, documen
     return rows.withColumn("lead_managers", F.transform("lead_managers", lambda m: m["name"])).select(*ISSUE_COLUMNS, "ratings", "lead_managers")
 
 
-def participations(tables: dict[str, DataFrame]) -> DataFrame:
-    """issuer, issue_id, issue_name, document_name, participant_name, participant_role: trustees, lead managers and rating agencies."""
-    issues = _named(_with_documents(tables["issues"], tables), ["issue_id", "issuer", "document_name", "issue_name", "debenture_trustee"], ISSUE_NAMES)
-    role = lambda names, kind: names.withColumn("participant_role", F.lit(kind))
-    every = role(issues.select("issue_id", F.col("debenture_trustee").alias("participant_name")), "DebentureTrustee")
-    every = every.unionByName(role(tables["lead_managers"].select("issue_id", F.col("name").alias("participant_name")), "LeadManager"))
-    every = every.unionByName(role(tables["ratings"].select("issue_id", F.col("agency").alias("participant_name")), "RatingAgency"))
-    return issues.drop("debenture_trustee").join(every.filter("participant_name <> ''").distinct(), "issue_id")
+def known_issues(tables: dict[str, DataFrame]) -> DataFrame:
+    """issue_id, issuer, document_name, issue_name, debenture_trustee of every issue whose document is known."""
+    return _named(_with_documents(tables["issues"], tables), ["issue_id", "issuer", "document_name", "issue_name", "debenture_trustee"], ISSUE_NAMES)
+
+
+def participations(tables: dict[str, DataFrame], issues: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """issue_id, issuer, document_name, issue_name, participant_name, participant_role: trustees, lead managers and rating agencies.
+
+    issues: known_issues, where they are at hand; names (participant_name): those alone, left out before anything is joined.
+    """
+    issues = known_issues(tables) if issues is None else issues
+    of = lambda rows: rows if names is None else rows.join(small(names), "participant_name", "left_semi")
+    role = lambda rows, kind: rows.withColumn("participant_role", F.lit(kind))
+    said = lambda rows, name: of(rows.select("issue_id", F.col(name).alias("participant_name")).filter("participant_name <> ''")).distinct()
+    places = issues.drop("debenture_trustee")
+    # the trustees of an issue are all that its rows name; they stand in these rows, so nothing is joined
+    trustees = F.collect_set("debenture_trustee").over(Window.partitionBy("issue_id"))
+    every = issues.filter("issue_id IS NOT NULL").withColumn("_t", trustees).withColumn("participant_name", F.explode("_t")).filter("participant_name <> ''")
+    every = role(of(every).select(*places.columns, "participant_name"), "DebentureTrustee")
+    every = every.unionByName(role(places.join(said(tables["lead_managers"], "name"), "issue_id"), "LeadManager"))
+    return every.unionByName(role(places.join(said(tables["ratings"], "agency"), "issue_id"), "RatingAgency"))
