@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import text
 from ledgerlark.operators import search, vector
+from ledgerlark.operators.staging import staged
 
 # Words that send a question to the issue overview.
 OVERVIEW_WORDS = ["trustee", "shelf limit", "green shoe", "rating", "lead manager", "listing", "exchange", "issue size", "security cover", "issue open", "issue close", "allotment"]
@@ -26,15 +27,19 @@ def forms(entities: DataFrame, name: str = "name", kind: str = "kind") -> DataFr
     return entities.select(kind, name, F.explode(text.match_forms(F.col(name))).alias("form")).distinct()
 
 
+def _met(questions: DataFrame, vocabulary: DataFrame, question: str = "question") -> DataFrame:
+    """Rows of the questions' words and the vocabulary where the question holds the form."""
+    first = F.lower(F.regexp_extract("form", r"(?U)^\W*(\w+)", 1))
+    words = questions.select("question_id", question, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(question), F.lit(r"(?U)(\w+)"), F.lit(1)))).alias("_w"))
+    return words.join(vocabulary.withColumn("_w", first), "_w").filter(text.mentions(F.col(question), F.col("form")))
+
+
 def mentioned(questions: DataFrame, vocabulary: DataFrame, question: str = "question", kind: str = "kind", name: str = "name") -> DataFrame:
     """question_id, kind, name: the entity of each kind whose longest form the question holds; the first name on a tie.
 
     Words of both sides are joined first, so only names that share the form's first word are tested.
     """
-    first = F.lower(F.regexp_extract("form", r"(?U)^\W*(\w+)", 1))
-    words = questions.select("question_id", question, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(question), F.lit(r"(?U)(\w+)"), F.lit(1)))).alias("_w"))
-    found = words.join(vocabulary.withColumn("_w", first), "_w").filter(text.mentions(F.col(question), F.col("form")))
-    return found.groupBy("question_id", kind).agg(F.min_by(name, F.struct((-F.length("form")).alias("l"), F.col(name))).alias(name))
+    return _met(questions, vocabulary, question).groupBy("question_id", kind).agg(F.min_by(name, F.struct((-F.length("form")).alias("l"), F.col(name))).alias(name))
 
 
 def routes(question: Column) -> Column:
@@ -122,38 +127,76 @@ def _containing(asked: DataFrame, names: DataFrame) -> DataFrame:
     return met.filter(F.contains(low, F.lower("participant"))).drop("_g")
 
 
+def _first(rows: DataFrame, by: list[str], order: list[str], cap: int) -> DataFrame:
+    """The first cap rows of each group, and all that tie with the last of these."""
+    place = F.rank().over(Window.partitionBy(*by).orderBy(*[F.asc_nulls_first(c) for c in order]))
+    return rows.withColumn("_p", place).filter(F.col("_p") <= cap).drop("_p")
+
+
+def _of_issues(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """The tables' rows of some issues (issue_id) and of their documents."""
+    ids = search.small(ids.distinct())
+    kept = {name: tables[name].join(ids, "issue_id", "left_semi") for name in ("series", "series_category_terms", "series_provenance", "ratings", "lead_managers")}
+    issues = staged(tables["issues"].join(ids, F.col("issue_identifier").eqNullSafe(ids["issue_id"]), "left_semi"), "asked-issues")
+    return kept | {"issues": issues, "documents": tables["documents"].join(search.small(issues.select("document_name").distinct()), "document_name", "left_semi")}
+
+
 def structured_candidates(questions: DataFrame, tables: dict[str, DataFrame], cap: int = 200) -> DataFrame:
     """question_id, source_id, text, label, score of the typed look-ups that each question (question_id, question) asks for.
 
     Terms where it names a series or a category, of its issuer if it names one; the overview where it names an issuer and a word
     of OVERVIEW_WORDS; issues of the participant that it names. Each look-up returns at most cap rows a question, as the tools do.
+
+    What is asked is found first. Then the first cap rows of each thing that is asked, by their keys alone and once however many
+    questions ask for it; only the issues of these are read whole. What no question asks for is not looked up.
     """
-    facts, involved = search.issue_facts(tables), search.participations(tables)
-    found = mentioned(questions, vocabulary(facts, involved))
+    issues = staged(search.known_issues(tables), "known-issues")
+    names = [tables["issues"].select(F.col("debenture_trustee").alias("participant_name")), tables["lead_managers"].select(F.col("name").alias("participant_name")), tables["ratings"].select(F.col("agency").alias("participant_name"))]
+    names = staged(reduce(DataFrame.unionByName, names).filter("participant_name <> ''").distinct(), "participant-names")
+    met = staged(_met(questions, forms(names.select(F.lit("Participant").alias("kind"), F.col("participant_name").alias("name")))).select(F.col("name").alias("participant_name")).distinct(), "met-names")
+    found = mentioned(questions, vocabulary(issues, search.participations(tables, issues, met)))
     one = lambda kind, name: found.filter(F.col("kind") == kind).select("question_id", F.col("name").alias(name))
     asked = questions.select("question_id", routes(F.col("question")).alias("r")).select("question_id", "r.*")
-    asked = asked.join(one("Issuer", "issuer"), "question_id", "left").join(one("Participant", "participant"), "question_id", "left")
+    asked = staged(asked.join(one("Issuer", "issuer"), "question_id", "left").join(one("Participant", "participant"), "question_id", "left"), "asked")
 
     def shown(rows: DataFrame, order: list[str], source: Column, section: Column, sentence: Column, kind: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("question_id").orderBy(*[F.asc_nulls_first(c) for c in order], sentence))
         label = F.concat(F.lit(f"[{kind}] "), F.concat_ws(" — ", "document_name", section))
         return rows.withColumn("_n", place).filter(F.col("_n") <= cap).select("question_id", source.alias("source_id"), sentence.alias("text"), label.alias("label"), F.lit(1.0).alias("score"))
 
-    terms = search.bond_terms(tables).withColumnsRenamed({"series_code": "series", "category_code": "category"})
     keys = ["series", "category", "issuer"]
-    legs = []
-    for on in (["series"], ["category"], ["series", "category"], ["series", "issuer"], ["category", "issuer"], keys):  # what a question names, so that every join has keys
-        some = asked.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() if k in on else F.col(k).isNull() for k in keys]))
-        legs.append(some.select("question_id", *on).join(terms, on).select("question_id", *terms.columns))
-    rows = reduce(DataFrame.unionByName, legs).withColumnsRenamed({"series": "series_code", "category": "category_code"})
-    out = shown(rows, ["series_code", "category_code", "series_id"], F.concat(F.lit("sql:series:"), "series_id"), F.col("section"), term_sentence(), "SQL")
-    rows = asked.filter("overview AND issuer IS NOT NULL").select("question_id", "issuer").join(facts, "issuer")
-    out = out.unionByName(shown(rows, ["issue_id"], F.concat(F.lit("sql:issue:"), "issue_id"), F.col("issue_name"), issue_sentence(), "SQL"))
-    named = asked.filter("participant IS NOT NULL").select("question_id", "participant")
-    wide = _containing(named.select("participant").distinct(), involved.select("participant_name").distinct())
-    rows = named.join(wide, "participant").join(involved, "participant_name")
+    named = staged(asked.select(*keys).distinct(), "asked-terms")
+    ways = [[k for k in keys if r[k]] for r in named.select(*[F.col(k).isNotNull().alias(k) for k in keys]).distinct().collect()]  # what a question names, so that every join has keys
+    ways = [on for on in ways if "series" in on or "category" in on]
+    naming = lambda rows, on: rows.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() if k in on else F.col(k).isNull() for k in keys])).drop(*[k for k in keys if k not in on])
+    picks = []
+    for on in ways:
+        wanted = search.small(naming(named, on))
+        lines, cats = tables["series"].select("issue_id", F.col("series_code").alias("series")), tables["series_category_terms"].select("issue_id", F.col("series_code").alias("series"), F.col("category_code").alias("category"))
+        some = {"issuer": issues.select("issue_id", "issuer"), "series": lines, "category": cats}
+        for k in on:  # what no such question names goes before the joins
+            some[k] = some[k].join(search.small(wanted.select(k).distinct()), k, "left_semi")
+        rows = some["series"].join(some["category"], ["issue_id", "series"], "inner" if "category" in on else "left").join(some["issuer"], "issue_id")
+        rows = rows.join(wanted, on, "left_semi").withColumn("series_id", F.concat_ws(":", "issue_id", "series"))
+        picks.append(_first(rows.select(*keys, "series_id", "issue_id"), on, ["series", "category", "series_id"], cap).select("issue_id"))
+    out = []
+    if picks:
+        terms = search.bond_terms(_of_issues(tables, staged(reduce(DataFrame.unionByName, picks).distinct(), "picked-terms"))).withColumnsRenamed({"series_code": "series", "category_code": "category"})
+        legs = [naming(asked.select("question_id", *keys), on).join(terms, on).select("question_id", *terms.columns) for on in ways]
+        rows = reduce(DataFrame.unionByName, legs).withColumnsRenamed({"series": "series_code", "category": "category_code"})
+        out.append(shown(rows, ["series_code", "category_code", "series_id"], F.concat(F.lit("sql:series:"), "series_id"), F.col("section"), term_sentence(), "SQL"))
+    overview = asked.filter("overview AND issuer IS NOT NULL").select("question_id", "issuer")
+    rows = issues.select("issuer", "issue_id").join(search.small(overview.select("issuer").distinct()), "issuer", "left_semi")
+    facts = search.issue_facts(_of_issues(tables, staged(_first(rows, ["issuer"], ["issue_id"], cap).select("issue_id").distinct(), "picked-issues")))
+    out.append(shown(overview.join(facts, "issuer"), ["issue_id"], F.concat(F.lit("sql:issue:"), "issue_id"), F.col("issue_name"), issue_sentence(), "SQL"))
+    acting = asked.filter("participant IS NOT NULL").select("question_id", "participant")
+    wide = staged(_containing(acting.select("participant").distinct(), names).select("participant", "participant_name").distinct(), "wide-names")
+    rows = search.participations(tables, issues, wide.select("participant_name").distinct()).join(search.small(wide), "participant_name")
+    order = ["issue_id", "participant_role", "participant_name"]
+    rows = acting.join(staged(_first(rows, ["participant"], order, cap), "picked-participations"), "participant")
     source = F.concat_ws(":", F.lit("graph"), "issue_id", "participant_role", "participant_name")
-    return out.unionByName(shown(rows, ["issue_id", "participant_role", "participant_name"], source, F.col("participant_role"), participant_sentence(), "Graph"))
+    out.append(shown(rows, order, source, F.col("participant_role"), participant_sentence(), "Graph"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def vector_candidates(questions: DataFrame, chunks: DataFrame, embed: vector.Embed, k: int = 6) -> DataFrame:

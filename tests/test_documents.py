@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark import schema
 from ledgerlark.functions import text
-from ledgerlark.operators import assembly, canonical, entities, load, retrieval, search, tables, vector
+from ledgerlark.operators import assembly, canonical, entities, load, retrieval, search, staging, tables, vector
 from ledgerlark.plans import catalogue, tools
 from ledgerlark.plans import documents as documents_plan
 from ledgerlark.sources import files
@@ -365,3 +365,31 @@ def test_queries_over_documents_make_only_what_they_read(spark):
     ratings = plan("rating_chunks")
     assert "Series " not in ratings and "crore" not in ratings
     assert "Agency " not in plan("structured_fact_chunks") and "lineitem" not in plan("overview_chunk") and "Join" not in plan("overview_chunk")
+
+
+def test_participations_of_some_names(spark, stored_tables):
+    whole = search.participations(stored_tables)
+    names = spark.createDataFrame([("Nuvama",), ("CRISIL",)], "participant_name string")
+    got = search.participations(stored_tables, names=names).collect()
+    assert sorted(got) == sorted(r for r in whole.collect() if r.participant_name in ("Nuvama", "CRISIL")) and got
+    assert "Join" not in search.participations(stored_tables | {"lead_managers": stored_tables["lead_managers"].limit(0), "ratings": stored_tables["ratings"].limit(0)}, search.known_issues(stored_tables).localCheckpoint())._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_issue_in_two_rows_has_the_trustees_of_both(spark):
+    issues = spark.createDataFrame([("D1", "i", "n", "T1"), ("D2", "i", "n", "T2"), ("D2", "j", "n", None)], "document_name string, issue_identifier string, issue_name string, debenture_trustee string")
+    none = spark.createDataFrame([], "issue_id string, name string, agency string")
+    documents = spark.createDataFrame([("I1", "D1"), ("I2", "D2")], "issuer_name string, document_name string")
+    got = search.participations({"issues": issues, "documents": documents, "lead_managers": none, "ratings": none})
+    assert sorted((r.document_name, r.participant_name) for r in got.collect()) == [("D1", "T1"), ("D1", "T2"), ("D2", "T1"), ("D2", "T2")]
+
+
+def test_only_what_is_asked_is_looked_up(spark, stored_tables, monkeypatch):
+    asked = spark.createDataFrame([(1, "What did NUVAMA do?"), (2, "And Nuvama?"), (3, None)], "question_id long, question string")
+    monkeypatch.setattr(search, "bond_terms", None)  # no question asks for terms
+    got = retrieval.structured_candidates(asked, stored_tables, cap=1).collect()
+    assert sorted((r.question_id, r.source_id) for r in got) == [(1, "graph:pfc_1:LeadManager:Nuvama"), (2, "graph:pfc_1:LeadManager:Nuvama")]
+
+
+def test_partitions_follow_the_rows(spark):
+    rows = spark.range(10)
+    assert staging.spread(rows, 10, "id").rdd.getNumPartitions() == 4 and staging.spread(rows, 9 * staging.ROWS + 1, "id").rdd.getNumPartitions() == 10
