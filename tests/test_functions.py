@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,23 @@ def test_chunks_are_given_while_pages_still_come():
     next(found)
     assert len(taken) < 10
     assert [*found][-1][1] == 1000
+
+
+def test_labels_are_sought_only_where_a_part_of_them_stands(monkeypatch):
+    tried = []
+
+    class Tried:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def finditer(self, said):
+            tried.append(self.pattern.pattern)
+            return self.pattern.finditer(said)
+
+    monkeypatch.setattr(names, "_LABELS", [(kind, Tried(pattern), part) for kind, pattern, part in names._LABELS])
+    assert names.labelled_names("the LEAD Managers are Nuvama Wealth Management Limited") == [("Lead Manager", "Nuvama Wealth Management Limited")]
+    assert tried == [r"Lead\s+Managers?"]
+    # letters beyond ASCII that count as i, k and s: every label is tried
+    assert names.label_spans("Regıſtrar") == [(0, 9, None)] and len(tried) == 1 + len(names.LABELS)
+    letters = [chr(c) for c in range(128, 0x110000) if re.match("[a-z]", chr(c), re.I)]
+    assert letters and all(names._FOLDED.match(c) for c in letters)
