@@ -393,3 +393,13 @@ def test_only_what_is_asked_is_looked_up(spark, stored_tables, monkeypatch):
 def test_partitions_follow_the_rows(spark):
     rows = spark.range(10)
     assert staging.spread(rows, 10, "id").rdd.getNumPartitions() == 4 and staging.spread(rows, 9 * staging.ROWS + 1, "id").rdd.getNumPartitions() == 10
+
+
+def test_two_scans_are_compared_in_one_join(spark):
+    both = [("a", 1, 0, 0), ("a", 1, 0, 1), ("a", 1, 1, 0), ("b", 1, 0, 0), ("c", 1, 0, None)]
+    cells = spark.createDataFrame([*both, ("a", 1, 1, 1), ("b", 1, 1, 0), ("a", 2, 0, 0), ("d", 1, None, 0), (None, 1, 0, 0)], "document_id string, page int, table_idx int, row int")
+    grid = spark.createDataFrame([*both, ("e", 1, 0, 0), ("d", 1, None, 0), (None, 1, 0, 0)], cells.schema)
+    kept = tables.consistent(grid, cells)
+    # b has a table more in one scan, table 1 of a a row more, page 2 of a is in one scan alone
+    assert sorted(map(tuple, kept.collect()), key=str) == [("a", 1, 0, 0), ("a", 1, 0, 1), ("c", 1, 0, None)]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
