@@ -29,12 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BLOCK, blanks, safe_cut, vocabulary_path
+from .bpe import BLOCK, blanks, byte_letters, safe_cut, vocabulary_path
 from .bytescan import byte_parts
 from .store import shared_folder, written
 
 #: Bytes of text in a shard, about; bytes of a plane's chunk; known words of a worker; shards whose sizes are summed in one group.
 SHARD, CHUNK, CACHE, GROUP = 32 << 20, 1 << 15, 800_000, 4096
+#: Words that go to the library in one text.
+JOINED = 512
+#: Marks that end a word and are a piece of their own after letters.
+MARKS = ".,;:!?"
 END = 2
 MAGIC = b"WMX1"
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint8)
@@ -57,6 +61,15 @@ class Tokens:
         self.levels = max(1, (self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.code = "H" if self.levels <= 16 else "I"
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.sizes = np.zeros(1 << self.levels, np.int64)  # bytes of each token: a letter each
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.sizes[i] = len(token)
+        # where a run of letters after a space is a piece of its own, written with a letter a byte
+        spec = json.loads(self.library.to_str())
+        cut = spec.get("pre_tokenizer") or {}
+        self.plain = spec["model"].get("type") == "BPE" and not spec.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.marks, self.line = dict(zip(MARKS, self._packed(list(MARKS)))), self._packed(["\n"])[0]
         self.heads: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -68,7 +81,59 @@ class Tokens:
         if len(known) + len(new) > CACHE:
             known.clear()
             new = list(words)
-        known.update(zip(new, self._packed([lead + w for w in new])))
+        if lead:
+            new = self._lettered(known, new) if self.plain else new
+            known.update(zip(new, self._together(new)))
+        else:
+            known.update(zip(new, self._packed(new)))
+
+    def _lettered(self, known: dict[str, bytes], words: list[str]) -> list[str]:
+        """Learns words of Latin letters, with a mark at the end or not, or two such with a line's end between them. The other words.
+
+        Every run of letters is a piece of its own: the library's model takes it as it is.
+        """
+        tokenize, letters, marks, code, others = self.library.model.tokenize, self.letters, self.marks, self.code, []
+
+        def piece(held: dict[str, bytes], lead: str, word: str) -> bytes | None:
+            mark = marks.get(word[-1])
+            stem = word[:-1] if mark else word
+            if not stem.isalpha() or not (stem.isascii() or max(stem) < "\u0250"):
+                return None
+            ids = held.get(stem)
+            if ids is None:
+                raw = stem if stem.isascii() else stem.encode().decode("latin-1").translate(letters)
+                ids = array.array(code, [t.id for t in tokenize(lead + raw)]).tobytes()
+            return ids + mark if mark else ids
+
+        for w in words:
+            ids = piece(known, letters[32], w)
+            if ids is None and "\n" in w:
+                left, right = w.split("\n", 1)
+                above, below = piece(known, letters[32], left), piece(self.heads, "", right)
+                ids = above + self.line + below if above and below else None
+            if ids is None:
+                others.append(w)
+            else:
+                known[w] = ids
+        return others
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space. Words go to the library many to a text, as there is a border before each space, and are told apart by their bytes."""
+        out: list[bytes] = []
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            text = f" {' '.join(some)}"
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.code)
+            sizes = map(len, some) if text.isascii() else [len(w.encode()) for w in some]
+            upto, ends = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(sizes, np.int64, len(some)) + 1)
+            cuts = np.searchsorted(upto, ends)
+            if len(upto) and cuts[-1] < len(upto) and (upto[cuts] == ends).all():
+                data, width = ids.tobytes(), ids.itemsize
+                cuts = [0, *((cuts + 1) * width).tolist()]
+                out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+            else:  # a vocabulary whose tokens do not say their bytes
+                out += self._packed([" " + w for w in some])
+        return out
 
     def packed(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, packed as little-endian integers."""
@@ -85,16 +150,27 @@ class Tokens:
             end = cut.start() if cut else len(text)
             inner = text[at + 1 : end] if at else text[:end]
             words = inner.split(" ")
-            found = [self.heads.get(words[0]) if not at else self.later.get(words[0]), *map(self.later.get, words[1:])]
-            if None in found:
-                odd = any(not w or w[0] in blanks() or w[-1] in blanks() for w in words)
-                words = safe_cut().split(inner) if odd else words
-                first, rest = (words[:1], words[1:]) if not at else ([], words)
+            first, rest = ([], words) if at else (words[:1], words[1:])
+            found = [*map(self.heads.get, first), *map(self.later.get, rest)]
+            if not all(found):
                 # what begins or ends with a blank is not kept: only at a text's ends is it a piece of its own
-                edges = {w for w in words if w[0] in blanks() or w[-1] in blanks()} if odd else set()
-                self._learn(self.heads, "", set(first) - edges)
-                self._learn(self.later, " ", set(rest) - edges)
-                found = [self._packed([w])[0] if w in edges else self.heads[w] for w in first] + [self._packed([" " + w])[0] if w in edges else self.later[w] for w in rest]
+                blank, gaps = blanks(), [i for i, ids in enumerate(found) if not ids]
+                edge = lambda w: not w or w[0] in blank or w[-1] in blank
+                if any([edge(words[i]) for i in gaps]):
+                    words = safe_cut().split(inner)
+                    first, rest = ([], words) if at else (words[:1], words[1:])
+                    edges = set(filter(edge, words))
+                    self._learn(self.heads, "", set(first) - edges)
+                    self._learn(self.later, " ", set(rest) - edges)
+                    found = [self._packed([w])[0] if w in edges else self.heads[w] for w in first] + [self._packed([" " + w])[0] if w in edges else self.later[w] for w in rest]
+                else:
+                    if first and gaps[0] == 0:
+                        self._learn(self.heads, "", {words[0]})
+                        found[0] = self.heads[words[0]]
+                        del gaps[0]
+                    self._learn(self.later, " ", {words[i] for i in gaps})
+                    for i in gaps:
+                        found[i] = self.later[words[i]]
             yield b"".join(found)
             at = end
 

@@ -652,3 +652,18 @@ def test_factorisation_identity():
     x = np.concatenate([weight, np.full(steps.shape[1], 1 / math.sqrt(steps.shape[1]))])
     want = 0.3 + (p["w"][every, 0] * x).sum() + sum(p["v"][a] @ p["v"][b] * s * t for (a, s), (b, t) in itertools.combinations(zip(every, x), 2))
     assert got == pytest.approx(want, rel=1e-4)
+
+
+def test_words_learned_in_pieces_are_the_librarys(monkeypatch):
+    from ledgerlark.llm import bpe, wavelet
+
+    coder, rng = wavelet.Tokens(bpe.vocabulary_path()), __import__("random").Random(4)
+    monkeypatch.setattr(wavelet, "JOINED", 3)
+    some = ["été", "Word,", "end.\nNext", "a.\n\nb", "x\n", "\ty", "don't", "ǆé!", "ɐb", "日本", "9a", "7", "'s.", "é", "", "K?", "　", "a\nb\nc", "…", "no!\n?", ".\nA", "A\n."]
+    for _ in range(3000):
+        said = " ".join(rng.choice(some) for _ in range(rng.randint(0, 12)))
+        assert list(np.frombuffer(next(coder.packed([said])), "<u2")) == coder.library.encode(said, add_special_tokens=False).ids
+    asked = []
+    monkeypatch.setattr(coder, "_packed", lambda words: asked.append(words) or [b"\0\0"] * len(words))
+    list(coder.packed(["été neverseenword, anotherone.\nThird thing"]))
+    assert asked == []  # words of letters do not go through the whole library one by one
