@@ -51,12 +51,68 @@ def backward(dout: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarray, n
     return dx, du
 
 
-def summed_rows(index: np.ndarray, grads: np.ndarray, n: int) -> np.ndarray:
-    """grads (N, D) added up by index (N,) into (n, D)."""
-    order = np.argsort(index, kind="stable")
-    kinds, first = np.unique(index[order], return_index=True)
-    out = np.zeros((n, grads.shape[1]), np.float32)
-    out[kinds] = np.add.reduceat(grads[order], first, axis=0)
+def lanes_step(xg: np.ndarray, h: np.ndarray, down: np.ndarray, gates: np.ndarray, gn: np.ndarray, out: np.ndarray) -> None:
+    """step with the lanes last, so that a gate is one stretch of memory: xg (3H, B), h (H, B), down (3H, H) is u turned. Writes gates, the candidate's part gn, and out."""
+    k = len(h)
+    g, rz, n = down @ h, gates[: 2 * k], gates[2 * k :]
+    gn[:] = g[2 * k :]
+    np.add(xg[: 2 * k], g[: 2 * k], out=rz)
+    np.negative(rz, out=rz)
+    np.exp(rz, out=rz)
+    rz += 1
+    np.reciprocal(rz, out=rz)
+    np.multiply(rz[:k], gn, out=n)
+    n += xg[2 * k :]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=out)
+    out *= rz[k:]
+    out += n
+
+
+def lanes_forward(xg: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """forward with the lanes last: xg (T, 3H, B), h (H, B) -> states (T, H, B) and what lanes_backward needs."""
+    long, down = len(xg), np.ascontiguousarray(u.T)
+    states, gates, gn = np.empty((long + 1, *h.shape), np.float32), np.empty(xg.shape, np.float32), np.empty((long, *h.shape), np.float32)
+    states[0] = h
+    for t in range(long):
+        lanes_step(xg[t], states[t], down, gates[t], gn[t], states[t + 1])
+    return states[1:], (states[:-1], gates, gn)
+
+
+def lanes_backward(dout: np.ndarray, kept: tuple, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """backward with the lanes last: gradients of the gates' inputs (T, 3H, B) and of u. All that does not hang on later steps is made at once."""
+    (h, gates, gn), k = kept, u.shape[0]
+    r, z, n = gates[:, :k], gates[:, k : 2 * k], gates[:, 2 * k :]
+    still = 1 - z
+    through, turned = still * (1 - n * n), gn * r * (1 - r)
+    still *= z
+    still *= h - n
+    dg, da, dh = np.empty(gates.shape, np.float32), np.empty(h.shape, np.float32), np.zeros(h.shape[1:], np.float32)
+    for t in range(len(dout) - 1, -1, -1):
+        dh += dout[t]
+        np.multiply(dh, through[t], out=da[t])
+        np.multiply(da[t], turned[t], out=dg[t, :k])
+        np.multiply(dh, still[t], out=dg[t, k : 2 * k])
+        np.multiply(da[t], r[t], out=dg[t, 2 * k :])
+        dh *= z[t]
+        dh += u @ dg[t]
+    du = np.matmul(h, dg.transpose(0, 2, 1)).sum(0)
+    dg[:, 2 * k :] = da
+    return dg, du
+
+
+def summed_rows(index: np.ndarray, grads: np.ndarray, n: int, few: int = 8) -> np.ndarray:
+    """grads (N, D) added up by index (N,) into (n, D). Those of up to `few` rows are added side by side, the first of each, the second, and so on."""
+    order = np.argsort(index.astype(np.uint16) if n <= 1 << 16 else index, kind="stable")
+    index, grads, out = index[order], grads[order], np.zeros((n, grads.shape[1]), np.float32)
+    first = np.flatnonzero(np.append(True, index[1:] != index[:-1])) if len(index) else np.zeros(0, np.int64)
+    kinds, times = index[first], np.diff(np.append(first, len(index)))
+    for i in np.flatnonzero(times > few):
+        out[kinds[i]] = grads[first[i] : first[i] + times[i]].sum(0)
+    rare = np.flatnonzero(times <= few)
+    for j in range(few):
+        rare = rare[times[rare] > j]
+        out[kinds[rare]] += grads[first[rare] + j]
     return out
 
 

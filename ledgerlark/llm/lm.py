@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import U64, doc_groups, give_back, hashed, mixed, slices, spans, text_buffer
-from .gru import Adam, backward, dealt, forward, step, summed_rows
+from .gru import Adam, dealt, lanes_backward, lanes_forward, lanes_step, summed_rows
 from .langid import remainder
 from .store import written
 
 WORDS, PER_CLASS, SHAPES, HIDDEN = 2048, 64, 64, 24
 SAMPLE, PART_WORDS, BLOCK_BYTES, LANES, STEPS = 1500, 2_000_000, 16 << 20, 512, 32
+PIECE = 2048  # positions whose classes are scored at once, in the processor's cache
 START = WORDS + SHAPES  # the input before the first word
 GROUPS = WORDS // PER_CLASS
 END = GROUPS + SHAPES  # the class of the end
@@ -57,9 +58,12 @@ def block_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     kinds, codes, s, e, bounds, n = [np.zeros(0, U64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(off), np.int64), 0
     for lo, hi in slices(data, off):
         starts, ends = spans(data, off, lo, hi)
-        kind, first, code = np.unique(hashed(data, lo, hi, starts, ends, True), return_index=True, return_inverse=True)
+        found = pa.array(hashed(data, lo, hi, starts, ends, True)).dictionary_encode()
+        kind, code = found.dictionary.to_numpy(), found.indices.to_numpy()
+        first = np.empty(len(kind), np.int64)
+        first[code] = np.arange(len(code))
         kinds.append(kind)
-        codes.append(code.astype(np.int32) + np.int32(n))
+        codes.append(code + np.int32(n))
         s.append(starts[first] + lo)
         e.append(ends[first] + lo)
         n += len(kind)
@@ -108,15 +112,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
             give_back()
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _exps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x (classes, N) made, in place, exponentials less each column's largest; the largest and the sums of the columns."""
+    most = x.max(0)
+    x -= most
+    np.exp(x, out=x)
+    return most, x.sum(0)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    x /= x.sum(-1, keepdims=True)
-    return x
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the frequent words by their class, and the GROUPS + 1 bounds of the classes among these."""
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    return order[: cuts[-1]], cuts
 
 
 class Model:
@@ -150,41 +158,62 @@ class Model:
             fill = long * lanes - len(x)
             x = np.append(x, np.full(fill, START)).reshape(lanes, long).T
             y = np.append(y, np.full(fill, -2)).reshape(lanes, long).T
-            h = np.zeros((lanes, k), np.float32)
+            h = np.zeros((k, lanes), np.float32)
             for at in range(0, long, STEPS):
                 xs, ys = x[at : at + STEPS], y[at : at + STEPS].ravel()
-                out, kept = forward(self.p["x"][xs], h, self.p["u"])  # across a border the state goes on; START tells it
+                out, kept = lanes_forward(self.p["x"].T.take(xs, axis=1).swapaxes(0, 1), h, self.p["u"])  # across a border the state goes on; START tells it
                 h = out[-1]
-                flat, n = out.reshape(-1, k), max(1, int((ys > -2).sum()))
+                flat, n = out.transpose(0, 2, 1).reshape(-1, k), np.float32(max(1, int((ys > -2).sum())))
                 group = np.where(ys < 0, END, np.where(ys < WORDS, ys // PER_CLASS, ys - WORDS + GROUPS))
-                d = _softmax(flat @ self.p["oc"] + self.p["bc"])
-                d[np.arange(len(ys)), group] -= 1
-                d[ys < -1] = 0
-                d /= n
-                grads = {"oc": flat.T @ d, "bc": d.sum(0)[None], "ow": np.zeros_like(self.p["ow"]), "bw": np.zeros_like(self.p["bw"])}
-                back = d @ self.p["oc"].T
-                for c in np.unique(group[group < GROUPS]):
-                    some = np.flatnonzero(group == c)
-                    e = _softmax(flat[some] @ self.p["ow"][c] + self.p["bw"][c])
-                    e[np.arange(len(some)), ys[some] % PER_CLASS] -= 1
-                    e /= n
-                    grads["ow"][c], grads["bw"][c] = flat[some].T @ e, e.sum(0)
-                    back[some] += e @ self.p["ow"][c].T
-                dx, du = backward(back.reshape(out.shape), kept, self.p["u"])
-                grads |= {"x": summed_rows(xs.ravel(), dx.reshape(-1, 3 * k), START + 1), "u": du}
+                grads = {name: np.zeros_like(self.p[name]) for name in ("oc", "bc", "ow", "bw")}
+                back, real = np.empty_like(flat), (ys > -2) / n
+                for a in range(0, len(ys), PIECE):
+                    near, own, counts = flat[a : a + PIECE], group[a : a + PIECE], real[a : a + PIECE]
+                    d = self.p["oc"].T @ near.T
+                    d += self.p["bc"].T
+                    _, sums = _exps(d)
+                    d *= counts / sums
+                    d[own, np.arange(len(own))] -= counts
+                    grads["oc"] += near.T @ d.T
+                    grads["bc"] += d.sum(1)
+                    np.matmul(d.T, self.p["oc"].T, out=back[a : a + PIECE])
+                some, cuts = _by_class(group)
+                near, inner, added = flat[some], ys[some] % PER_CLASS, np.empty((len(some), k), np.float32)
+                for c in np.flatnonzero(np.diff(cuts)):
+                    a, b = cuts[c], cuts[c + 1]
+                    e = self.p["ow"][c].T @ near[a:b].T
+                    e += self.p["bw"][c][:, None]
+                    _, sums = _exps(e)
+                    e *= 1 / (n * sums)
+                    e[inner[a:b], np.arange(b - a)] -= 1 / n
+                    grads["ow"][c], grads["bw"][c] = near[a:b].T @ e.T, e.sum(1)
+                    added[a:b] = e.T @ self.p["ow"][c].T
+                back[some] += added
+                dx, du = lanes_backward(back.reshape(len(xs), lanes, k).transpose(0, 2, 1), kept, self.p["u"])
+                grads |= {"x": summed_rows(xs.ravel(), dx.transpose(0, 2, 1).reshape(-1, 3 * k), START + 1), "u": du}
                 adam.update({a: b.astype(np.float32) for a, b in grads.items()}, 1.0 if turn < rounds - 1 else 0.3)
 
     def log10(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 of the class and, for the frequent words, of the word in it; target: id, or -1 for the end."""
         group = np.where(target < 0, END, np.where(target < WORDS, target // PER_CLASS, target - WORDS + GROUPS))
-        out = _log_softmax(states @ self.p["oc"] + self.p["bc"])[np.arange(len(target)), group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for c in range(GROUPS):
-            some = order[cuts[c] : cuts[c + 1]]
-            if len(some):
-                inner = _log_softmax(states[some] @ self.p["ow"][c] + self.p["bw"][c])
-                out[some] += inner[np.arange(len(some)), target[some] % PER_CLASS]
+        out = np.empty(len(target))
+        for at in range(0, len(target), PIECE):
+            near, own = states[at : at + PIECE], group[at : at + PIECE]
+            x = self.p["oc"].T @ near.T
+            x += self.p["bc"].T
+            hit = x[own, np.arange(len(own))]
+            most, sums = _exps(x)
+            out[at : at + PIECE] = hit - most - np.log(sums)
+        order, cuts = _by_class(group)
+        near, inner = states[order], target[order] % PER_CLASS
+        for c in np.flatnonzero(np.diff(cuts)):
+            for a in range(cuts[c], cuts[c + 1], PIECE):
+                b = min(a + PIECE, cuts[c + 1])
+                x = self.p["ow"][c].T @ near[a:b].T
+                x += self.p["bw"][c][:, None]
+                hit = x[inner[a:b], np.arange(b - a)]
+                most, sums = _exps(x)
+                out[order[a:b]] += hit - most - np.log(sums)
         return out / np.log(10)
 
     def documents(self, ids: np.ndarray, sizes: np.ndarray, lanes: int = LANES, window: int = 64) -> np.ndarray:
@@ -204,19 +233,25 @@ class Model:
         x[~starts], y[~lasts] = words, words
         doc = np.repeat(order.astype(np.int32), sizes_ + 1)
         lane, steps = np.cumsum(ends) - ends, int(ends[0])
-        out, h = np.zeros(n), np.zeros((len(ends), HIDDEN), np.float32)
+        out, h, k = np.zeros(n), np.zeros((HIDDEN, len(ends)), np.float32), HIDDEN
+        table, down = np.ascontiguousarray(self.p["x"].T), np.ascontiguousarray(self.p["u"].T)
         for at in range(0, steps, window):
             alive = int(np.searchsorted(-ends, -at))  # lanes that are not over
-            h, rows = h[:alive], min(window, steps - at)
+            h, rows = np.ascontiguousarray(h[:, :alive]), min(window, steps - at)
             place = np.arange(at, at + rows)[:, None] + lane[None, :alive]
             real = (np.arange(at, at + rows)[:, None] < ends[None, :alive]).ravel()
             now = x[np.minimum(place, total - 1)]
-            states = np.empty((rows, alive, HIDDEN), np.float32)
+            states = np.empty((rows, alive, k), np.float32)
+            gates, gn, after = np.empty((3 * k, alive), np.float32), np.empty((k, alive), np.float32), np.empty((k, alive), np.float32)
             for t in range(rows):
-                h = step(self.p["x"][now[t]], np.where((now[t] == START)[:, None], np.float32(0), h), self.p["u"])
-                states[t] = h
-            place = place.ravel()[real]
-            out += np.bincount(doc[place], self.log10(states.reshape(-1, HIDDEN)[real], y[place].astype(np.int64)), n)
+                h *= now[t] != START
+                lanes_step(table.take(now[t], axis=1), h, down, gates, gn, after)
+                h, after = after, h
+                states[t] = h.T
+            states, place = states.reshape(-1, k), place.ravel()
+            if not real.all():
+                states, place = states[real], place[real]
+            out += np.bincount(doc[place], self.log10(states, y[place]), n)
         return out
 
 
@@ -315,7 +350,7 @@ def scored(docs: DataFrame, sample_size: int = SAMPLE, doc_id: str = "doc_id", t
     listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "shapes", "counts")).alias("code", "d")).select("block", "code", F.col("d.words").alias("word"), F.col("d.shapes").alias("shape"), F.col("d.counts").alias("n"))
     # a word has one row a block at most, so no word's window is large
     same = Window.partitionBy("word")
-    counted = listed.withColumn("c", F.sum("n").over(same)).withColumn("head", F.row_number().over(same.orderBy("block")) == 1)
+    counted = listed.withColumn("c", F.sum("n").over(same)).withColumn("head", F.col("block") == F.min("block").over(same))
     counted = written(counted.select("block", "code", "word", "shape", "c", "head"), "lm-counts")
     heads = counted.filter("head and c > 0")
     by_shape = {r["shape"]: (r["n"], r["v"]) for r in heads.groupBy("shape").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}

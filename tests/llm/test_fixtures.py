@@ -150,6 +150,25 @@ def test_gru_gradients():
         assert abs((vary(e) - vary(-e)) / 2e-3 - grad[at]) < 5e-3
 
 
+def test_gru_with_the_lanes_last_is_the_same():
+    from ledgerlark.llm.gru import backward, forward, lanes_backward, lanes_forward, summed_rows
+
+    rng = np.random.default_rng(5)
+    xg, h, u, dout = (rng.standard_normal(shape).astype(np.float32) for shape in ((6, 9, 12), (9, 4), (4, 12), (6, 9, 4)))
+    states, kept = forward(xg, h, u)
+    turned, kept_too = lanes_forward(np.ascontiguousarray(xg.transpose(0, 2, 1)), h.T, u)
+    dx, du = backward(dout, kept, u)
+    dx_too, du_too = lanes_backward(np.ascontiguousarray(dout.transpose(0, 2, 1)), kept_too, u)
+    for a, b in ((states, turned.transpose(0, 2, 1)), (dx, dx_too.transpose(0, 2, 1)), (du, du_too)):
+        np.testing.assert_allclose(a, b, rtol=1e-4, atol=1e-5)
+    for n in (40, 70_000):
+        index, grads = np.append(rng.integers(0, n, 60), np.repeat([3, n - 1], [30, 9])), rng.standard_normal((99, 5)).astype(np.float32)
+        want = np.zeros((n, 5))
+        np.add.at(want, index, grads)
+        np.testing.assert_allclose(summed_rows(index, grads, n), want, rtol=1e-4, atol=1e-5)
+    assert not summed_rows(np.zeros(0, np.int64), np.zeros((0, 5), np.float32), 4).any()
+
+
 def test_mixing(docs, rows):
     got = mixing.digest(docs, shards=8, block_words=16).collect()
     size = lambda t: len(WORD.findall(t or ""))
