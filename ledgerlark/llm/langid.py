@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import byte_parts, text_buffer
-from .gru import Adam, backward, forward, step, summed_rows
+from .gru import Adam, backward, forward, lanes_step, summed_rows
 
 HIDDEN, WINDOW, LEAD, PER_LANG, SNIPPET = 12, 512, 32, 1000, 256
+PIECE = 16  # steps whose probabilities are made at once, in the processor's cache
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = 256
 
@@ -94,20 +95,28 @@ class Network:
         return cls(langs, p)
 
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """Bytes (T, B), padded -> probabilities (T, B, languages) of every position."""
-        p, k = self.p, HIDDEN
-        out = np.empty((*x.shape, len(self.langs)), np.float32)
-        h = np.zeros((x.shape[1], k), np.float32)
-        for t in range(len(x)):
-            h = step(p["xf"][x[t]], h, p["uf"])
-            out[t] = h @ p["of"]
-        h = np.zeros((x.shape[1], k), np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            h = step(p["xb"][x[t]], h, p["ub"]) * (x[t] != _PAD)[:, None]  # a text begins, from its end, with no state
-            out[t] += h @ p["ob"]
-        out += p["c"]
-        np.exp(out - out.max(-1, keepdims=True), out=out)
-        out /= out.sum(-1, keepdims=True)
+        """Bytes (T, B), padded -> probabilities (T, languages, B) of every position."""
+        p, k, lanes = self.p, HIDDEN, x.shape[1]
+        out = np.empty((len(x), len(self.langs), lanes), np.float32)
+        xg, gates, gn, h, after, one = (np.empty((rows, lanes), np.float32) for rows in (3 * k, 3 * k, k, k, k, len(self.langs)))
+        for side, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            table, down, top = (np.ascontiguousarray(p[name + side].T) for name in "xuo")
+            h[:] = 0
+            for t in order:
+                table.take(x[t], axis=1, out=xg, mode="clip")
+                lanes_step(xg, h, down, gates, gn, after)
+                h, after = after, h
+                if side == "f":
+                    np.matmul(top, h, out=out[t])
+                else:
+                    h *= x[t] != _PAD  # a text begins, from its end, with no state
+                    out[t] += np.matmul(top, h, out=one)
+        for t in range(0, len(x), PIECE):
+            part = out[t : t + PIECE]
+            part += p["c"].T
+            part -= part.max(1, keepdims=True)
+            np.exp(part, out=part)
+            part /= part.sum(1, keepdims=True)
         return out
 
     def documents(self, data: np.ndarray, off: np.ndarray, window: int = 0, lead: int = LEAD) -> np.ndarray:
@@ -121,12 +130,12 @@ class Network:
         before, after = np.maximum(starts - lead, off[owner]), np.minimum(ends + lead, off[owner + 1])
         order = np.argsort(before - after, kind="stable")  # windows of one length together
         out = np.zeros((len(sizes), len(self.langs)))
-        lanes = int(np.clip(4_000_000 // ((min(window, int(sizes.max(initial=1))) + 2 * lead) * len(self.langs)), 16, 1024))
+        lanes = int(np.clip(4_000_000 // ((min(window, int(sizes.max(initial=1))) + 2 * lead) * len(self.langs)), 16, 2048))
         for some in (order[k : k + lanes] for k in range(0, len(order), lanes)):
             place = before[some][None] + np.arange(int((after[some] - before[some]).max()))[:, None]
             x = np.where(place < after[some][None], data[np.minimum(place, len(data) - 1)].astype(np.int64), _PAD)
             counts = (place >= starts[some][None]) & (place < ends[some][None])
-            prob = np.einsum("tbl,tb->bl", self.positions(x), counts.astype(np.float32))
+            prob = np.einsum("tlb,tb->bl", self.positions(x), counts.astype(np.float32))
             np.add.at(out, owner[some], prob)
         return out / np.maximum(sizes, 1)[:, None]
 

@@ -119,6 +119,26 @@ def test_positions_and_windows_against_a_plain_loop(docs, rows):
     assert np.allclose(network.documents(data, off), network.documents(data, off, window=1 << 20), atol=0.02)
 
 
+def test_positions_have_the_lanes_last_and_equal_single_steps():
+    from ledgerlark.llm.gru import step
+
+    rng, k, n = np.random.default_rng(6), langid.HIDDEN, 3
+    p = {name: rng.standard_normal(shape).astype(np.float32) for name, shape in {"xf": (257, 3 * k), "xb": (257, 3 * k), "uf": (k, 3 * k), "ub": (k, 3 * k), "of": (k, n), "ob": (k, n), "c": (1, n)}.items()}
+    x = rng.integers(0, 256, (40, 5))
+    x[33:, 2] = 256  # one text is shorter
+    got = langid.Network(["a", "b", "c"], p).positions(x)
+    assert got.shape == (40, n, 5)
+    for lane, size in enumerate([40, 40, 33, 40, 40]):
+        logits = np.repeat(p["c"], size, 0)
+        for side, order in (("f", range(size)), ("b", range(size - 1, -1, -1))):
+            h = np.zeros((1, k), np.float32)
+            for t in order:
+                h = step(p["x" + side][x[t : t + 1, lane]], h, p["u" + side])
+                logits[t] += (h @ p["o" + side])[0]
+        want = np.exp(logits - logits.max(1, keepdims=True))
+        np.testing.assert_allclose(got[:size, :, lane], want / want.sum(1, keepdims=True), atol=1e-5)
+
+
 def test_letters():
     assert [langid._has_letter(t) for t in ("123 ½ ² ①", "", None, "_1_", "12é", "漢")] == [False, False, False, False, True, True]
 
