@@ -12,17 +12,32 @@ whole. Ties go to the smaller doc_id. An empty table gives an empty result. Colu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlark.llm import bpe, langid, minhash, mixing, pii
-from ledgerlark.llm.store import table, written
+from ledgerlark.llm.store import small_batches, table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Callable[[DataFrame], DataFrame]) -> Stage:
+    """The stage, its texts handed to Python a few megabytes at a time: five stages share an executor's memory."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(docs)
+
+    return run
+
 
 STAGES = [
-    ("language_id", lambda spark, docs, sf_dir: langid.accepted(docs)),
-    ("near_duplicates", lambda spark, docs, sf_dir: minhash.kept_documents(docs, threshold=80, width=5)),
-    ("personal_data", lambda spark, docs, sf_dir: pii.masked_documents(docs)),
-    ("source_mixing", lambda spark, docs, sf_dir: mixing.mixed_documents(docs)),
-    ("byte_pair_encoding", lambda spark, docs, sf_dir: bpe.encoded(docs)),
+    ("language_id", in_small_batches(langid.accepted)),
+    ("near_duplicates", in_small_batches(lambda docs: minhash.kept_documents(docs, threshold=80, width=5))),
+    ("personal_data", in_small_batches(pii.masked_documents)),
+    ("source_mixing", in_small_batches(mixing.mixed_documents)),
+    ("byte_pair_encoding", in_small_batches(bpe.encoded)),
 ]
 
 #: Language identification, the field of personal data and the encoding are not expressible in SQL.

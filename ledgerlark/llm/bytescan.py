@@ -135,4 +135,5 @@ def byte_parts(batches: Iterator[pa.RecordBatch], at: int, limit: int = 4 << 20)
         _, off = text_buffer(batch.column(at))
         for lo, hi in doc_groups(off, limit):
             yield batch.slice(lo, hi - lo)
+        del batch, off  # the last one too, before the worker waits for its next task
         give_back()

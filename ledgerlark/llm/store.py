@@ -18,6 +18,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or os.path.join(tempfile.gettempdir(), "ledgerlark-shared")
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From now on this session's Arrow batches end at about `size` bytes, not at 64 MB or 10,000 rows.
+
+    Two tasks of an executor hold a batch each, in Python and, while it is filled, twice over beside the JVM's heap; a row
+    larger than `size` is a batch of its own. Which rows share a batch changes no result of the queries that ask for this.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a lost executor then costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

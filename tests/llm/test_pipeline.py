@@ -1,5 +1,7 @@
 """The stages on a small folder: columns stay, decisions take effect, the last stage decodes to its input."""
 
+import pyarrow as pa
+
 import corpus_pipeline
 from ledgerlark.llm import minhash
 from tests.llm.test_fixtures import documents, fixture_rows
@@ -53,3 +55,15 @@ def test_near_duplicates_stage_takes_five_words_at_80_percent(spark):
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 3, 4, 5]
     assert [minhash.bands_for(t, 5, minhash.MISS) for t in (85, 80)] == [30, 45]
+
+
+def test_stages_hand_texts_to_python_a_few_megabytes_at_a_time(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    docs = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('some words ', 400) text")
+    stage = corpus_pipeline.in_small_batches(lambda docs: docs.mapInArrow(sizes, "n long, size long"))
+    got = stage(spark, docs, "").collect()
+    assert sum(r.n for r in got) == 3000
+    assert len(got) > 2 and max(r.size for r in got) < 5 << 20
