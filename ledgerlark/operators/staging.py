@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a task after spread, about.
 ROWS = 1_000_000
@@ -29,3 +29,8 @@ def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """df, of so many rows, by hash of the keys: spark.sql.shuffle.partitions at least, and as many more as leave a task about ROWS of them."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(parts, -(-rows // ROWS)), *keys)
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From now on this session's Arrow batches end at about `size` bytes, not at 64 MB or 10,000 rows; a larger row is one of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -243,7 +243,8 @@ def candidate_dedup(spark, sf):
 
 @query()
 def vector_candidates(spark, sf):
-    """The benchmark's texts ask the documents."""
+    """The benchmark's texts ask the documents, which are embedded some megabytes at a time."""
+    staging.small_batches(spark)
     t = Tables(spark, sf)
     none = F.lit(None).cast("string")
     chunks = t.documents.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("document_name"), F.lit(1).alias("start_page"), F.col("lang").alias("section_path"), none.alias("series_id"), none.alias("category_id"))

@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +305,18 @@ def test_vector_store_replaces_documents(spark, tmp_path):
     assert [(r.question_id, r.source_id, r.label) for r in best] == [(7, "a1", "a — p.2 — II")] and best[0].atom == "coupon of the bond [a — p.2 — II]: coupon of the bond"
 
 
+def test_texts_are_embedded_a_few_megabytes_at_a_time(spark, monkeypatch):
+    def sized(c, embed):
+        return F.pandas_udf(lambda s: pd.Series([[float(len(s))]] * len(s)), "array<float>")(c)
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    catalogue.QUERIES["vector_candidates"](spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(vector, "embedding_of", sized)
+    texts = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('some words ', 400) text")
+    got = [r.embedding[0] for r in vector.embedded(texts, vector.hashing_embedder()).collect()]
+    assert len(got) == 3000 and max(got) < 1300  # 4,400 bytes each: under 5.8 MB
+
+
 def test_tables_are_made_once_and_graph_merges(spark, docs, tmp_path):
     root = str(tmp_path / "tables")
     inbox.seeded(spark, root)
