@@ -346,6 +346,23 @@ def test_tables_meet_in_one_shuffle_and_are_never_broadcast(spark, query):
     assert "Broadcast" not in plan and "Join" not in plan and plan.count("Exchange ") == 1
 
 
+@pytest.mark.parametrize("query", ["series_terms", "table_scores"])
+def test_tables_are_grouped_as_they_come(spark, query):
+    """Rows lie in the groups' order: no partial groups are made and put together again."""
+    plan = _planned(catalogue.QUERIES[query](spark, "/root/testdata/sf0.001"))
+    assert "SortAggregate" in plan and "HashAggregate" not in plan and "partial_" not in plan
+
+
+def test_terms_of_several_tables_and_rows(spark):
+    """The first table gives a field, the last a category; in one table the later row wins; a value that cannot be read gives nothing; a category may be named twice."""
+    head = [cell(0, 0, "Series", 0, 50), cell(0, 1, "I", 50, 80), cell(0, 2, "II", 80, 110)]
+    one = [*head, cell(1, 0, "Tenor", 0, 50), cell(1, 1, "1 year", 50, 80), cell(2, 0, "Tenor again", 0, 50), cell(2, 1, "2 years", 50, 80), cell(2, 2, None, 80, 110), cell(3, 0, "Coupon (%) Category II, I & II", 0, 50), cell(3, 1, "8 %", 50, 110)]
+    two = [*head, cell(1, 0, "tenor", 0, 50), cell(1, 1, "3 years", 50, 110), cell(2, 0, "coupon category i and ii", 0, 50), cell(2, 1, "9%", 50, 80), cell(2, 2, "n.a.", 80, 110)]
+    rows = one + [(d, 2, *rest) for d, _, *rest in two] + [("d", None, *rest) for _, _, *rest in two]
+    got = {(r.series_id, r.field, r.category): (r.value_text or r.value_num, r.pages) for r in tables.series_terms(spark.createDataFrame(rows, schema.CELLS)).collect()}
+    assert got == {("I", "tenor", None): ("2 years", [1, 2]), ("II", "tenor", None): ("3 years", [2]), ("I", "coupon", "I_II"): (9.0, [1, 2]), ("II", "coupon", "I_II"): (8.0, [1])}
+
+
 def test_terms_may_go_over_cells_and_need_a_row_and_a_place(spark):
     rows = [cell(0, 0, "Series", 0, 50), cell(0, 1, "I", 50, 80), cell(0, 2, "II", 80, 110), cell(1, 0, "Face", 0, 20), cell(1, 1, "value", 20, 50), cell(1, 2, "₹ 10", 50, 110)]
     assert tables.table_scores(spark.createDataFrame(rows, schema.CELLS)).first().score == 5
