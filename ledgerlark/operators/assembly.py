@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlark import schema
 from ledgerlark.functions import extract, names, text
 from ledgerlark.operators import canonical, chunking, entities
-from ledgerlark.operators.staging import staged
+from ledgerlark.operators.staging import sorted_groups, staged
 
 KEY = ("document_id",)
 UNKNOWN = "UNKNOWN"
@@ -51,16 +51,21 @@ def series(terms: DataFrame) -> DataFrame:
     Facts stand on the first page of their series; a coupon type is derived from the frequency. Categories are in the order
     of their text. Fields that documents do not know are left out.
     """
-    page = F.min(canonical.first_page(F.col("pages"))).over(Window.partitionBy("document_id", "series_id"))
+    sorted_groups(terms.sparkSession)
+    # the window's order is that of all groups below, which therefore take their rows as they come
+    own = Window.partitionBy("document_id", "series_id").orderBy("category").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = terms.withColumn("page", F.min(canonical.first_page(F.col("pages"))).over(own))
     units = F.create_map(*[F.lit(x) for p in UNITS.items() for x in p])
-    value = F.coalesce(F.col("value_num").cast("string"), "value_text")
-    raw = F.when(units[F.col("field")] == "percent", F.concat(value, F.lit("%"))).otherwise(value)
-    facts = terms.withColumn("page", page).withColumn("fact", fact(value, F.col("document_id"), F.col("page"), units[F.col("field")], raw)).filter("fact is not null")
-    per = facts.groupBy("document_id", "series_id", "category").agg(F.map_from_entries(F.collect_list(F.struct("field", "fact"))).alias("terms"), F.flatten(F.collect_list("pages")).alias("pages"), F.min("page").alias("page"))
+    rows = rows.withColumn("_value", F.coalesce(F.col("value_num").cast("string"), "value_text")).withColumn("_unit", units[F.col("field")]).filter("_value IS NOT NULL")
+    raw = F.when(F.col("_unit") == "percent", F.concat("_value", F.lit("%"))).otherwise(F.col("_value"))
+    facts = rows.withColumn("_fact", F.struct("field", fact(F.col("_value"), F.col("document_id"), F.col("page"), F.col("_unit"), raw).alias("fact")))
+    per = facts.groupBy("document_id", "series_id", "category").agg(F.map_from_entries(F.collect_list("_fact")).alias("terms"), F.flatten(F.collect_list("pages")).alias("pages"), F.min("page").alias("page"))
+    bare = F.col("category").isNull()
     one = F.struct(F.col("category").alias("category_id"), text.category_name(F.col("category")).alias("category_name"), "terms")
+    per = per.withColumn("_own", F.when(bare, F.col("terms"))).withColumn("_one", F.when(~bare, one)).sortWithinPartitions("document_id", "series_id", "category")
     rows = per.groupBy("document_id", "series_id").agg(
-        F.first(F.when(F.col("category").isNull(), F.col("terms")), ignorenulls=True).alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), F.min("page").alias("page"),
-        F.array_sort(F.collect_list(F.when(F.col("category").isNotNull(), one)), _by("category_id")).alias("l"),
+        F.first("_own", ignorenulls=True).alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), F.min("page").alias("page"),
+        F.array_sort(F.collect_list("_one"), _by("category_id")).alias("l"),
     )
     by_name = {new: F.col("m")[old] for old, new in FIELDS.items()}
     frequency = by_name["frequency_of_interest_payment"]
@@ -68,7 +73,7 @@ def series(terms: DataFrame) -> DataFrame:
     known = [by_name.get(n, F.lit(None).cast(schema.FACT)).alias(n) for n in schema.TERMS]
     terms_ = F.struct(*known, F.create_map().cast(f"map<string,{schema.FACT}>").alias("additional_terms"))
     one = F.struct(F.col("series_id"), F.concat(F.lit("Series "), "series_id").alias("series_name"), terms_.alias("terms"), F.col("l").alias("categories"), places(F.col("document_id"), F.col("pages")).alias("provenance"))
-    listed = rows.select("document_id", one.cast(schema.SERIES).alias("s")).groupBy("document_id").agg(F.collect_list("s").alias("series"))
+    listed = rows.select("document_id", one.cast(schema.SERIES).alias("s")).sortWithinPartitions("document_id").groupBy("document_id").agg(F.collect_list("s").alias("series"))
     return listed.withColumn("series", F.array_sort("series", _by("series_id")))
 
 

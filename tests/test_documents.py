@@ -346,7 +346,7 @@ def test_tables_meet_in_one_shuffle_and_are_never_broadcast(spark, query):
     assert "Broadcast" not in plan and "Join" not in plan and plan.count("Exchange ") == 1
 
 
-@pytest.mark.parametrize("query", ["series_terms", "table_scores"])
+@pytest.mark.parametrize("query", ["series_terms", "table_scores", "document_series"])
 def test_tables_are_grouped_as_they_come(spark, query):
     """Rows lie in the groups' order: no partial groups are made and put together again."""
     plan = _planned(catalogue.QUERIES[query](spark, "/root/testdata/sf0.001"))
