@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .bytescan import U64, doc_groups, give_back, hashed, mixed, slices, spans, text_buffer
 from .gru import Adam, dealt, lanes_backward, lanes_forward, lanes_step, summed_rows
 from .langid import remainder
-from .store import written
+from .store import small_batches, written
 
 WORDS, PER_CLASS, SHAPES, HIDDEN = 2048, 64, 64, 24
 SAMPLE, PART_WORDS, BLOCK_BYTES, LANES, STEPS = 1500, 2_000_000, 16 << 20, 512, 32
@@ -258,7 +258,8 @@ class Model:
 def cut(source: DataFrame) -> DataFrame:
     """doc_id, held_out, text -> one row a block."""
     schema = "block long, ids array<long>, held array<boolean>, sizes array<long>, codes array<int>, words array<binary>, shapes array<int>, counts array<long>"
-    return written(source.mapInArrow(lambda it: _blocks(it, BLOCK_BYTES), schema), "lm-blocks")
+    small_batches(source.sparkSession, f"{BLOCK_BYTES >> 20}m")  # a batch of texts is a block, and a block a batch, whatever the table's size
+    return written(source.mapInArrow(lambda it: _blocks(it, BLOCK_BYTES), schema), "lm-blocks", BLOCK_BYTES)
 
 
 def training_texts(blocks: DataFrame, known: pa.Array) -> DataFrame:
@@ -351,7 +352,7 @@ def scored(docs: DataFrame, sample_size: int = SAMPLE, doc_id: str = "doc_id", t
     # a word has one row a block at most, so no word's window is large
     same = Window.partitionBy("word")
     counted = listed.withColumn("c", F.sum("n").over(same)).withColumn("head", F.col("block") == F.min("block").over(same))
-    counted = written(counted.select("block", "code", "word", "shape", "c", "head"), "lm-counts")
+    counted = written(counted.select("block", "code", "word", "shape", "c", "head"), "lm-counts", BLOCK_BYTES)
     heads = counted.filter("head and c > 0")
     by_shape = {r["shape"]: (r["n"], r["v"]) for r in heads.groupBy("shape").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     ends = source.filter(~F.col("held_out")).count()

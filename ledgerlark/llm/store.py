@@ -27,10 +27,15 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: a lost executor then costs no recomputation."""
+def written(df: DataFrame, label: str, group: int = 0) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: a lost executor then costs no recomputation.
+
+    With `group`, a row group ends at about so many bytes, looked at after every row. Parquet's own first look is after 100 rows
+    and its groups have 128 MB; a writer holds the group that is open, and a reader up to 4,096 of its rows at once.
+    """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    sizes = {"parquet.block.size": group, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1000} if group else {}
+    df.write.options(**sizes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -329,6 +329,22 @@ def test_token_counts(docs, rows, tokenizer):
     assert token_counts.quantile(summed, 0.5).first().n_tokens == lengths[math.ceil(0.5 * len(lengths)) - 1]
 
 
+def test_blocks_are_read_one_by_one(spark):
+    """A row group holds one block: neither writer nor reader holds more of them, however many a task makes."""
+    import pyarrow.parquet as pq
+
+    texts = [" ".join(f"w{n * 20_000 + k}" for k in range(20_000)) for n in range(12)]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).coalesce(1).selectExpr("doc_id", "false AS held_out", "text")
+    size, lm.BLOCK_BYTES = lm.BLOCK_BYTES, 1 << 20
+    try:
+        files = lm.cut(docs).inputFiles()
+    finally:
+        lm.BLOCK_BYTES = size
+    made = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    rows = [m.row_group(k).num_rows for m in made for k in range(m.num_row_groups)]
+    assert len(rows) > 1 and max(rows) == 1
+
+
 def test_language_model(docs, rows):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     words = [(i, [*WORD.findall((t or "").translate(lower)), None]) for i, t, _, _ in rows]
