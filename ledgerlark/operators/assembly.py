@@ -73,7 +73,7 @@ def series(terms: DataFrame) -> DataFrame:
     known = [by_name.get(n, F.lit(None).cast(schema.FACT)).alias(n) for n in schema.TERMS]
     terms_ = F.struct(*known, F.create_map().cast(f"map<string,{schema.FACT}>").alias("additional_terms"))
     one = F.struct(F.col("series_id"), F.concat(F.lit("Series "), "series_id").alias("series_name"), terms_.alias("terms"), F.col("l").alias("categories"), places(F.col("document_id"), F.col("pages")).alias("provenance"))
-    listed = rows.select("document_id", one.cast(schema.SERIES).alias("s")).sortWithinPartitions("document_id").groupBy("document_id").agg(F.collect_list("s").alias("series"))
+    listed = rows.select("document_id", one.alias("s")).sortWithinPartitions("document_id").groupBy("document_id").agg(F.collect_list("s").alias("series"))
     return listed.withColumn("series", F.array_sort("series", _by("series_id")))
 
 
@@ -99,7 +99,7 @@ def shared(rows: DataFrame) -> DataFrame:
     rest = lambda s: F.struct(*[own(s, n).alias(n) for n in [*schema.TERMS, "additional_terms"]])
     bare = F.transform("series", lambda s: F.struct(*[(rest(s) if n == "terms" else s[n]).alias(n) for n in ("series_id", "series_name", "terms", "categories", "provenance")]))
     pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"_{n}").alias("value")) for n in SHARED]), lambda p: p["value"].isNotNull())
-    return rows.select("document_id", bare.cast(f"array<{schema.SERIES}>").alias("series"), F.map_from_entries(pairs).alias("shared"))
+    return rows.select("document_id", bare.alias("series"), F.map_from_entries(pairs).alias("shared"))
 
 
 def domain(pages: DataFrame) -> DataFrame:

@@ -378,6 +378,12 @@ def test_assembly_never_broadcasts_what_grows_with_documents(spark):
     assert "Join" not in _planned(assembly.shared(assembly.series(terms)))
 
 
+def test_shared_terms_are_not_copied_into_another_type(spark):
+    terms = spark.createDataFrame([("d", s, None, "tenor", "1 year", None, [1]) for s in ("I", "II")], "document_id string, series_id string, category string, field string, value_text string, value_num double, pages array<int>")
+    plan = assembly.shared(assembly.series(terms))._jdf.queryExecution().optimizedPlan().toString()
+    assert "as array<struct<series_id" not in plan and "as struct<series_id" not in plan
+
+
 def test_edges_come_from_one_pass(spark, docs):
     _, edges = canonical.property_graph(docs)
     plan = _planned(edges)
