@@ -378,6 +378,21 @@ def test_assembly_never_broadcasts_what_grows_with_documents(spark):
     assert "Join" not in _planned(assembly.shared(assembly.series(terms)))
 
 
+PAGES = [
+    ("a", 1, 'Power Finance Corporation Limited ("Issuer"). Lead Manager Trust Investment Advisors Private Limited'), ("a", 2, 'Power Finance Corporation Limited ("Issuer"). Debenture Trustee Beacon Trusteeship Limited'),
+    ("b", 1, "credit rating letter dated March 3, 2025 by CRISIL Ratings Limited assigning a rating of “AA Stable”"), ("c", 1, None),
+]
+
+
+def test_python_reads_only_texts_that_may_hold_what_it_seeks(spark):
+    pages = spark.createDataFrame(PAGES, "document_id string, page int, text string").withColumn("chunk_id", F.lit(1))
+    assert "letter dated" in _planned(assembly.domain(pages.drop("chunk_id")))
+    aliases = entities.alias_map(pages, "chunk_id", by=("document_id",))
+    assert "RLIKE" in _planned(aliases) and aliases.count() == 0
+    quoted = spark.createDataFrame([("a", 1, '"PFC" Power Finance Corporation Limited')], "document_id string, chunk_id int, text string")
+    assert [(r.key, r.name) for r in entities.alias_map(quoted, "chunk_id", by=("document_id",)).collect()] == [("pfc", "Power Finance Corporation Limited")]
+
+
 def test_shared_terms_are_not_copied_into_another_type(spark):
     terms = spark.createDataFrame([("d", s, None, "tenor", "1 year", None, [1]) for s in ("I", "II")], "document_id string, series_id string, category string, field string, value_text string, value_num double, pages array<int>")
     plan = assembly.shared(assembly.series(terms))._jdf.queryExecution().optimizedPlan().toString()
