@@ -384,6 +384,15 @@ PAGES = [
 ]
 
 
+def test_a_documents_entities_are_grouped_once(spark):
+    said = assembly.domain(spark.createDataFrame(PAGES, "document_id string, page int, text string"))
+    assert _planned(said).count("SortMergeJoin") <= 6
+    got = {r.document_id: r for r in said.collect()}
+    assert (got["a"].issuer, got["a"].issuer_page, got["a"].trustee_page) == ("Power Finance Corporation Limited", 1, 1)
+    assert got["a"].lead_managers == ["Power Finance Corporation Limited", "Trust Investment Advisors Private Limited"] and got["b"].lead_managers is None
+    assert got["b"].issuer is None and [r.rating for r in got["b"].ratings] == ["AA Stable"] and got["c"].page_count == 1
+
+
 def test_python_reads_only_texts_that_may_hold_what_it_seeks(spark):
     pages = spark.createDataFrame(PAGES, "document_id string, page int, text string").withColumn("chunk_id", F.lit(1))
     assert "letter dated" in _planned(assembly.domain(pages.drop("chunk_id")))
